@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_plan
+from .piece_sampling import sample_encode
+from .token_count import token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +32,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(F.split(text, "\n", -1)).alias("n_lines_left"), removed.alias("n_removed"), F.sha2(text, 256).alias("left_sha256"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
+def op1_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_encode(_documents(spark, sf_dir), 2, digest=True)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir))
+
+
+QUERIES = {"op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
