@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .language_id import held_out, identify, train
 from .mixing import mix_plan
 from .piece_sampling import sample_encode
 from .token_count import token_counts
+from .url_filter import judge_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    judged = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
