@@ -10,7 +10,9 @@ from .line_dedup import line_dedup
 from .language_id import held_out, identify, train
 from .mixing import mix_plan
 from .piece_sampling import sample_encode
+from .progressive_jpeg import from_media, to_media
 from .token_count import token_counts
+from .token_store import read_documents, write_store
 from .url_filter import judge_urls
 
 
@@ -52,7 +54,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_media(to_media(_documents(spark, sf_dir)), keep=("doc_id", "n_bytes", "payload_bytes"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_store(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
+QUERIES = {"op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
