@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .language_id import held_out, identify, train
 from .mixing import mix_plan
+from .ngram_join import ngram_components
 from .piece_sampling import sample_encode
 from .progressive_jpeg import from_media, to_media
 from .token_count import token_counts
@@ -62,7 +63,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_store(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = {"op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {"op4_ngram_join": op4_ngram_join, "op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
