@@ -30,7 +30,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.withColumnsRenamed({"a": "b", "b": "a"}).select(*edges.columns))
+    swapped = [F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in edges.columns]
+    return edges.unionByName(edges.select(*swapped))
 
 
 def ends(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -155,15 +156,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def dead_ends(edges: DataFrame, most: int = 32) -> DataFrame:
     """id and depth of nodes on branches that end: leaves are taken off round by round."""
-    live, gone = written(both_ways(edges.select("a", "b").distinct()).distinct(), "branch"), None
+    live, gone = written(both_ways(edges.select("a", "b").where("a <> b").distinct()).distinct(), "branch"), None
     for depth in range(most):
         leaves = live.groupBy("a").count().where("count = 1").select(F.col("a").alias("id")).withColumn("depth", F.lit(depth))
         leaves = written(leaves, "branch-leaves")
         if leaves.isEmpty():
             break
         gone = leaves if gone is None else gone.unionByName(leaves)
-        off = leaves.select("id")
-        live = written(live.join(off, live["a"] == off["id"], "left_anti").join(off, F.col("b") == off["id"], "left_anti"), "branch")
+        off = lambda c: leaves.select(F.col("id").alias(c))
+        live = written(live.join(off("a"), "a", "left_anti").join(off("b"), "b", "left_anti"), "branch")
     return gone if gone is not None else live.select(F.col("a").alias("id"), F.lit(0).alias("depth"))
 
 
@@ -179,13 +180,13 @@ def straight_joints(edges: DataFrame, nodes: DataFrame, most: float = 0.01) -> D
 def nearest(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Of each points(point, x, y, keys) the nearest node within a cell's size: node and distance, by a grid of cells.
 
-    A point meets the nodes of nine cells, whatever the size of the table.
+    A point meets the nodes of nine cells, whatever the size of the table. Of equal distances, to a nanometre, the smaller id wins.
     """
     grid = lambda c: F.floor(F.col(c) / cell)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     p = points.withColumn("_o", around).withColumn("_cx", grid("x") + F.col("_o.i")).withColumn("_cy", grid("y") + F.col("_o.j")).drop("_o")
     n = nodes.select(*keys, F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell))
-    near = p.join(n, [*keys, "_cx", "_cy"]).withColumn("_d", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).where(F.col("_d") <= cell)
+    near = p.join(n, [*keys, "_cx", "_cy"]).withColumn("_d", F.round(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")), 9)).where(F.col("_d") <= cell)
     best = near.groupBy("point").agg(F.min(F.struct("_d", "_id")).alias("_b"))
     return points.join(best, "point", "left").select(*points.columns, F.col("_b._id").alias("node"), F.col("_b._d").alias("distance"))
 

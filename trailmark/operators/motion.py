@@ -41,6 +41,12 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), (F.size(values) / 2).cast("int"))
 
 
+def middle(values: Column) -> Column:
+    """Median of an array, the mean of the two middle values where their number is even; null without values."""
+    v, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.get(v, ((n - 1) / 2).cast("int")) + F.get(v, (n / 2).cast("int"))) / 2)
+
+
 def circular_mean(rows: DataFrame, keys: list[str], angle: str, agree: float = 0.95) -> DataFrame:
     """Mean direction in degrees, the resultant's length, and whether it is at least agree."""
     got = rows.groupBy(*keys).agg(F.sum(F.sin(F.radians(angle))).alias("_s"), F.sum(F.cos(F.radians(angle))).alias("_c"), F.count("*").alias("n"))
@@ -137,13 +143,15 @@ def silent_stretches(rows: DataFrame, keys: list[str], t: str, limits: tuple[flo
 def learnt(rows: DataFrame, keys: list[str], order: list[str], value: str, last: int, least: int) -> DataFrame:
     """Adds estimate: the median of the last so many values up to a row; null where there are fewer than least."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-last + 1, 0)
-    return rows.withColumn("_n", F.count(value).over(w)).withColumn("estimate", F.when(F.col("_n") >= least, F.median(value).over(w))).drop("_n")
+    held = rows.withColumn("_v", F.collect_list(value).over(w))
+    return held.withColumn("estimate", F.when(F.size("_v") >= least, middle(F.col("_v")))).drop("_v")
 
 
 def stair_scores(rows: DataFrame, keys: list[str], order: list[str], spread: str, ratio: str, weight: float = 1.0, flat: int = 60, least: int = 10) -> DataFrame:
     """Adds score: how unlike a person's steps on the level a step is, from logarithms of two features over their medians of the flat steps before."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-flat, -1)
-    based = rows.withColumn("_n", F.count(spread).over(w)).withColumn("_s", F.median(spread).over(w)).withColumn("_r", F.median(ratio).over(w))
+    held = rows.withColumn("_vs", F.collect_list(spread).over(w)).withColumn("_vr", F.collect_list(ratio).over(w))
+    based = held.withColumn("_n", F.size("_vs")).withColumn("_s", middle(F.col("_vs"))).withColumn("_r", middle(F.col("_vr"))).drop("_vs", "_vr")
     good = (F.col("_n") >= least) & (F.col("_s") > 0) & (F.col("_r") > 0) & (F.col(spread) > 0) & (F.col(ratio) > 0)
     return based.withColumn("score", F.when(good, weight * F.ln(F.col(spread) / F.nullif("_s", F.lit(0.0))) - F.ln(F.col(ratio) / F.nullif("_r", F.lit(0.0))))).drop("_n", "_s", "_r")
 
