@@ -310,8 +310,8 @@ def coefficients(raw: bytes) -> Image:
 def _scan(segments: list[bytes], chosen: list[Component], which: list[int], tables: dict[int, Huffman], lo: int, hi: int, high: int, low: int, restart: int) -> None:
     if len(chosen) == 1:
         c = chosen[0]
-        flat = c.coef if c.coef.shape[:2] == (c.high, c.wide) else c.coef[: c.high, : c.wide]
-        own = flat.reshape(-1, 64)  # a copy where the grid is padded
+        padded_grid = c.coef.shape[:2] != (c.high, c.wide)
+        own = c.coef[: c.high, : c.wide].reshape(-1, 64)  # a copy where the grid is padded
         step = restart or len(own)
         for i, raw in enumerate(segments):
             part, bits = own[i * step : (i + 1) * step], Bits(raw)
@@ -321,7 +321,7 @@ def _scan(segments: list[bytes], chosen: list[Component], which: list[int], tabl
                 _ac_refine(bits, part, tables[16 | which[0] & 15], lo, hi, low)
             else:
                 _ac_first(bits, part, tables[16 | which[0] & 15], lo, hi, low)
-        if own.base is None:
+        if padded_grid:
             c.coef[: c.high, : c.wide] = own.reshape(c.high, c.wide, 64)
         return
     down, across = chosen[0].coef.shape[0] // chosen[0].v, chosen[0].coef.shape[1] // chosen[0].h
