@@ -120,10 +120,10 @@ def buffer(spark, d):
 
 @query("q_st9_height_gain", f"""with {READINGS}, k as (select user_id, value - 100 as a, row_number() over (partition by user_id order by t) as k, count(*) over (partition by user_id) as n from readings),
     v as (select *, sum(a) over (partition by user_id order by k rows unbounded preceding) * 0.5 as v from k), b as (select *, coalesce(lag(v) over (partition by user_id order by k), 0) as p, last_value(v) over (partition by user_id order by k rows between unbounded preceding and unbounded following) as drift from v)
-    select user_id, round(sum(((p + v) / 2 - drift * (k - 0.5::double) / n) * 0.5), 2) as height from b group by user_id""")
+    select user_id, round(sum(((p + v) / 2 - drift * (k - 0.5::double) / n) * 0.5), 7) as height from b group by user_id""")
 def height(spark, d):
     r = readings(spark, d).withColumn("a", F.col("value") - 100)
-    return op.height_gain(r, ["user_id"], ["t"], "a", 0.5).select("user_id", F.round("height", 2).alias("height"))
+    return op.height_gain(r, ["user_id"], ["t"], "a", 0.5).select("user_id", F.round("height", 7).alias("height"))
 
 
 @query("q_st15_agreed_votes", f"""with {READINGS}, v as (select event_id, user_id, t, case when event_type in ('view', 'click') then 'in' when event_type = 'error' then null else 'out' end as vote from readings),

@@ -1 +1 @@
-
+"""Readers and writers: plans, campus maps, timetables, recordings, keyed tables."""
