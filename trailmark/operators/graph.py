@@ -219,3 +219,39 @@ def instructions(path: DataFrame, key: str = "route", turn: float = 35.0, back:
     rank = F.when(F.col("action") == "start", 0).when(F.col("action") == "arrive", 2).otherwise(1)
     seq = Window.partitionBy(key).orderBy("pos", rank, "action")
     return every.join(walked, [key, "pos"]).select(key, F.row_number().over(seq).alias("seq"), "action", (F.col("_upto") - F.coalesce(F.lag("_upto").over(seq), F.lit(0.0))).alias("metres"))
+
+
+def similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The scale, rotation (degrees) and shift that bring points (x, y) nearest to (u, v), least squares, per key."""
+    s = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("u").alias("mu"), F.avg("v").alias("mv"), *[F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xu", "yv", "xv", "yu", "xx", "yy")])
+    square = F.nullif(F.col("xx") - F.col("mx") * F.col("mx") + F.col("yy") - F.col("my") * F.col("my"), F.lit(0.0))
+    a = (F.col("xu") - F.col("mx") * F.col("mu") + F.col("yv") - F.col("my") * F.col("mv")) / square
+    b = (F.col("xv") - F.col("mx") * F.col("mv") - F.col("yu") + F.col("my") * F.col("mu")) / square
+    return s.select(*keys, F.hypot(a, b).alias("scale"), F.degrees(F.atan2(b, a)).alias("rotation"), (F.col("mu") - a * F.col("mx") + b * F.col("my")).alias("dx"), (F.col("mv") - b * F.col("mx") - a * F.col("my")).alias("dy"))
+
+
+def with_fallback(wanted: DataFrame, otherwise: DataFrame, key: str = "request") -> DataFrame:
+    """Routes of a profile that avoids something, and for requests without one those of the plain profile, marked fallback."""
+    rest = otherwise.join(wanted.select(key), key, "left_anti").withColumn("fallback", F.lit(True))
+    return wanted.withColumn("fallback", F.lit(False)).unionByName(rest)
+
+
+def crowd_percent(path: DataFrame, key: str = "request", least: int = 5) -> DataFrame:
+    """The most that a crowd slows a route down, in percent; null where it is below least."""
+    got = path.groupBy(key).agg(F.round((F.max("crowd") - 1) * 100).cast("int").alias("_p"))
+    return got.select(key, F.when(F.col("_p") >= least, F.col("_p")).alias("percent"))
+
+
+def from_point(points: DataFrame, nodes: DataFrame, arcs: DataFrame, keys: list[str], cell: float, speed: float = WALKING_SPEED) -> DataFrame:
+    """request, node and cost of ways that begin at points: straight to the nearest node, then along the arcs."""
+    near = nearest(points, nodes, keys, cell).where("node is not null").select(F.col("point").alias("request"), "node", (F.col("distance") / speed).alias("leg"))
+    found = shortest_times(arcs, near.select("request", "node"))
+    return found.join(near.select("request", "leg"), "request").select("request", "node", (F.col("cost") + F.col("leg")).alias("cost"))
+
+
+def stair_keys(ids: DataFrame) -> DataFrame:
+    """Stairs of ids such as "A-S1-2" or "A-S1-2-D": key without floor and side, floors from lowest to highest, and how many lead down."""
+    plain = F.regexp_replace("id", "-D$", "")
+    key = F.regexp_replace(plain, r"-?\d+$", "")
+    floor = F.regexp_extract(plain, r"(-?\d+)$", 1).try_cast("int")
+    return ids.select(key.alias("key"), floor.alias("_f"), F.endswith("id", F.lit("-D")).alias("_d")).groupBy("key").agg(F.min("_f").alias("lowest"), F.max("_f").alias("highest"), F.sum(F.col("_d").cast("int")).alias("n_down"))

@@ -169,3 +169,25 @@ def misses(positions: DataFrame, marks: DataFrame, keys: list[str], t: str) -> D
     w = Window.partitionBy(*keys).orderBy(F.col(t), F.col("_m").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_p", F.last("_p", ignorenulls=True).over(w)).where("_m is not null and _p is not null")
     return seen.select(*keys, t, F.hypot(F.col("_p.x") - F.col("_m.mx"), F.col("_p.y") - F.col("_m.my")).alias("miss"))
+
+
+def loops(rows: DataFrame, keys: list[str], order: list[str], turn: str, steps: int = 40, degrees: float = 330.0) -> DataFrame:
+    """Adds turned (over the last so many steps) and loop: whether it is a whole turn, either way."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-steps + 1, 0)
+    return rows.withColumn("turned", F.sum(turn).over(w)).withColumn("loop", F.abs("turned") >= degrees)
+
+
+def heading_check(rows: DataFrame, least: float = 10.0, straight: float = 0.85, ratio: tuple[float, float] = (0.7, 1.4)) -> DataFrame:
+    """Adds error (degrees) and reliable to marks with walked (dx, dy, length) and true (tx, ty) ways."""
+    true, gone = F.hypot("tx", "ty"), F.hypot("dx", "dy")
+    error = wrapped(F.degrees(F.atan2("dx", -F.col("dy"))) - F.degrees(F.atan2("tx", -F.col("ty"))))
+    good = (true >= least) & (gone >= straight * F.col("length")) & (F.col("length") / F.nullif(true, F.lit(0.0))).between(*ratio)
+    return rows.withColumn("error", error).withColumn("reliable", F.coalesce(good, F.lit(False)))
+
+
+def course_mismatch(rows: DataFrame, keys: list[str], order: list[str], heading: str, course: str, steps: int = 8, degrees: float = 40.0) -> DataFrame:
+    """Adds mismatch (mean over the last so many steps of course less heading) where the steps are there and it is more than degrees, else null."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-steps + 1, 0)
+    off = wrapped(F.col(course) - F.col(heading))
+    full = rows.withColumn("_off", off).withColumn("_n", F.count("_off").over(w)).withColumn("_m", F.avg("_off").over(w))
+    return full.withColumn("mismatch", F.when((F.col("_n") == steps) & (F.abs("_m") > degrees), F.col("_m"))).drop("_off", "_n", "_m")
