@@ -31,6 +31,8 @@ from .common import small_batches
 
 #: Texts of about so many characters are searched together.
 TOGETHER = 3_000_000
+#: Units that a worker keeps the lattice of.
+KEPT = 100_000
 #: No variate from 53-bit random numbers exceeds its location by more.
 HIGHEST = 37.0
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -51,7 +53,62 @@ def _uniform(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 @functools.cache
 def _model(path: str, alpha: float):
     logp, byte = pieces.rank_log_probs(path, alpha)
-    return pieces.load(path), pieces.automaton(path), logp, byte
+    return _prefixes(path), logp.astype(np.float64), byte
+
+
+@functools.cache
+def _prefixes(path: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """The vocabulary's prefixes by length: the number of each first character, the sorted (prefix, next character) keys with the
+    numbers they lead to, and by length and number the piece that ends there (-1: none)."""
+    v = pieces.load(path)
+    level: dict[str, int] = {"": 0}
+    steps, ending, first = [], [], np.full(0x110000, -1, np.int32)
+    for length in range(1, max(len(v.texts[i]) for i in v.matched) + 1):
+        heads = sorted({v.texts[i][:length] for i in v.matched.tolist() if len(v.texts[i]) >= length})
+        number = {h: n for n, h in enumerate(heads)}
+        key = np.array([level[h[:-1]] << 21 | ord(h[-1]) for h in heads], np.int64)
+        order = np.argsort(key)
+        steps.append((key[order], np.arange(len(heads), dtype=np.int32)[order]))
+        if length == 1:
+            first[[ord(h) for h in heads]] = np.arange(len(heads))
+        ending.append(np.full(len(heads), -1, np.int32))
+        level = number
+        for i in v.matched.tolist():
+            if len(v.texts[i]) == length:
+                ending[-1][number[v.texts[i]]] = i
+    return first, steps, ending
+
+
+def _matches(code: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End, length and piece of every occurrence in the text, by end and then by falling length: all places go down the prefixes together."""
+    first, steps, ending = _prefixes(path)
+    at, state = np.arange(len(code)), first[code]
+    ends, lengths, found = [], [], []
+    for depth, (keys, to) in enumerate(steps, 1):
+        if depth > 1:
+            inside = at + depth <= len(code)
+            at, state = at[inside], state[inside]
+            key = state.astype(np.int64) << 21 | code[at + depth - 1]
+            place = np.searchsorted(keys, key)
+            place[place == len(keys)] = 0
+            live = keys[place] == key
+            at, state = at[live], to[place[live]]
+        else:
+            live = state >= 0
+            at, state = at[live], state[live]
+        if not len(at):
+            break
+        piece = ending[depth - 1][state]
+        hit = piece >= 0
+        ends.append(at[hit] + depth)
+        lengths.append(np.full(int(hit.sum()), depth))
+        found.append(piece[hit])
+    if not ends:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.int32)
+    end = np.concatenate(ends[::-1])
+    order = np.argsort(end, kind="stable")
+    return end[order], np.concatenate(lengths[::-1])[order], np.concatenate(found[::-1])[order]
 
 
 @dataclass
@@ -61,6 +118,7 @@ class Lattice:
     begin: np.ndarray
     end: np.ndarray
     first: np.ndarray  # by node, its first edge; first[node + 1] follows its last
+    to: np.ndarray
     start: np.ndarray
     piece: np.ndarray  # -1 - code point for a character that no piece covers
     logq: np.ndarray  # of the edge, given the node it ends at
@@ -68,15 +126,14 @@ class Lattice:
 
 
 def build(words: list[str], path: str, alpha: float) -> Lattice:
-    vocab, find, logp, byte = _model(path, alpha)
+    _, logp, byte = _model(path, alpha)
     text = "\n".join(words)  # no piece has a line end
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     begin = end - size
     nodes = len(text) + 1
-    hits = np.fromiter(itertools.chain.from_iterable(find.iter(text)), np.int64).reshape(-1, 2)
-    to, piece, length = hits[:, 0] + 1, hits[:, 1] >> 6, hits[:, 1] & 63
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    to, length, piece = _matches(code, path)
     alone = np.ones(nodes - 1, bool)
     alone[to[length == 1] - 1] = False
     alone[end[:-1]] = False
@@ -85,13 +142,9 @@ def build(words: list[str], path: str, alpha: float) -> Lattice:
     at = np.searchsorted(to, extra + 1, side="right")
     to, start = np.insert(to, at, extra + 1), np.insert(to - length, at, extra)
     weight = np.insert(logp[piece], at, byte * width)
-    piece = np.insert(piece, at, -1 - code[extra])
+    piece = np.insert(piece, at, (-1 - code[extra]).astype(np.int32))
     # forward sums, all units by one position at a time
-    rel = np.zeros(nodes, np.int64)
-    rel[:] = np.arange(nodes)
-    owner = np.repeat(np.arange(len(words)), size + 1)[:nodes]
-    rel -= begin[owner]
-    level = rel[to]
+    level = to - np.repeat(begin, size + 1)[:nodes][to]
     order = np.argsort(level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level, kind="stable")
     bounds = np.searchsorted(level[order], np.arange(1, level.max(initial=0) + 2))
     alpha_, o_to, o_start, o_w = np.zeros(nodes), to[order], start[order], weight[order]
@@ -103,11 +156,65 @@ def build(words: list[str], path: str, alpha: float) -> Lattice:
         most = np.maximum.reduceat(v, head)
         alpha_[t[head]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, np.diff(np.r_[head, b - a]))), head))
     logq = weight + alpha_[start] - alpha_[to]
-    first = np.searchsorted(to, np.arange(nodes + 1))
-    total = np.cumsum(np.exp(logq))
-    upto = total - np.r_[0.0, total][first[to]]
-    upto[first[1:][np.diff(first) > 0] - 1] = np.inf  # the last edge takes what rounding left
-    return Lattice(begin, end, first, start, piece, logq, upto)
+    first = np.r_[0, np.cumsum(np.bincount(to, minlength=nodes))]
+    upto, number = np.exp(logq), np.diff(first)
+    at = first[:-1][number > 1]
+    last = first[1:][number > 1] - 1
+    while at.size:  # node by node, so that a sum doesn't depend on what else is searched
+        upto[at + 1] += upto[at]
+        at, last = (at + 1)[at + 1 < last], last[at + 1 < last]
+    upto[first[1:][number > 0] - 1] = np.inf  # the last edge takes what rounding left
+    return Lattice(begin, end, first, to, start, piece, logq, upto)
+
+
+def _joined(one: Lattice, two: Lattice) -> Lattice:
+    """Both lattices' units, those of one first."""
+    nodes, edges = len(one.first) - 1, len(one.to)
+    shifted = {"begin": nodes, "end": nodes, "to": nodes, "start": nodes}
+    parts = {f: np.concatenate([getattr(one, f), getattr(two, f) + shifted.get(f, 0)]) for f in ("begin", "end", "to", "start", "piece", "logq", "upto")}
+    return Lattice(first=np.concatenate([one.first[:-1], two.first + edges]), **parts)
+
+
+class Lattices:
+    """The units of one batch after another; units that come again are kept, up to a bound on memory, the others are built for their batch."""
+
+    def __init__(self, path: str, alpha: float):
+        self.path, self.alpha = path, alpha
+        self.kept: dict[str, int] = {}
+        self.lattice: Lattice | None = None
+        self.met: set[str] = set()
+        self.again: dict[str, None] = {}
+
+    def of(self, units: list[str]) -> tuple[Lattice, np.ndarray]:
+        """The lattice, and the number in it of each unit."""
+        number = np.fromiter(map(self.kept.get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return self.lattice, number
+        words = [units[i] for i in missing.tolist()]
+        fresh = dict.fromkeys(words)
+        fresh = dict(zip(fresh, range(len(self.kept), len(self.kept) + len(fresh)), strict=True))
+        number[missing] = np.fromiter(map(fresh.__getitem__, words), np.int64, len(words))
+        new = build([pieces.SPACE + u for u in fresh], self.path, self.alpha)
+        lattice = _joined(self.lattice, new) if self.lattice else new
+        if len(self.kept) < KEPT:
+            self.again.update(dict.fromkeys(u for u in fresh if u in self.met and len(u) <= 32))
+            if len(self.met) > 4 * KEPT:
+                self.met.clear()
+            self.met.update(fresh)
+            if len(self.again) >= 10_000:
+                new = build([pieces.SPACE + u for u in self.again], self.path, self.alpha)
+                self.kept |= dict(zip(self.again, range(len(self.kept), len(self.kept) + len(self.again)), strict=True))
+                self.lattice = _joined(self.lattice, new) if self.lattice else new
+                self.met.difference_update(self.again)
+                self.again = {}
+        return lattice, number
+
+
+@functools.cache
+def _lattices(path: str, alpha: float) -> Lattices:
+    """One per worker process."""
+    return Lattices(path, alpha)
 
 
 def _descend(lat: Lattice, node: np.ndarray, stop: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,42 +254,37 @@ class Sample:
     gumbel: float
 
 
-def _siblings(lat: Lattice, path: np.ndarray, logq: np.ndarray, owner: np.ndarray, prior: np.ndarray, depth: np.ndarray, gumbel: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All other edges at the nodes of a path: index into path, edge, log-probability and truncated Gumbel variate."""
-    to = np.searchsorted(lat.first, path, side="right") - 1
-    low = lat.first[to]
-    n = lat.first[to + 1] - low
-    which = np.repeat(np.arange(len(path)), n)
-    every = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
-    side = every != path[which]
-    which, every = which[side], every[side]
-    phi = prior[which] + lat.logq[every]
-    of = owner[which]
-    rnd = -np.log(_uniform(key[of], (depth[which] << 16) + (every - low[which]) + (1 << 60)))
-    return which, every, phi, phi - np.log(np.exp(phi - gumbel[of]) + rnd)
+def _truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variates of a location, given that they are below a bound."""
+    return location - np.log(np.exp(location - bound) - np.log(u))
 
 
 def _offer(lat: Lattice, heaps: list[list[tuple]], ds: list[int], turn: int, wanted: int, edges: np.ndarray, begins: np.ndarray, ends: np.ndarray, lp: np.ndarray, gumbel: np.ndarray, first_depth: np.ndarray, key: np.ndarray) -> None:
-    """Puts the best siblings along the walked paths on their texts' heaps, as far down as one of the wanted best can be."""
+    """Puts what branches off the walked paths on their texts' heaps, as far down as one of the wanted best can be.
+
+    All branches at a node stand as one, with the greatest of their variates; which branch has it is drawn when it is taken up.
+    """
     logq = lat.logq[edges]
     run = np.r_[0.0, np.cumsum(logq)]
-    open_, a, b = np.arange(len(ds)), 0, 48
+    open_, a, b = np.arange(len(ds)), 0, 256
     while open_.size:
         lo, hi = begins[open_] + a, np.minimum(begins[open_] + b, ends[open_])
         n = np.maximum(hi - lo, 0)
-        owner = np.repeat(open_, n)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        prior = lp[owner] + run[at] - run[begins[owner]]
-        which, every, phi, value = _siblings(lat, edges[at], logq[at], owner, prior, first_depth[owner] + at - begins[owner], gumbel, key)
-        if len(which):
-            of = owner[which]
+        of = np.repeat(open_, n)
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        off = -np.expm1(logq[at])
+        some = off > 1e-300
+        at, of, off = at[some], of[some], off[some]
+        if len(at):
+            depth = first_depth[of] + at - begins[of]
+            value = _truncated(lp[of] + run[at] - run[begins[of]] + np.log(off), gumbel[of], _uniform(key[of], (depth << 16) + (1 << 60)))
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             width = np.diff(np.r_[heads, len(of)])
             for _ in range(wanted):
                 most = np.maximum.reduceat(value, heads)
                 best = np.flatnonzero((value == np.repeat(most, width)) & (value > -np.inf))
-                for j, o, d, v, e, f in zip(best.tolist(), of[best].tolist(), (first_depth[of[best]] + at[which[best]] - begins[of[best]]).tolist(), value[best].tolist(), every[best].tolist(), phi[best].tolist(), strict=True):
-                    heapq.heappush(heaps[ds[o]], (-v, turn, d, e, f))
+                for o, d, v, e in zip(of[best].tolist(), depth[best].tolist(), value[best].tolist(), edges[at[best]].tolist(), strict=True):
+                    heapq.heappush(heaps[ds[o]], (-v, turn, d, (e,)))
                 value[best] = -np.inf
         reached = (lp[open_] + run[np.minimum(begins[open_] + b, ends[open_])] - run[begins[open_]]).tolist()
         more = (begins[open_] + b < ends[open_]).tolist()
@@ -190,13 +292,35 @@ def _offer(lat: Lattice, heaps: list[list[tuple]], ds: list[int], turn: int, wan
         open_, a, b = open_[keep], b, b * 4
 
 
-def search(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float) -> tuple[Lattice, list[list[Sample]], list[float]]:
+def _take(lat: Lattice, heap: list[tuple], samples: list[Sample], key: np.ndarray) -> tuple[float, Sample, int, int, float]:
+    """The best branch: its variate, the sample it leaves, the depth, its edge and the log-probability upto it. The node's other branches go back."""
+    v, of, depth, gone = heapq.heappop(heap)
+    old = samples[of]
+    node = int(lat.to[gone[0]])
+    lo, hi = int(lat.first[node]), int(lat.first[node + 1])
+    weight = np.exp(lat.logq[lo:hi])
+    weight[[e - lo for e in gone]] = 0.0
+    run = np.cumsum(weight)
+    place = np.array([(depth << 16) + len(gone)])
+    j = min(int(np.searchsorted(run, _uniform(key, place + (1 << 61))[0] * run[-1], side="right")), hi - lo - 1)
+    while not weight[j]:
+        j -= 1
+    prior = float(lat.logq[old.edges[:depth]].sum())
+    weight[j] = 0.0
+    left = float(weight.sum())
+    if left > 1e-300:
+        again = _truncated(np.array([prior + math.log(left)]), np.array([-v]), _uniform(key, place + (1 << 62)))
+        heapq.heappush(heap, (-float(again[0]), of, depth, (*gone, lo + j)))
+    return -v, old, depth, lo + j, prior + float(lat.logq[lo + j])
+
+
+def search(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float) -> tuple[Lattice | None, list[list[Sample]], list[float]]:
     """Of each text its k best samples, best first, and the variate of the one after (-inf where there is none)."""
-    known: dict[str, int] = {}
-    spread = [[known.setdefault(u, len(known)) for u in reversed(pieces.units(t))] for t in texts]
-    lat = build([pieces.SPACE + u for u in known], path, alpha)
+    spread = [pieces.units(t)[::-1] for t in texts]
+    if not any(spread):
+        return None, [[] for _ in texts], [-math.inf] * len(texts)
+    lat, unit = _lattices(path, alpha).of(list(itertools.chain.from_iterable(spread)))
     number = np.fromiter(map(len, spread), np.int64, len(texts))
-    unit = np.fromiter((u for s in spread for u in s), np.int64, int(number.sum()))
     head = np.cumsum(number) - number
     size = lat.end[unit] - lat.begin[unit] + 1
     place = np.cumsum(size) - size
@@ -207,13 +331,14 @@ def search(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float)
     rest = [-math.inf] * len(texts)
     root = (-np.log(-np.log(_uniform(keys, np.full(len(texts), 1 << 50))))).tolist()
     none = np.zeros(0, np.int64)
+    turn_keys = [_mix(keys + _mix(np.full(1, t + 1, np.uint64))) for t in range(k)]
     # to walk down next: text, variate, edges so far, their units' ends, their log-probability, unit to go on in, node (-1: its end)
     chosen = [(d, root[d], none, none, 0.0, 0, -1) for d in range(len(texts)) if number[d]]
     for turn in range(k):
         if not chosen:
             break
         ds = [c[0] for c in chosen]
-        salt = _mix(keys[ds] + _mix(np.full(1, turn + 1, np.uint64)))
+        salt = turn_keys[turn][ds]
         frm = head[ds] + np.array([c[5] for c in chosen])
         left = head[ds] + number[ds] - frm
         starts = np.cumsum(left) - left
@@ -234,10 +359,10 @@ def search(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float)
             if turn + 1 == k:
                 rest[d] = -heaps[d][0][0] if heaps[d] else -math.inf
             elif heaps[d]:
-                v, of, depth, edge, phi = heapq.heappop(heaps[d])
-                old = samples[d][of]
+                branch = turn_keys[heaps[d][0][1]][d : d + 1]
+                g, old, depth, edge, phi = _take(lat, heaps[d], samples[d], branch)
                 at = int(np.searchsorted(old.upto, depth, side="right"))
-                chosen.append((d, -v, np.r_[old.edges[:depth], edge], old.upto[:at], phi, at, int(lat.start[edge])))
+                chosen.append((d, g, np.r_[old.edges[:depth], edge], old.upto[:at], phi, at, int(lat.start[edge])))
     return lat, samples, rest
 
 
@@ -252,17 +377,23 @@ def _ids(lat: Lattice, edges: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _surfaces(path: str) -> list[bytes]:
+def _surfaces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all pieces one after another, where each begins and how many it has."""
     v = pieces.load(path)
     out = [t.replace(pieces.SPACE, " ").encode() for t in v.texts]
     for b, i in enumerate(v.byte_ids.tolist()):
         out[i] = bytes([b])
-    return out
+    size = np.array([len(x) for x in out])
+    return np.frombuffer(b"".join(out), np.uint8), np.cumsum(size) - size, size
 
 
 def decode(ids: np.ndarray, path: str) -> str:
     """The text of a sequence of piece ids; bytes that aren't UTF-8 become U+FFFD."""
-    text = b"".join(map(_surfaces(path).__getitem__, ids.tolist())).decode("utf-8", "replace")
+    flat, begin, size = _surfaces(path)
+    n = size[ids]
+    upto = np.cumsum(n)
+    at = np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(begin[ids] - (upto - n), n)
+    text = flat[at].tobytes().decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
