@@ -255,3 +255,33 @@ def stair_keys(ids: DataFrame) -> DataFrame:
     key = F.regexp_replace(plain, r"-?\d+$", "")
     floor = F.regexp_extract(plain, r"(-?\d+)$", 1).try_cast("int")
     return ids.select(key.alias("key"), floor.alias("_f"), F.endswith("id", F.lit("-D")).alias("_d")).groupBy("key").agg(F.min("_f").alias("lowest"), F.max("_f").alias("highest"), F.sum(F.col("_d").cast("int")).alias("n_down"))
+
+
+def nearest_on_edges(points: DataFrame, segments: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Of each points(point, x, y, keys) the nearest of segments(edge, ax, ay, bx, by, keys) within a cell's size: edge, share along it and distance.
+
+    A segment stands in every grid cell that its box touches, so a point meets nearby segments only.
+    """
+    from ..functions.geo import share_along
+
+    span = lambda p, q: F.sequence(F.floor(F.least(p, q) / cell), F.floor(F.greatest(p, q) / cell))
+    s = segments.withColumn("_cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("_cy", F.explode(span(F.col("ay"), F.col("by"))))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    p = points.withColumn("_o", around).withColumn("_cx", F.floor(F.col("x") / cell) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("y") / cell) + F.col("_o.j")).drop("_o")
+    t = share_along(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
+    near = p.join(s, [*keys, "_cx", "_cy"]).withColumn("_t", t)
+    off = F.hypot(F.col("x") - F.col("ax") - F.col("_t") * (F.col("bx") - F.col("ax")), F.col("y") - F.col("ay") - F.col("_t") * (F.col("by") - F.col("ay")))
+    near = near.withColumn("_d", F.round(off, 9)).where(F.col("_d") <= cell)
+    best = near.groupBy("point").agg(F.min(F.struct("_d", "edge", "_t")).alias("_b"))
+    return points.join(best, "point", "left").select(*points.columns, F.col("_b.edge").alias("edge"), F.col("_b._t").alias("share"), F.col("_b._d").alias("distance"))
+
+
+def containing(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """Each point with the first area (id) whose outline holds it and whose holes don't. Areas are a small dimension, told apart by their boxes first."""
+    from ..functions.geo import in_area
+
+    ends = lambda f, i: f(F.transform("outline", lambda p: F.get(p, F.lit(i))))
+    boxed = areas.select(F.col("id").alias("_id"), "outline", "holes", *[ends(f, i).alias(n) for f, i, n in ((F.array_min, 0, "_x0"), (F.array_max, 0, "_x1"), (F.array_min, 1, "_y0"), (F.array_max, 1, "_y1"))])
+    near = points.join(F.broadcast(boxed), (F.col("x") >= F.col("_x0")) & (F.col("x") <= F.col("_x1")) & (F.col("y") >= F.col("_y0")) & (F.col("y") <= F.col("_y1")))
+    held = near.where(in_area(F.col("x"), F.col("y"), F.col("outline"), F.col("holes"))).groupBy("point").agg(F.min("_id").alias("area"))
+    return points.join(held, "point", "left")

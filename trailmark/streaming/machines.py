@@ -121,3 +121,44 @@ def lift_rides(threshold: float = 0.25, least: float = 0.5, longest: int = 45_00
             s["walked"] += int(r.steps)
 
     return Machine(start, step, "start long, stop long, direction int", ("t", "value", "steps"))
+
+
+def tilt_filter(gain: float = 0.02) -> Machine:
+    """Roll and pitch in degrees from turn rates (gx, gy in degrees a second) and gravity (ax, ay, az): rates are integrated, gravity pulls slowly."""
+
+    def start() -> dict[str, Any]:
+        return {"t": None, "roll": 0.0, "pitch": 0.0}
+
+    def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
+        roll, pitch = math.degrees(math.atan2(r.ay, r.az)), math.degrees(math.atan2(-r.ax, math.hypot(r.ay, r.az)))
+        if s["t"] is None:
+            s.update(roll=roll, pitch=pitch)
+        else:
+            dt = (r.t - s["t"]) / 1e9
+            for name, rate, seen in (("roll", r.gx, roll), ("pitch", r.gy, pitch)):
+                ahead = s[name] + rate * dt
+                off = math.fmod(math.fmod(seen - ahead, 360.0) + 540.0, 360.0) - 180.0
+                s[name] = ahead + gain * off
+        s["t"] = int(r.t)
+        yield r.t, s["roll"], s["pitch"]
+
+    return Machine(start, step, "t long, roll double, pitch double", ("t", "gx", "gy", "ax", "ay", "az"))
+
+
+def step_gate(needed: int = 4, pause: int = 1_500_000_000) -> Machine:
+    """Holds steps (t) back until so many follow each other without a pause, then lets them all go; a shorter burst is handling and is dropped."""
+
+    def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
+        if s["last"] is not None and r.t - s["last"] >= pause:
+            s.update(held=[], open=False)
+        s["last"] = int(r.t)
+        if s["open"]:
+            yield r.t, False
+            return
+        s["held"].append(int(r.t))
+        if len(s["held"]) >= needed:
+            for t in s["held"]:
+                yield t, t != r.t
+            s.update(held=[], open=True)
+
+    return Machine(lambda: {"last": None, "held": [], "open": False}, step, "t long, late boolean", ("t",))
