@@ -20,7 +20,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import running_start, save, small_batches
@@ -28,7 +28,7 @@ from .common import running_start, save, small_batches
 #: A chunk ends where the rolling hash of its last 16 ids has this many leading zeros, but is neither shorter nor longer than this.
 LEADING, SHORTEST, LONGEST = 9, 128, 4096
 #: Words whose ids a worker remembers; beyond, it starts anew. A bound on memory, not on the work.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
 #: Ids of a manifest block.
 BLOCK = 1 << 20
 #: Ranges of ids over which the running sum of starts is taken.
@@ -55,23 +55,45 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their names in a text are ordinary text
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 65536 else "<u4")
+        size = self.model.get_vocab_size()
+        self.spaced = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # ids that begin with a space
         self.known: dict[str, bytes] = {}  # of a piece after a space
+        self.heads: dict[str, bytes] = {}  # of a text's first piece
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space. The words begin with no white space, so many are encoded together: each begins at an id with a space."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 64):
+            some = words[a : a + 64]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type)
+            at = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(at) == len(some) and at[0] == 0:
+                raw, w = ids.tobytes(), ids.itemsize
+                out += [raw[i * w : j * w] for i, j in zip(at, [*at[1:], len(ids)], strict=True)]
+            else:
+                out += self._encode([" " + w for w in some])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
+        known, heads = self.known, self.heads
+        if len(known) + len(heads) > REMEMBERED:
             known.clear()
-        whole = {i for i, t in enumerate(texts) if _UNCUT.search(t)}
-        parts = [t.split(" ") if i not in whole else [t] for i, t in enumerate(texts)]
-        new = list({w for i, p in enumerate(parts) if i not in whole for w in p[1:]} - known.keys())
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            known.update(zip(some, self._encode([" " + w for w in some]), strict=True))
-        heads = self._encode([p[0] for p in parts])
-        return [head + b"".join(map(known.__getitem__, p[1:])) for head, p in zip(heads, parts, strict=True)]
+            heads.clear()
+        parts = [[t] if _UNCUT.search(t) else t.split(" ") for t in texts]
+        first = [p.pop(0) for p in parts]
+        new = set().union(*parts).difference(known)
+        plain = [w for w in new if w and not w[0].isspace()]
+        known.update(zip(plain, self._after_space(plain), strict=True))
+        other = [w for w in new if not w or w[0].isspace()]
+        known.update(zip(other, self._encode([" " + w for w in other]), strict=True))
+        begin = [w for w in dict.fromkeys(first) if w not in heads]
+        own = dict(zip(begin, self._encode(begin), strict=True))
+        out = [(heads.get(h) or own.get(h, b"")) + b"".join(map(known.__getitem__, p)) for h, p in zip(first, parts, strict=True)]
+        heads.update((w, ids) for w, ids in own.items() if len(w) <= 32)
+        return out
 
 
 @functools.cache
@@ -211,18 +233,9 @@ def write_store(docs: DataFrame, *, tokenizer: str | None = None, end_id: int |
                 rows.append((1, key_of(str(doc).encode()), doc, len(ids), b"".join(keys)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            keep = []
-            for i, (kind, key) in enumerate(zip(b.column("kind").to_pylist(), b.column("key").to_pylist(), strict=True)):
-                if kind or key not in seen:
-                    keep.append(i)
-                    if not kind:
-                        seen.add(key)
-            yield b.take(pa.array(keep, pa.int64()))
-
-    blobs = save(src.mapInArrow(run, schema).repartition("key").mapInArrow(once, schema).select("key", "doc_id", "n", "data", "kind"), "token-blobs", by=["kind"])
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
+    blobs = src.mapInArrow(run, schema).withColumn("_copy", copy).where("kind = 1 or _copy = 1")
+    blobs = save(blobs.select("key", "doc_id", "n", "data", "kind"), "token-blobs", by=["kind"])
     recipes = blobs.where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("data").alias("keys"))
     lo, hi = recipes.agg(F.min("doc_id"), F.max("doc_id")).first()
     width = ((hi or 0) - (lo or 0)) // RANGES + 1
@@ -269,25 +282,24 @@ def read_documents(store: Store) -> DataFrame:
                 got.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), key_of(raw) == key))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_())], ["key", "n", "crc", "sound"])
 
-    @F.pandas_udf("n long, crc long, root binary, sound boolean")
-    def joined(parts):
+    @F.pandas_udf("n long, crc long, root binary")
+    def joined(keys, sizes, crcs):
         import pandas as pd
 
-        rows = [list(p) for p in parts]
-        flat = [x for p in rows for x in p]
-        number = np.array([len(p) for p in rows], np.int64)
-        size = np.array([x["n"] for x in flat], np.int64)
-        crc = join_crcs(np.array([x["crc"] for x in flat], np.int64), 4 * size, number)
-        end = np.cumsum(number)
-        total = np.r_[0, np.cumsum(size)]
-        return pd.DataFrame({"n": total[end] - total[end - number], "crc": crc.astype(np.int64), "root": [merkle([x["key"] for x in p]) for p in rows], "sound": [all(x["sound"] for x in p) for p in rows]})
+        number = np.array([len(x) for x in sizes], np.int64)
+        size = np.concatenate([*sizes, []]).astype(np.int64)
+        crc = join_crcs(np.concatenate([*crcs, []]).astype(np.int64), 4 * size, number)
+        end, total = np.cumsum(number), np.r_[0, np.cumsum(size)]
+        root = [merkle([k[i : i + 16] for i in range(0, len(k), 16)]) for k in keys]
+        return pd.DataFrame({"n": total[end] - total[end - number], "crc": crc.astype(np.int64), "root": root})
 
     digests = store.chunks.select("key", "data").mapInArrow(digest, "key binary, n long, crc long, sound boolean")
-    parts = _references(store).join(digests, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "key", "n", "crc", "sound"))).alias("_parts"))
-    found = parts.select("start", joined("_parts").alias("_f"))
-    both = store.recipes.join(found, "start", "left")
-    good = (F.col("_f.sound") & (F.col("_f.n") == F.col("n_tokens")) & (F.col("_f.root") == F.col("root"))) | (F.col("n_tokens") == 0)
-    return both.select("doc_id", "start", F.coalesce("_f.n", F.lit(0).cast("long")).alias("n_tokens"), F.coalesce("_f.crc", F.lit(0).cast("long")).alias("ids_crc32"), F.coalesce(good, F.lit(False)).alias("verified"))
+    parts = _references(store).join(digests, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "n", "crc"))).alias("_p"), F.bool_and("sound").alias("_sound"))
+    both = store.recipes.join(parts, "start", "left")
+    each = lambda c: F.coalesce(F.transform("_p", lambda x: x[c]), F.array().cast("array<long>"))
+    full = both.withColumn("_f", joined("keys", each("n"), each("crc")))
+    same = (F.col("_f.n") == F.col("n_tokens")) & (F.col("_f.root") == F.col("root")) & (F.coalesce(F.size("_p"), F.lit(0)) * 16 == F.length("keys"))
+    return full.select("doc_id", "start", F.col("_f.n").alias("n_tokens"), F.col("_f.crc").alias("ids_crc32"), (same & F.coalesce("_sound", F.lit(True))).alias("verified"))
 
 
 def reconstruct(store: Store) -> DataFrame:
