@@ -7,7 +7,7 @@ candidate if it shares as many prefix shingles as the smaller l of the two asks
 
 Equal sets are one node, named by a fingerprint. Where many nodes share a shingle, all pairs of them are not formed: everyone is compared
 with one pivot first, links are merged into components, and only pairs across components, which alone can still change
-the result, are looked at afterwards.
+the result, are looked at afterwards. Histograms of the sets, which bound an overlap from above, spare sets of hopeless pairs the way.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +26,15 @@ from .common import bitmap_of, save, small_batches, with_hit
 #: Words of a shingle, and the share of the union that the intersection must have, as a fraction.
 SHINGLE, SHARE = 5, (3, 4)
 #: Counters of the frequency estimate: a fixed-size sketch of all shingles of all documents.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 #: Most shared shingles that a prefix may ask for, and the cost of verifying a candidate in postings scanned.
 MOST_SHARED, VERIFY_COST = 8, 20.0
+#: Other documents that a shingle is thought to be in which the sketch can't tell from chance.
+UNSEEN = 0.5
 #: Nodes that share a shingle from which on they meet by pivots.
 CROWD = 64
+#: Nodes of a crowd that are compared at once.
+CROWD_BLOCK = 1024
 #: Rounds of pivots at most; what they leave is compared pair by pair.
 PIVOT_ROUNDS = 6
 
@@ -42,36 +47,81 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: Buckets of a set's histogram: the sum of smaller counts bounds an overlap from above.
+BUCKETS = 256
+#: Texts of about so many characters are hashed together.
+TOGETHER = 1_000_000
+
+
 class Shingler:
     """Shingle sets of texts as sorted arrays of 64-bit hashes. Words are what white space (space and bytes 9 to 13) parts, A-Z in lower case."""
 
     def __init__(self, salt: int = 0, shingle: int = SHINGLE):
-        self.words: dict[bytes, int] = {}
-        self.salt, self.size = salt, shingle
-
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.words
-        if len(known) > 400_000:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            import xxhash
-
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w, self.salt)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        h, n = self._hashes(words), min(self.size, len(words))
-        out = np.full(len(h) - n + 1, np.uint64(n))
-        for i in range(n):
-            out = _mix(out * _P + h[i : len(h) - n + 1 + i])
-        return np.unique(out)
+        rng = np.random.default_rng(1000 + salt)
+        some = lambda n: rng.integers(0, 1 << 64, n, np.uint64)
+        self.letters, self.places, self.size = some(256), some(shingle) | np.uint64(1), shingle
+        self.letters[65:91] = self.letters[97:123]
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.base = int(some(1)[0]) | 1
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    def _power(self, n: int) -> None:
+        """Powers of base and of its inverse, modulo 2**64, up to n."""
+        if len(self.powers) < n:
+            n = max(n, 1 << 21)
+            self.powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, self.base, np.uint64)])
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(self.base, -1, 1 << 64), np.uint64)])
+
+    def _words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and beginning of each word: a polynomial in its bytes, from running sums."""
+        byte = np.frombuffer(raw, np.uint8)
+        self._power(len(byte) + 1)
+        gap = np.r_[True, self.blank[byte], True]
+        turn = np.flatnonzero(gap[1:] != gap[:-1])
+        begin, end = turn[::2], turn[1::2]
+        run = np.r_[np.uint64(0), np.cumsum(self.letters[byte] * self.powers[: len(byte)])]
+        return _mix((run[end] - run[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)), begin
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        at = np.cumsum(size + 1) - size - 1
+        h, begin = self._words(b" ".join(raw))
+        first = np.r_[np.searchsorted(begin, at), len(h)]
+        n = self.size
+        if len(h) >= n:
+            whole = sum((h[i : len(h) - n + 1 + i] * self.places[i] for i in range(n)), np.uint64(n))
+            whole = _mix(whole)
+        out = []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if hi - lo >= n:
+                x = np.sort(whole[lo : hi - n + 1])
+                keep = np.empty(len(x), bool)
+                keep[0] = True
+                np.not_equal(x[1:], x[:-1], out=keep[1:])
+                out.append(x[keep])
+            elif hi > lo:
+                out.append(_mix(np.array([sum(int(v) * int(p) for v, p in zip(h[lo:hi], self.places, strict=False)) + hi - lo & (1 << 64) - 1], np.uint64)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+        return out
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b] or "") <= TOGETHER):
+                size += len(texts[b] or "")
+                b += 1
+            yield from self._together([t or "" for t in texts[a:b]])
+            a = b
+
+
+def histogram(shingles: np.ndarray) -> bytes | None:
+    """Counts by bucket; none where a byte is too small for one."""
+    n = np.bincount((shingles >> np.uint64(8)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -93,13 +143,14 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
 
 def prefix(shingles: np.ndarray, extra: np.ndarray, share: tuple[int, int]) -> tuple[int, np.ndarray]:
     """The chosen l and the prefix. extra: by counter, the estimated number of other documents that have the shingle."""
-    estimate = extra[_slot(shingles)]
-    level = np.zeros(len(shingles), np.int64)
-    often = estimate > 0
-    level[often] = np.log2(estimate[often]).astype(np.int64) + 1
-    order = np.lexsort((shingles, level))
-    cost, need = np.cumsum(estimate[order]), int(least_overlap(len(shingles), share))
-    base = len(shingles) - need
+    estimate, need = extra[_slot(shingles)], int(least_overlap(len(shingles), share))
+    base, often = len(shingles) - need, estimate > 0
+    order = np.arange(len(shingles))
+    if often.any():
+        level = np.zeros(len(shingles), np.int64)
+        level[often] = np.log2(estimate[often]).astype(np.int64) + 1
+        order = np.argsort(level, kind="stable")  # the shingles are sorted
+    cost = np.cumsum(np.where(often, estimate, UNSEEN)[order])
     best, least = 1, math.inf
     for l in range(1, min(MOST_SHARED, need) + 1):  # noqa: E741
         scanned = float(cost[base + l - 1])
@@ -110,15 +161,15 @@ def prefix(shingles: np.ndarray, extra: np.ndarray, share: tuple[int, int]) -> t
 
 
 def _in_order(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[np.ndarray]:
-    return map(shingler.set_of, batch.column("text").to_pylist())
+    return shingler.sets(batch.column("text").to_pylist())
 
 
 #: Counters travel in blocks of so many.
-_BLOCK = 4096
+_BLOCK = 1 << 14
 
 
 def _fingerprints(docs: DataFrame, salt: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n and fingerprint (hi, lo) of each document; of kind 1, a few a task: n is a block, data its counts."""
+    """Rows of kind 0: doc_id, n, fingerprint (hi, lo) and histogram of each document; of kind 1, a few a task: n is a block, data its counts."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +181,11 @@ def _fingerprints(docs: DataFrame, salt: int) -> DataFrame:
             if sets:
                 count += np.bincount(_slot(np.concatenate(sets)), minlength=COUNTERS)
             prints = [fingerprint(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.nulls(len(sets), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[0] for x in prints], pa.int64()), pa.array([x[1] for x in prints], pa.int64()), pa.array([histogram(x) if len(x) else None for x in sets], pa.binary())], names)
         if count.any():
             n = COUNTERS // _BLOCK
-            data = [x.astype("<u4").tobytes() for x in count.reshape(n, _BLOCK)]
+            zstd = zstandard.ZstdCompressor(level=1)
+            data = [zstd.compress(x.astype("<u4").tobytes()) for x in count.reshape(n, _BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, ids), pa.array(np.arange(n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(data, pa.binary())], names)
 
     return docs.mapInArrow(run, f"kind int, doc_id {kind}, n long, hi long, lo long, data binary")
@@ -144,17 +196,19 @@ def _sketch(counts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unzip, zstd = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for b in batches:
             for k, data in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(data, "<u4").astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(unzip.decompress(data), "<u4").astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([zstd.compress(x.tobytes()) for x in total.values()], pa.binary())], ["n", "data"])
 
-    full = np.zeros(COUNTERS)
+    full, unzip = np.zeros(COUNTERS, np.float32), zstandard.ZstdDecompressor()
     for r in counts.select("n", "data").repartition("n").mapInArrow(run, "n long, data binary").collect():
-        full[r["n"] * _BLOCK : (r["n"] + 1) * _BLOCK] = np.frombuffer(r["data"], np.int64)
+        full[r["n"] * _BLOCK : (r["n"] + 1) * _BLOCK] = np.frombuffer(unzip.decompress(r["data"]), np.int64)
+    # taking chance for frequency now and then does no harm: any order finds all links
     usual = float(np.median(full))
-    return np.where(full > usual + 8 * math.sqrt(usual) + 1, full - usual, 0.0).astype(np.float32)
+    return np.where(full > usual + 3 * math.sqrt(usual) + 1, full - usual, 0.0).astype(np.float32)
 
 
 def _postings(docs: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
@@ -184,7 +238,7 @@ def _postings(docs: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, i
 
 
 def _meet(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Rows of kind 0: pairs of nodes that share a shingle which at most CROWD nodes have, and the smaller l; of kind 1: shingle, node, n and l of the others."""
+    """Rows of kind 0: pairs of nodes that share shingles which at most CROWD nodes have, in how many (n), and the smaller l; of kind 1: shingle, node, n and l of the others."""
     arranged = postings.repartition("shingle", F.col("meta").bitwiseAND(255)).sortWithinPartitions("shingle", "node")
     names, (num, den) = ["kind", "a", "b", "n", "l"], share
 
@@ -203,7 +257,7 @@ def _meet(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
             many = np.repeat(crowd, size)
             if many.any():
                 yield out(1, rows[many, 0], rows[many, 1], rows[many, 2] >> 16, rows[many, 2] >> 8 & 255)
-            few, size = rows[~many], size[~crowd]
+            few, size, pairs = rows[~many], size[~crowd], []
             place = np.arange(len(few)) - np.repeat(np.cumsum(size) - size, size)
             for step in range(1, int(size.max(initial=1))):  # each row with the one so many places before
                 at = np.flatnonzero(place >= step)
@@ -212,7 +266,12 @@ def _meet(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
                 fits = den * small >= num * large
                 if fits.any():
                     x, y = x[fits], y[fits]
-                    yield out(0, x[:, 1], y[:, 1], np.zeros(len(x), np.int64), np.minimum(x[:, 2] >> 8 & 255, y[:, 2] >> 8 & 255))
+                    pairs.append(np.stack([x[:, 1], y[:, 1], np.minimum(x[:, 2] >> 8 & 255, y[:, 2] >> 8 & 255)], 1))
+            if pairs:
+                found = np.concatenate(pairs)
+                found = found[np.lexsort((found[:, 1], found[:, 0]))]
+                heads = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
+                yield out(0, found[heads, 0], found[heads, 1], np.diff(np.r_[heads, len(found)]), found[heads, 2])
 
         for b in batches:
             rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("shingle", "node", "meta")], 1)])
@@ -263,69 +322,142 @@ def linked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int] = SHARE) ->
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links(a, b).
 
-    Each node points to its smallest neighbour if that is smaller; pointers are followed to their ends by doubling, linked ends become
-    the nodes of the next round, at most half as many. Every table is written, so no lineage grows; nothing comes to the driver.
+    Each round a node takes the smallest label among its neighbours' and then that label's own, so labels run ahead of the
+    links they go along. Every round is a written table, so no lineage grows; nothing comes to the driver but whether a label moved.
     """
-    edges = save(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-edges")
-    result: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("end")).withColumnRenamed("a", "node"), "join-ends")
-        while True:
-            on = ends.select(F.col("node").alias("end"), F.col("end").alias("_far"))
-            further = save(ends.join(on, "end").select("node", F.col("_far").alias("end"), (F.col("_far") != F.col("end")).alias("moved")), "join-ends")
-            ends = further.select("node", "end")
-            if further.where("moved").isEmpty():
-                break
-        of = lambda c: ends.select(F.col("node").alias(c), F.col("end").alias(f"_{c}"))
-        if result is None:
-            result = ends.withColumnRenamed("end", "component")
-        else:
-            moved = ends.select(F.col("node").alias("component"), "end")
-            result = save(result.join(moved, "component", "left").select("node", F.coalesce("end", "component").alias("component")), "join-components")
-        edges = edges.join(of("a"), "a").join(of("b"), "b").where("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-        edges = save(edges.distinct(), "join-edges")
-    return result if result is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    once = links.where("a != b")
+    edges = save(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-edges")
+    labels = save(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "join-labels")
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("_near"))
+        step = labels.join(near.withColumnRenamed("a", "node"), "node").withColumn("_new", F.least("component", "_near"))
+        ahead = labels.select(F.col("node").alias("_new"), F.col("component").alias("_far"))
+        moved = step.join(ahead, "_new").select("node", F.least("_new", "_far").alias("component"), (F.least("_new", "_far") != F.col("component")).alias("moved"))
+        moved = save(moved, "join-labels")
+        labels = moved.select("node", "component")
+        if moved.where("moved").isEmpty():
+            return labels
+
+
+def _near_labels(links: DataFrame) -> DataFrame:
+    """node and the smallest node within three links of it: enough for nodes around pivots, without going on to the end."""
+    ways = save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "join-ways")
+    near = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component"))
+    for _ in range(2):
+        of = near.select(F.col("a").alias("b"), F.col("component").alias("_l"))
+        near = ways.join(of, "b").groupBy("a").agg(F.min("_l").alias("component"))
+    return save(near.withColumnRenamed("a", "node"), "join-labels")
 
 
 def _labelled(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     return crowd.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _node_components(docs: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
+def possible(pairs: DataFrame, histograms: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs(a, b) that histograms(node, n, data) don't rule out: the sum of the smaller counts is no less than any overlap."""
+    num, den = share
+    at = lambda c: histograms.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("data").alias(f"_d{c}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "_na", "_nb", "_da", "_db")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known = np.array([x is not None and y is not None for x, y in zip(b.column("_da").to_pylist(), b.column("_db").to_pylist(), strict=True)], bool)
+            keep, n = ~known, b.column("_na").to_numpy() + b.column("_nb").to_numpy()
+            if known.any():
+                held = [np.frombuffer(b"".join(x.as_py() for x in b.column(c).filter(pa.array(known))), np.uint8).reshape(-1, BUCKETS) for c in ("_da", "_db")]
+                most = np.minimum(*held).sum(axis=1, dtype=np.int64)
+                keep[known] = (den + num) * most >= num * n[known]
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _across(now: DataFrame, histograms: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a, b and the smaller l, once per shingle, of nodes of different components that share it and whose histograms don't rule them out.
+
+    Nodes of a shingle are dealt into blocks, and each pair of blocks is a group of its own, so none grows with the crowd. Pairs are
+    compared as arrays and only possible ones become rows.
+    """
+    num, den = share
+    blocks = now.groupBy("shingle").agg(F.ceil(F.count("*") / CROWD_BLOCK).alias("_blocks"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("shingle", "_blocks")
+    rows = now.join(blocks, "shingle").join(histograms, "node", "left").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j"))
+
+    def compare(g):
+        import pandas as pd
+
+        node, of, n, l, block = (g[c].to_numpy() for c in ("node", "component", "n", "l", "_i"))
+        known = np.array([x is not None for x in g["data"]], bool)
+        held = np.frombuffer(b"".join(x if x is not None else bytes(BUCKETS) for x in g["data"]), np.uint8).reshape(-1, BUCKETS)
+        lo, hi = g["_lo"].iloc[0], g["_hi"].iloc[0]
+        x, y = np.triu_indices(len(node), 1) if lo == hi else (v.ravel() for v in np.meshgrid(np.flatnonzero(block == lo), np.flatnonzero(block == hi)))
+        apart = (of[x] != of[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[apart], y[apart]
+        keep = ~(known[x] & known[y])
+        for a in range(0, len(x), 20_000):
+            i, j = x[a : a + 20_000], y[a : a + 20_000]
+            most = np.minimum(held[i], held[j]).sum(axis=1, dtype=np.int64)
+            keep[a : a + 20_000] |= (den + num) * most >= num * (n[i] + n[j])
+        x, y = x[keep], y[keep]
+        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "l": np.minimum(l[x], l[y])})
+
+    return rows.select("shingle", "_lo", "_hi", "_i", "node", "component", "n", "l", "data").groupBy("shingle", "_lo", "_hi").applyInPandas(compare, "a long, b long, l long")
+
+
+def _node_components(docs: DataFrame, prints: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
     num, den = share
     met = save(_meet(_postings(docs, extra, salt, share), share), "join-met", by=["kind"])
-    light = met.where("kind = 0").select("a", "b", "l")
+    light = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("l").alias("l"))
     crowd = save(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "l").distinct(), "join-crowd")
-    light = save(light.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l")), "join-light")
-    nodes = light.select(F.col("a").alias("node")).unionByName(light.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
+    light, rows = save(light, "join-light"), crowd.count()
+    # a pair of too few light shingles can share crowded ones, if both nodes have any
+    crowded = crowd.select("node").distinct()
+    of = lambda c: crowded.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
+    hopeful = light.where("shared >= l")
+    if rows:
+        hopeful = light.join(of("a"), "a", "left").join(of("b"), "b", "left").where("shared >= l or (_a and _b)").select(*light.columns)
+    names = light.select(F.col("a").alias("node")).unionByName(light.select(F.col("b").alias("node"))).distinct()
+    histograms = with_hit(prints.select("node", "n", "data"), bitmap_of(names, "node"), "node").where("_hit").drop("_hit").dropDuplicates(["node"])
+    open_ = save(possible(hopeful, histograms, share).join(light, ["a", "b"]), "join-possible")
+    nodes = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).unionByName(crowded).distinct()
     sets = save(_sets(docs, nodes, salt), "join-sets")
-    links = save(light.where("false").select("a", "b"), "join-links")
-    labels = components(links)
-    rows = crowd.count()
+    links = light.where("false").select("a", "b")
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
+    weights = crowd.groupBy("node").agg(F.count("*").alias("_w"))
+    used = crowded.where("false")
     for turn in range(PIVOT_ROUNDS if rows else 0):
         now = save(_labelled(crowd, labels), "join-now")
         sizes = now.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
         crossing = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
         if crossing <= 2 * rows:
             break
-        pivots = now.groupBy("shingle").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "component")).alias("p")).select("shingle", "p.node", "p.n", "p.component").toDF("shingle", "_p", "_pn", "_pc")
+        # the node with the most crowded shingles in its prefix is likely the one that the others are copies of
+        able = now.join(weights, "node").join(used, "node", "left_anti")
+        pivots = able.groupBy("shingle").agg(F.max(F.struct("_w", F.xxhash64(F.lit(turn), "node").alias("_then"), "node", "n", "component")).alias("p"))
+        pivots = save(pivots.select("shingle", "p.node", "p.n", "p.component").toDF("shingle", "_p", "_pn", "_pc"), "join-pivots")
+        used = used.unionByName(pivots.select(F.col("_p").alias("node"))).distinct()
         tests = now.join(pivots, "shingle").where((F.col("_pc") != F.col("component")) & fits(F.col("n"), F.col("_pn"))).select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
         new = save(linked(tests, sets, share), "join-links")
+        if new.isEmpty():
+            break
         links = links.unionByName(new)
-        labels = components(links)
-    pairs = light
+        labels = _near_labels(links)
+    pairs = open_
     if rows:
         now = save(_labelled(crowd, labels), "join-now")
-        other = now.toDF(*[f"_{c}" for c in now.columns])
-        across = now.join(other, (F.col("shingle") == F.col("_shingle")) & (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component")) & fits(F.col("n"), F.col("_n")))
-        across = across.groupBy(F.col("node").alias("a"), F.col("_node").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l", "_l")).alias("l"))
-        pairs = light.unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"))
-    pairs = pairs.where("shared >= l")
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    open_ = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(_a, a) != coalesce(_b, b)").select("a", "b")
-    return components(links.unionByName(save(linked(open_, sets, share), "join-links")))
+        held = with_hit(prints.select("node", "data"), bitmap_of(crowded, "node"), "node").where("_hit").select("node", "data").dropDuplicates(["node"])
+        across = _across(now, held, share).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l"))
+        pairs = open_.unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"))
+    pairs = save(pairs.where("shared >= l"), "join-pairs")
+    # first each node with the one it shares most with, then what is still apart
+    best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("_x")).select(F.col("_x.a").alias("a"), "b")
+    for tests in (best, pairs):
+        at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+        apart = tests.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(_a, a) != coalesce(_b, b)").select("a", "b")
+        links = links.unionByName(save(linked(apart, sets, share), "join-links"))
+        labels = components(links)
+    return labels
 
 
 def ngram_components(docs: DataFrame, *, share: tuple[int, int] = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,11 +473,11 @@ def ngram_components(docs: DataFrame, *, share: tuple[int, int] = SHARE, id_col:
     salt = 0
     while True:  # a salt under which no two different sets share a node
         both = save(_fingerprints(src, salt), "join-prints", by=["kind"])
-        found = both.where("kind = 0").select("doc_id", "n", F.col("hi").alias("node"), "lo")
+        found = both.where("kind = 0").select("doc_id", "n", F.col("hi").alias("node"), "lo", "data")
         if found.where("n > 0").groupBy("node").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x != y").isEmpty():
             break
         salt += 1
-    labels = _node_components(src, _sketch(both.where("kind = 1")), salt, share)
+    labels = _node_components(src, found, _sketch(both.where("kind = 1")), salt, share)
     placed = found.where("n > 0").join(labels, "node", "left").withColumn("_c", F.coalesce("component", "node")).select("doc_id", "n", "_c")
     least = placed.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     full = placed.join(least, "_c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -357,5 +489,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     A row with a null id stays. Rows that repeat an id stay or go together.
     """
-    where = ngram_components(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(where, docs[options.get("id_col", "doc_id")] == F.col("_gone"), "left_anti")
+    gone = ngram_components(docs, **options).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = save(gone, "join-gone")
+    # only rows that a bitmap of fixed size can't clear are moved
+    rows = with_hit(docs.select(F.struct("*").alias("_row"), F.col(options.get("id_col", "doc_id")).alias("_gone")), bitmap_of(gone, "_gone"), "_gone")
+    kept = rows.where(~F.col("_hit")).select("_row").unionByName(rows.where("_hit").join(gone, "_gone", "left_anti").select("_row"))
+    return kept.select("_row.*")
