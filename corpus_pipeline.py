@@ -12,8 +12,8 @@ from trailmark.llm.mixing import mix
 from trailmark.llm.ngram_join import keep_one
 from trailmark.llm.piece_sampling import sample_encode
 
-#: A document goes if its language is undetermined or less probable than this.
-MIN_SCORE = 0.5
+#: A document goes if its language is undetermined or less probable than this: short and mixed texts of a known language stay.
+MIN_SCORE = 0.3
 #: Segmentations sampled of each document.
 SAMPLES = 2
 
