@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out and n_chars counted anew; a document that loses all its lines goes."""
-    cut = line_dedup(docs)
+    """Later copies of maximal repeated line runs are cut out and n_chars counted anew; a document that loses all its lines goes."""
+    cut = line_dedup(docs, whole=True)
     touched = F.size("_removed") > 0
     left = cut.where(~touched | (F.length("text") > 0))
     return left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

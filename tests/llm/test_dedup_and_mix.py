@@ -114,3 +114,36 @@ def test_line_dedup(spark):
     assert line_dedup(docs.where("false")).count() == 0
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert sorted(r.text for r in line_dedup(twice, min_words=3).collect()) == ["", "a b c", "a b c"]
+
+
+def brute_maximal(rows, least):
+    """Removed lines by id: from each line, the longest prefix that an earlier line begins as well, where it has least words."""
+    every = [(i, text.split("\n")) for i, text in sorted(rows)]
+    before, gone = [], defaultdict(set)
+    for i, lines in every:
+        for a in range(len(lines)):
+            longest = 0
+            for other, b in before:
+                n = 0
+                while a + n < len(lines) and b + n < len(other) and lines[a + n] == other[b + n]:
+                    n += 1
+                longest = max(longest, n)
+            before.append((lines, a))
+            if sum(len(WORD.findall(x)) for x in lines[a : a + longest]) >= least:
+                gone[i].update(range(a, a + longest))
+    return gone
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{a}\n{b}"), (3, f"own\n{a}\n{b}\nend"), (4, b)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup(docs, whole=True).collect()} == {1: f"{a}\n{b}", 2: "", 3: "own\nend", 4: b}
+    rng = random.Random(6)
+    lines = ["one two three", "four five", "", "six", "seven eight nine ten", "x"]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.85 else f"own {i} {rng.random()}" for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    rows += [(100, "\n".join(lines * 8)), (101, "\n".join(lines * 8)), (102, "\n" * 20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (3, 7, 50):
+        want = brute_maximal(rows, least)
+        got = {r.doc_id: {n for x, y in r._removed for n in range(x, y + 1)} for r in line_dedup(table, min_words=least, whole=True).collect()}
+        assert got == {i: want[i] for i, _ in rows}
