@@ -156,3 +156,23 @@ def test_readers(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string")
     assert sorted(map(tuple, tables.upsert(old, new, ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert tables.seed_if_empty(spark, new, str(tmp_path / "t")).count() == tables.seed_if_empty(spark, old, str(tmp_path / "t")).count() == 2
+
+
+def test_long_chains_are_finished(spark):
+    last = 70
+    chain = spark.range(last).selectExpr("int(id) as a", "int(id + 1) as b", "1.0D as cost", "cast(null as string) as vertical", "false as room_b")
+    starts = spark.createDataFrame([(0, 0)], "request int, node int")
+    assert {r.node: r.cost for r in graph.shortest_times(chain, starts).collect()} == {n: float(n) for n in range(last + 1)}
+    asked = spark.createDataFrame([(0, 0, last)], "request int, source int, target int")
+    assert [(r.seconds, r.path) for r in graph.routes(chain, asked).collect()] == [(float(last), list(range(last + 1)))]
+    # a chain of 35 on a triangle: one node goes a round
+    branch = spark.range(35).selectExpr("int(id) as a", "int(id + 1) as b").union(spark.createDataFrame([(35, 90), (90, 91), (91, 35)], "a int, b int"))
+    assert {r.id: r.depth for r in graph.dead_ends(branch).collect()} == {n: n for n in range(35)}
+
+
+def test_negative_cycles_raise(spark):
+    arcs = spark.createDataFrame([(0, 1, 1.0, None, False), (1, 0, -2.0, None, False)], "a int, b int, cost double, vertical string, room_b boolean")
+    with pytest.raises(ValueError, match="negative"):
+        graph.shortest_times(arcs, spark.createDataFrame([(0, 0)], "request int, node int"))
+    with pytest.raises(ValueError, match="negative"):
+        graph.routes(arcs, spark.createDataFrame([(0, 0, 9)], "request int, source int, target int"))

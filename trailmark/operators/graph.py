@@ -66,15 +66,25 @@ def seconds(kind: Column, metres: Column, rise: Column, crowd: Column, speed: fl
     return F.when(kind == "WALK", walk).when(kind == "STAIRS", stairs).when(kind == "LIFT", lift)
 
 
-def shortest_times(arcs: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def _most_rounds(arcs: DataFrame, states: int = 1) -> int:
+    """Without a negative cycle a cheapest way is in no state twice, so rounds end by the number of nodes times the states of each."""
+    return (both_ways(arcs.select("a", "b")).select("a").distinct().count() + 1) * states
+
+
+def shortest_times(arcs: DataFrame, starts: DataFrame) -> DataFrame:
     """request, node, cost and hops of the cheapest way from each request's start to every node it reaches.
 
     arcs(a, b, cost) and starts(request, node). Frontier relaxation: a round joins the arcs with what the round before has improved,
-    so many requests run in one join; it ends when nothing improves.
+    so many requests run in one join; it ends when nothing improves, and raises an error where a negative cycle would improve for ever.
     """
+    arcs = written(arcs.select("a", "b", "cost"), "arcs")
+    most, rounds = _most_rounds(arcs), 0
     best = written(starts.select("request", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), "paths")
     front = best
-    for _ in range(most):
+    while not front.isEmpty():
+        if rounds > most:
+            raise ValueError("the arcs have a cycle of negative cost")
+        rounds += 1
         reached = front.join(arcs, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (front["cost"] + arcs["cost"]).alias("cost"), (F.col("hops") + 1).alias("hops"))
         reached = reached.groupBy("request", "node").agg(F.min(F.struct("cost", "hops")).alias("_n"))
         old = best.select("request", "node", F.struct("cost", "hops").alias("_o"))
@@ -82,21 +92,25 @@ def shortest_times(arcs: DataFrame, starts: DataFrame, most: int = 64) -> DataFr
         pick = F.when(F.col("_new"), F.col("_n")).otherwise(F.col("_o"))
         best = both.select("request", "node", pick["cost"].alias("cost"), pick["hops"].alias("hops"))
         front = both.where("_new").select("request", "node", F.col("_n.cost").alias("cost"), F.col("_n.hops").alias("hops"))
-        if front.isEmpty():
-            break
     return best
 
 
-def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, most: int = 64) -> DataFrame:
+def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE) -> DataFrame:
     """The cheapest route of each requests(request, source, target): its seconds and path, by a state of node and last vertical.
 
     arcs(a, b, cost, vertical): vertical names the stair or lift, null for a walk, room_b tells a room, which no route passes
     through. Changing to another vertical costs a penalty that chooses but isn't reported. States carry their path, so a round is one join.
+    Rounds go on until no state improves; a negative cycle raises an error.
     """
+    arcs = written(arcs.select("a", "b", "cost", "vertical", "room_b"), "arcs")
+    most, rounds = _most_rounds(arcs, arcs.select("vertical").distinct().count() + 1), 0
     first = requests.select("request", "target", F.col("source").alias("node"), F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("price"), F.lit(0.0).alias("seconds"), F.array("source").alias("path"))
-    best, front = written(first, "routes"), None
+    best = written(first, "routes")
     front = best
-    for _ in range(most):
+    while not front.isEmpty():
+        if rounds > most:
+            raise ValueError("the arcs have a cycle of negative cost")
+        rounds += 1
         arc = arcs.select(F.col("a").alias("node"), F.col("b").alias("_b"), F.col("cost").alias("_c"), F.col("vertical").alias("_v"), F.col("room_b").alias("_room"))
         step = front.join(arc, "node").where(~F.col("_room") | (F.col("_b") == F.col("target"))).where(F.col("node") != F.col("target"))
         change = F.when(F.col("_v").isNotNull() & F.col("last").isNotNull() & (F.col("_v") != F.col("last")), penalty).otherwise(0.0)
@@ -104,10 +118,7 @@ def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, most:
         key = Window.partitionBy("request", "node", "last").orderBy("price", F.size("path"), "path")
         every = best.withColumn("_old", F.lit(True)).unionByName(step.withColumn("_old", F.lit(False)))
         best = written(every.withColumn("_r", F.row_number().over(key)).where("_r = 1").drop("_r"), "routes")
-        front = best.where("not _old").drop("_old")
-        if front.isEmpty():
-            break
-        best = best.drop("_old")
+        front, best = best.where("not _old").drop("_old"), best.drop("_old")
     done = best.where("node = target").groupBy("request").agg(F.min(F.struct("price", "seconds", "path")).alias("_x"))
     return done.select("request", F.col("_x.seconds").alias("seconds"), F.col("_x.path").alias("path"))
 
@@ -154,17 +165,20 @@ def components(edges: DataFrame) -> DataFrame:
     return result if result is not None else left.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def dead_ends(edges: DataFrame, most: int = 32) -> DataFrame:
-    """id and depth of nodes on branches that end: leaves are taken off round by round."""
-    live, gone = written(both_ways(edges.select("a", "b").where("a <> b").distinct()).distinct(), "branch"), None
-    for depth in range(most):
+def dead_ends(edges: DataFrame) -> DataFrame:
+    """id and depth of nodes on branches that end: leaves are taken off round by round, until none is left."""
+    live, gone, depth = written(both_ways(edges.select("a", "b").where("a <> b").distinct()).distinct(), "branch"), None, 0
+    while True:
         leaves = live.groupBy("a").count().where("count = 1").select(F.col("a").alias("id")).withColumn("depth", F.lit(depth))
         leaves = written(leaves, "branch-leaves")
         if leaves.isEmpty():
             break
         gone = leaves if gone is None else gone.unionByName(leaves)
+        if depth % 32 == 31:  # keeps the union short
+            gone = written(gone, "branch-gone")
         off = lambda c: leaves.select(F.col("id").alias(c))
         live = written(live.join(off("a"), "a", "left_anti").join(off("b"), "b", "left_anti"), "branch")
+        depth += 1
     return gone if gone is not None else live.select(F.col("a").alias("id"), F.lit(0).alias("depth"))
 
 
