@@ -41,6 +41,22 @@ def test_against_sql(spark, db, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_components_of_all_orders(spark, db):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in db.execute("select o_custkey, o_orderkey % 1500 from orders").fetchall():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.id: r.component for r in plans.QUERIES["q_g14_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_streamed_steps_are_the_batchs(spark):
     rows = lambda n: sorted(map(tuple, plans.QUERIES[n](spark, SF).collect()))
