@@ -57,6 +57,12 @@ def test_components_of_all_orders(spark, db):
     assert got == {x: find(x) for x in root}
 
 
+def test_recurrence_of_high_keys(spark, tmp_path):
+    spark.sql("select 600001L as o_orderkey, timestamp '1998-01-05' as o_orderdate union all select 600003L, timestamp '1998-02-20'").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r.id, r.day.isoformat()) for r in plans.QUERIES["q_p08_recurrence_whole"](spark, str(tmp_path)).collect())
+    assert got == [(600001, "1998-01-05"), (600003, "1998-02-20"), (600003, "1998-02-27")]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_streamed_steps_are_the_batchs(spark):
     rows = lambda n: sorted(map(tuple, plans.QUERIES[n](spark, SF).collect()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,17 @@ def occurrences(events: DataFrame, dates: DataFrame, weekly: str = "weekly", fir
 
 
 def agenda(classes: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
-    """Classes and events of a day as one table with rank, by start; a class stands before an event that starts with it."""
+    """Classes and events of a day as one table with rank, by start; a class stands before an event that starts with it.
+
+    Rows are ranked among those that start together, and what starts earlier is counted by start, so no task gets a whole day.
+    """
     both = classes.withColumn("kind_rank", F.lit(0)).unionByName(events.withColumn("kind_rank", F.lit(1)))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("st", "kind_rank", "item")))
+    at = [*keys, "st"]
+    earlier = Window.partitionBy(*keys).orderBy("st").rowsBetween(Window.unboundedPreceding, -1)
+    base = both.groupBy(*at).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in at], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("kind_rank", "item")))
+    met = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at])
+    return ranked.join(base, met).select(*both.columns, (F.col("_base") + F.col("rank")).cast("int").alias("rank"))
 
 
 def next_item(items: DataFrame, keys: list[str], now: Column | int) -> DataFrame:
