@@ -63,6 +63,20 @@ def test_recurrence_of_high_keys(spark, tmp_path):
     assert got == [(600001, "1998-01-05"), (600003, "1998-02-20"), (600003, "1998-02-27")]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_dead_ends_of_all_edges(spark, db):
+    keys = [k for (k,) in db.execute("select s_suppkey from supplier").fetchall()]
+    near, want, depth = {}, {}, 0
+    for a, b in [(k, k + n) for k in keys for n in (5, 15)]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    while leaves := [x for x in near if len(near[x]) == 1]:
+        want |= dict.fromkeys(leaves, depth)
+        near = {x: n - set(leaves) for x, n in near.items() if x not in leaves}
+        depth += 1
+    assert {r.id: r.depth for r in plans.QUERIES["q_g13_dead_ends"](spark, SF).collect()} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 def test_streamed_steps_are_the_batchs(spark):
     rows = lambda n: sorted(map(tuple, plans.QUERIES[n](spark, SF).collect()))

@@ -108,6 +108,17 @@ def free_nodes(spark, d):
     return campus_nodes(spark, d).where("kind = 'ROOM'").join(busy, "id", "left_anti").select("id", "name")
 
 
+@query("q_j11_free_room_nodes_whole", f"""with {CAMPUS_NODES}, b as (select distinct l_partkey % (select count(*) from part) as room from lineitem
+    where l_orderkey % 5 = 0 and 15 * (l_orderkey % 48) <= 120 and 15 * (l_orderkey % 48) + 45 * (1 + l_linenumber % 3) > 120) select id, name from nodes where kind = 'ROOM' and id not in (select room from b)""")
+def free_nodes_whole(spark, d):
+    """By the whole timetable, with as many rooms as parts: of 40 rooms none would be free."""
+    n = table(spark, d, "part").agg(F.count("*").alias("_n"))
+    st = 15 * (F.col("l_orderkey") % 48)
+    now = table(spark, d, "lineitem").where((F.col("l_orderkey") % 5 == 0) & (st <= 120) & (st + 45 * (1 + F.col("l_linenumber") % 3) > 120))
+    busy = now.crossJoin(F.broadcast(n)).select((F.col("l_partkey") % F.col("_n")).alias("id"))
+    return campus_nodes(spark, d).where("kind = 'ROOM'").join(busy, "id", "left_anti").select("id", "name")
+
+
 @query("q_j12_gateways", """with e as (select s_suppkey as a, s_suppkey + 7 as b from supplier), n as (select s_suppkey as id, s_nationkey as building from supplier)
     select x.a as indoor, x.b as passage, y.b as beyond from e x join e y on x.b = y.a join n p on x.a = p.id join n q on x.b = q.id join n r on y.b = r.id where p.building <> q.building and r.building <> p.building""")
 def gateways(spark, d):

@@ -84,6 +84,12 @@ def stable(spark, d):
     return slots(spark, d).where("room < 10").select("item", F.row_number().over(Window.partitionBy("room", "dow").orderBy("st", "en", "item")).alias("place"))
 
 
+@query("q_o01_stable_order_whole", f"with {SLOTS} select item, row_number() over (partition by room, dow order by st, en, item) as place from slots")
+def stable_whole(spark, d):
+    """All rooms."""
+    return slots(spark, d).select("item", F.row_number().over(Window.partitionBy("room", "dow").orderBy("st", "en", "item")).alias("place"))
+
+
 @query("q_o06_union", "select c_custkey as id, 'c' as kind from customer union all select s_suppkey, 's' from supplier")
 def union(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("c").alias("kind"))
