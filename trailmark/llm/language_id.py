@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ PER_LANGUAGE, AT_MOST = 400, 6000
 TOGETHER = 1_000_000
 #: What is given to a text without letters.
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: TF-IDF vectors have this sum.
 SCALE = 64.0
 
@@ -96,8 +94,8 @@ class Model:
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        lettered = [bool(_LETTER.search(t)) for t in some]
+        best = p.argmax(axis=1)  # of equal probabilities, the language that comes first
+        lettered = [any(map(str.isalpha, t)) for t in some]
         return [self.languages[i] if y else UNDETERMINED for i, y in zip(best.tolist(), lettered, strict=True)], [float(p[d, i]) if y else 0.0 for d, (i, y) in enumerate(zip(best.tolist(), lettered, strict=True))]
 
 
@@ -193,7 +191,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (columns of these names are replaced), from the whole text alone.
 
-    A null text or one without a letter gets "und" and score 0, and so does every text where there is no model. The model has a
+    A null text or one without a letter (a character that str.isalpha() takes) gets "und" and score 0, and so does every text where
+    there is no model. Of equal probabilities the language first in code point order wins. The model has a
     fixed number of buckets, so it is sent to every task. Rows keep their columns; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
