@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +11,8 @@ from .common import WORD
 UNIT = 24
 #: No document is taken more often than this.
 MOST = 3
+#: Documents of one source and size class are dealt into so many groups, by hashed id.
+SALTS = 256
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -52,7 +52,7 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most
     return fixed.select("_key", "source_size", F.coalesce(F.least(cap, F.col("_fixed") * F.col("_weight")), cap).alias("target"))
 
 
-def mix_plan(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[Column, ...] = ()) -> DataFrame:
+def mix_plan(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, salts: int = SALTS, carry: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of each row of docs, and the columns of carry.
 
     Within a source, documents stand in order of size class, salt, size and hashed id; each adds target / source_size expected
@@ -63,9 +63,9 @@ def mix_plan(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_co
     ignored, whatever their names.
 
     The running sum is kept by (source, class, salt): a source is summed by these groups, and documents meet only within one,
-    so a hot source or size never comes into one task. Salts grow with the root of the row count.
+    so a hot source or size never comes into one task. The number of salts is a parameter and not taken from the table:
+    adding a document moves its own place and no other document's group.
     """
-    salts = 1 + math.isqrt(docs.count()) // 8
     rows = docs.select(F.col(id_col).alias("doc_id"), _source_key(F.col(source_col)).alias("_key"), words(F.col(text_col)).alias("_size"), *carry)
     rows = rows.withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_class", _size_class("_size")).withColumn("_salt", F.conv(F.substring("_digest", 1, 7), 16, 10).cast("long") % salts)
