@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = {"max": F.max, "min": F.min}[keep]("doc_id")
     suspects = with_hit(rows, bitmap_of(twice, "_hash"), "_hash").where("_hit")
     classes = suspects.groupBy("_hash", "_text").agg(best.alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    classes = classes.select("_hash", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size")
+    # a table of its own, so that Spark can split the rows of a text with very many copies where they meet their class
+    classes = save(classes.select("_hash", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size"), "exact-classes")
     found = light.join(classes, ["_hash", "text_sha256"], "left")
     found = found.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
     return found.select("doc_id", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
