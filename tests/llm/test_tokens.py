@@ -4,9 +4,11 @@ import math
 import random
 import zlib
 from collections import Counter as Tally
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.llm import piece_sampling as ps
 from trailmark.llm import pieces
@@ -100,9 +102,12 @@ def test_sampled_round_trip_and_batches(spark):
 
 
 def test_encoder_is_the_librarys():
-    e = ts.Encoder(ts.default_tokenizer())
-    some = texts(5, 4000)
-    for got, want in zip(e.encode(some), e.model.encode_batch(some, add_special_tokens=False), strict=True):
+    from tokenizers import Tokenizer
+
+    e, plain = ts.Encoder(ts.default_tokenizer()), Tokenizer.from_file(ts.default_tokenizer())  # as it comes, nothing set
+    some = texts(5, 4000) + ["<|endoftext|>", "a<|endoftext|> b", " <|endoftext|>\n<|endoftext|"]
+    assert np.frombuffer(e.encode(["<|endoftext|>"])[0], e.type).tolist() == [plain.token_to_id("<|endoftext|>")]
+    for got, want in zip(e.encode(some), plain.encode_batch(some, add_special_tokens=False), strict=True):
         assert np.frombuffer(got, e.type).tolist() == want.ids
 
 
@@ -110,10 +115,9 @@ def test_store(spark):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(ts.default_tokenizer())
-    model.encode_special_tokens = True
     rng = random.Random(8)
     long = " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(6000))
-    rows = [(i * 3, t) for i, t in enumerate(texts(6, 60))] + [(500, long), (501, long), (502, "new start " + long), (503, None), (-4, "x"), (7, "same"), (7, "same"), (None, "n")]
+    rows = [(i * 3, t) for i, t in enumerate(texts(6, 60))] + [(500, long), (501, long), (502, "new start " + long), (503, None), (-4, "x"), (7, "same"), (7, "same"), (None, "n"), (-(2**63), "least"), (2**63 - 1, "most")]
     docs = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, keys string").repartition(6)
     store = ts.write_store(docs)
     start, want = 0, []
@@ -134,3 +138,37 @@ def test_joined_crcs():
     parts = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (0, 1, 5, 300, 70000, 0, 3)]
     crc, size = np.array([zlib.crc32(p) for p in parts]), np.array([len(p) for p in parts])
     assert ts.join_crcs(crc, size, np.array([3, 0, 4])).tolist() == [zlib.crc32(b"".join(parts[:3])), 0, zlib.crc32(b"".join(parts[3:]))]
+
+
+def test_store_shows_changed_bytes(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(20)], "doc_id long, text string")
+    store = ts.write_store(docs)
+    assert all(r.verified for r in ts.read_documents(store).collect())
+    first = store.recipes.orderBy("start").first()
+    key = bytes(first["keys"][:16])
+    flipped = F.when(F.col("key") == F.lit(bytearray(key)), F.concat(F.substring("data", 1, F.length("data") - 1), F.lit(bytearray(b"\x00")))).otherwise(F.col("data"))
+    damaged = replace(store, blobs=store.blobs.withColumn("data", flipped))
+    assert not {r.doc_id: r.verified for r in ts.read_documents(damaged).collect()}[first.doc_id]
+    # another root in the manifest, and a document that is lost
+    other = replace(store, manifest=store.manifest.withColumn("root", F.lit(bytearray(16))))
+    assert not any(r.verified for r in ts.read_documents(other).collect())
+    lost = replace(store, recipes=store.recipes.where(F.col("start") != first.start))
+    assert not any(r.verified for r in ts.read_documents(lost).collect())
+
+
+def test_a_task_gives_its_memory_back(spark):
+    """What workers hold after tasks with many distinct words is no more than before, but for the model and slack."""
+    docs = spark.range(0, 6000, 1, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(150)), lambda i: F.substring(F.md5(F.concat(F.col("id").cast("string"), i.cast("string"))), 1, 9))).alias("text"))
+
+    def held(_):
+        import pathlib
+        import re
+
+        import pandas as pd
+
+        yield pd.DataFrame({"mb": [sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", pathlib.Path("/proc/self/smaps_rollup").read_text()))) / 1024]})
+
+    most = lambda: max(r.mb for r in spark.range(0, 8, 1, 4).mapInPandas(held, "mb double").collect())
+    for operator in (lambda: ps.sample_encode(docs, 2, digest=True), lambda: tc.token_counts(docs)):
+        operator().agg(F.count("*")).collect()
+        assert most() < 260

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,29 +21,40 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one, in local mode only: there is one machine then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def save(df: DataFrame, label: str, *, by: list[str] | None = None) -> DataFrame:
+def save(df: DataFrame, label: str, *, by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """Writes df to a new Parquet table in the shared folder and reads it back, which cuts its lineage.
 
     The table outlives lost executors. by: columns that become folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    out = df.write.partitionBy(*by) if by else df.write
+    out = (df.write.partitionBy(*by) if by else df.write).option("compression", compression)
     out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Python workers get at most so many rows at once, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Python workers get at most so many rows at once, as texts may be long. Never raised again: a plan reads it when it runs, after others were made."""
+    held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, held) if held > 0 else rows))
+
+
+def give_back() -> None:
+    """At a task's end: hands freed memory back to the system, as the worker process lives on and serves other tasks beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def bitmap_of(keys: DataFrame, *cols: str, bits: int = BITS) -> DataFrame:

@@ -4,6 +4,9 @@ Files, all Parquet, below one folder of the shared directory:
   blobs/kind=0   chunks: key (BLAKE2b-128 of the ids as stored), n (ids), data (zstd of the ids, little-endian, 2 or 4 bytes each)
   recipes        one row per document in ascending id order: doc_id, start, n_tokens, keys (16 bytes a chunk), root
   manifest       one row per 2**20 ids of the whole stream: block, n_docs, n_tokens, root over the documents' roots
+
+Reading goes the other way: chunks against their keys, the keys found against the document's root, and the roots found against the
+manifest's, so a changed byte anywhere, a lost or an added document shows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_start, save, small_batches
+from .common import give_back, running_start, save, small_batches
 
 #: A chunk ends where the rolling hash of its last 16 ids has this many leading zeros, but is neither shorter nor longer than this.
 LEADING, SHORTEST, LONGEST = 9, 128, 4096
@@ -31,8 +34,8 @@ LEADING, SHORTEST, LONGEST = 9, 128, 4096
 REMEMBERED = 1_200_000
 #: Ids of a manifest block.
 BLOCK = 1 << 20
-#: Ranges of ids over which the running sum of starts is taken.
-RANGES = 512
+#: Documents of a range of ids, about: starts are summed by range first. The ranges are Spark's own, from a sample of the ids.
+PER_RANGE = 1_000_000
 # a space after white space and not before a word: the pre-tokeniser doesn't cut there
 _UNCUT = re.compile(r"\s (?!\S)")
 
@@ -45,7 +48,8 @@ class Encoder:
     """Ids of whole texts as the tokenizers library gives them.
 
     The byte-level pre-tokeniser always cuts before a space that a word follows or precedes, so a text's ids are those of its pieces
-    between such spaces, and each piece is encoded once and remembered. A text with other spaces goes to the library whole.
+    between such spaces, and each piece is encoded once and remembered. A text with other spaces, or with the name of one of the
+    vocabulary's added tokens, which the library takes for that token, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -53,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
+        self.whole = re.compile("|".join([_UNCUT.pattern, *map(re.escape, sorted(added, key=len, reverse=True))]))
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 65536 else "<u4")
         size = self.model.get_vocab_size()
         self.spaced = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # ids that begin with a space
@@ -82,7 +87,7 @@ class Encoder:
         if len(known) + len(heads) > REMEMBERED:
             known.clear()
             heads.clear()
-        parts = [[t] if _UNCUT.search(t) else t.split(" ") for t in texts]
+        parts = [[t] if self.whole.search(t) else t.split(" ") for t in texts]
         first = [p.pop(0) for p in parts]
         new = set().union(*parts).difference(known)
         plain = [w for w in new if w and not w[0].isspace()]
@@ -95,6 +100,11 @@ class Encoder:
         heads.update((w, ids) for w, ids in own.items() if len(w) <= 32)
         return out
 
+    def forget(self) -> None:
+        """What a task has met goes with it: the worker process serves other tasks afterwards."""
+        self.known, self.heads = {}, {}
+        give_back()
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -232,29 +242,35 @@ def write_store(docs: DataFrame, *, tokenizer: str | None = None, end_id: int |
                     last = e
                 rows.append((1, key_of(str(doc).encode()), doc, len(ids), b"".join(keys)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], f.type) for f in arrow], schema=arrow)
+        enc.forget()
 
     copy = F.row_number().over(Window.partitionBy("key").orderBy("kind"))
     blobs = src.mapInArrow(run, schema).withColumn("_copy", copy).where("kind = 1 or _copy = 1")
     blobs = save(blobs.select("key", "doc_id", "n", "data", "kind"), "token-blobs", by=["kind"])
     recipes = blobs.where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("data").alias("keys"))
-    lo, hi = recipes.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = ((hi or 0) - (lo or 0)) // RANGES + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / width), F.lit(-1))
-    recipes = running_start(recipes.withColumn("_all", F.lit(0)), ["_all"], bucket, ["doc_id", "keys"], "n_tokens", "start")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), recipes.count() // PER_RANGE)
+    # written once, so the ranges stay as they were drawn
+    ranged = save(recipes.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "token-ranges")
+    recipes = running_start(ranged.withColumn("_all", F.lit(0)), ["_all"], F.col("_range"), ["doc_id", "keys"], "n_tokens", "start")
 
     @F.pandas_udf("binary")
     def root(keys):
         return keys.map(lambda k: merkle([k[i : i + 16] for i in range(0, len(k), 16)]))
 
+    recipes = recipes.select("doc_id", "start", "n_tokens", "keys", root("keys").alias("root"))
+    recipes = save(recipes.repartitionByRange("start").sortWithinPartitions("start"), "token-recipes")
+    return Store(blobs, recipes, save(_blocks(recipes), "token-manifest"), encoder(path).type.itemsize)
+
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """The manifest of recipes(start, n_tokens, root)."""
+
     @F.pandas_udf("binary")
     def block_root(roots):
         return roots.map(lambda r: merkle(list(r)))
 
-    recipes = recipes.select("doc_id", "start", "n_tokens", "keys", root("keys").alias("root"))
-    recipes = save(recipes.repartitionByRange("start").sortWithinPartitions("start"), "token-recipes")
     blocks = recipes.withColumn("block", F.floor(F.col("start") / BLOCK)).groupBy("block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]).alias("_roots"))
-    manifest = save(blocks.select("block", "n_docs", "n_tokens", block_root("_roots").alias("root")), "token-manifest")
-    return Store(blobs, recipes, manifest, encoder(path).type.itemsize)
+    return blocks.select("block", "n_docs", "n_tokens", block_root("_roots").alias("root"))
 
 
 def _references(store: Store) -> DataFrame:
@@ -266,8 +282,8 @@ def _references(store: Store) -> DataFrame:
 def read_documents(store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and verified per document, from the stored files.
 
-    Each chunk is read and decompressed once. verified: every chunk has the ids that its key says, and the keys and lengths found give
-    the document's root and number. ids_crc32 is of the ids as little-endian unsigned 32-bit integers, joined from the
+    Each chunk is read and decompressed once. verified: every chunk has the ids that its key says, the keys and lengths found give the
+    document's root and number, and the roots found in the document's block give the manifest's. ids_crc32 is of the ids as little-endian unsigned 32-bit integers, joined from the
     chunks' CRCs. A document without ids (no end id, empty text) has CRC 0.
     """
     width = store.width
@@ -277,8 +293,11 @@ def read_documents(store: Store) -> DataFrame:
         for b in batches:
             got = []
             for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
-                raw = zstd.decompress(data)
-                ids = np.frombuffer(raw, f"<u{width}")
+                try:
+                    raw = zstd.decompress(data)
+                except zstandard.ZstdError:
+                    raw = b""
+                ids = np.frombuffer(raw[: len(raw) // width * width], f"<u{width}")
                 got.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), key_of(raw) == key))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_())], ["key", "n", "crc", "sound"])
 
@@ -293,13 +312,19 @@ def read_documents(store: Store) -> DataFrame:
         root = [merkle([k[i : i + 16] for i in range(0, len(k), 16)]) for k in keys]
         return pd.DataFrame({"n": total[end] - total[end - number], "crc": crc.astype(np.int64), "root": root})
 
-    digests = store.chunks.select("key", "data").mapInArrow(digest, "key binary, n long, crc long, sound boolean")
+    # a table of its own, so that Spark can split the references of a chunk that very many documents share
+    digests = save(store.chunks.select("key", "data").mapInArrow(digest, "key binary, n long, crc long, sound boolean"), "token-digests")
     parts = _references(store).join(digests, "key").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("place", "n", "crc"))).alias("_p"), F.bool_and("sound").alias("_sound"))
     both = store.recipes.join(parts, "start", "left")
     each = lambda c: F.coalesce(F.transform("_p", lambda x: x[c]), F.array().cast("array<long>"))
     full = both.withColumn("_f", joined("keys", each("n"), each("crc")))
     same = (F.col("_f.n") == F.col("n_tokens")) & (F.col("_f.root") == F.col("root")) & (F.coalesce(F.size("_p"), F.lit(0)) * 16 == F.length("keys"))
-    return full.select("doc_id", "start", F.col("_f.n").alias("n_tokens"), F.col("_f.crc").alias("ids_crc32"), (same & F.coalesce("_sound", F.lit(True))).alias("verified"))
+    found = full.select("doc_id", "start", F.col("_f.n").alias("n_tokens"), F.col("_f.crc").alias("ids_crc32"), F.col("_f.root").alias("root"), (same & F.coalesce("_sound", F.lit(True))).alias("_same"))
+    found = save(found, "token-found")
+    blocks = _blocks(found).select("block", "n_docs", "n_tokens", "root")
+    agreed = store.manifest.join(blocks, ["block", "n_docs", "n_tokens", "root"]).select("block", F.lit(True).alias("_agreed"))
+    checked = found.withColumn("block", F.floor(F.col("start") / BLOCK)).join(agreed, "block", "left")
+    return checked.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("_same") & F.coalesce("_agreed", F.lit(False))).alias("verified"))
 
 
 def reconstruct(store: Store) -> DataFrame:
