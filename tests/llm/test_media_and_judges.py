@@ -249,3 +249,41 @@ def test_url_model():
     p = lambda host: 1 / (1 + math.exp(-(w[f := uf.features(host, "/en/1")].sum() / math.sqrt(len(f)) + b)))
     assert min(p("www.mega-casino.example.org"), p("adultvideo.example.com"), p("pills4u.net")) > 0.5
     assert max(p("thinor.example.com"), p("blog.estion.example.net"), p("citymuseum.org")) < 0.5
+
+
+def test_url_model_on_held_out_urls():
+    """Five folds by crc32 of the url, each judged by a model that hasn't seen it."""
+    table, right = uf.labelled_urls(), 0
+    assert len(table) == len(set(table)) > 120
+    for fold in range(5):
+        apart = lambda u: zlib.crc32(u.encode()) % 5 == fold  # noqa: E731, B023
+        w, b = uf.fit(tuple(r for r in table if not apart(r[0])))
+        for u, y in table:
+            if apart(u):
+                f = uf.features(*uf._split(u))
+                right += (w[f].sum() / math.sqrt(len(f)) + b >= 0) == bool(y)
+    assert right / len(table) > 0.72
+
+
+def test_url_features_of_a_batch():
+    hosts, paths = ["a.com", "", "é" * 40, "a.com", "x"], ["/", "", "/p", "/", ""]
+    row, at = uf.batch_features(hosts, paths)
+    for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
+        assert at[row == i].tolist() == uf.features(h, p).tolist()
+    assert not (row == 1).any() and (row == 0).sum() == len({(i, n) for n in uf.GRAMS for i in range(7 - n + 1)}) + len({(i, n) for n in uf.GRAMS for i in range(3 - n + 1)})
+
+
+def test_letters_decide_about_und(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅷ 7 _"), (2, "½ ª"), (3, "漢")], "doc_id long, text string")
+    model = li.Model(["a", "b"], np.ones(li.BUCKETS), np.zeros((li.BUCKETS, 2)), np.zeros(2), 1.0)
+    assert {r.doc_id: r.lang_pred for r in li.identify(docs, model).collect()} == {1: "und", 2: "a", 3: "a"}
+
+
+def test_stored_media_and_tensors(spark):
+    docs = spark.createDataFrame([(1, "a" * 2000), (2, None)], "doc_id long, text string")
+    media = pj.store_media(docs)
+    assert media.inputFiles() and {r.doc_id: bytes(r.media) for r in media.collect()} == {i: pj.encode_bytes(pj.padded(t)[1]) for i, t in ((1, "a" * 2000), (2, ""))}
+    stored = pj.store_tensors(media)
+    assert stored.inputFiles()
+    for r in stored.collect():
+        assert r.feature == pj.feature(np.frombuffer(r.tensor, np.uint8).reshape(r.height, r.width, 3))

@@ -90,7 +90,10 @@ def repeated_runs(texts: DataFrame, *, min_words: int = MIN_WORDS, whole: bool =
     named = named.join(ranks.withColumnRenamed("rank", "_left"), ["level", "doc", "line"])
     tail = ranks.select("level", "doc", F.col("line").alias("_tail"), F.col("rank").alias("_right"))
     named = named.withColumn("_tail", F.col("line") + F.col("length") - F.expr("shiftleft(1, level)")).join(tail, ["level", "doc", "_tail"])
+    named = save(named.select("doc", "line", "length", "_left", "_right"), "line-named")
     first = named.groupBy("length", "_left", "_right").agg(F.min(F.struct("doc", "line")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    # two tables, so that Spark can split the copies of a run that very many documents share where they meet the first one
+    first = save(first, "line-firsts")
     later = named.join(first, ["length", "_left", "_right"]).where(F.struct("doc", "line") != F.col("_first"))
     later = later.groupBy("doc", "line").agg(F.max(F.col("line") + F.col("length") - 1).alias("_end"))
     reach = lines.select("doc", "line").join(later, ["doc", "line"], "left")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import save, small_batches
 
 #: Payloads are padded to a positive multiple of so many bytes with bytes 255.
 PAYLOAD_UNIT = 576
@@ -497,3 +497,16 @@ def from_media(media: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), media_c
 
     schema = ", ".join([f"{n} {t}" for n, t in src.dtypes if n != "_media"] + [f"{n} {names[t]}" for n, t in more])
     return src.mapInArrow(run, schema)
+
+
+def store_media(docs: DataFrame, **options) -> DataFrame:
+    """to_media() as a table in the shared folder, read back from there."""
+    return save(to_media(docs, **options), "media", compression="zstd")
+
+
+def store_tensors(media: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), media_col: str = "media") -> DataFrame:
+    """from_media() with its full-resolution RGB tensors as a table in the shared folder, read back from there.
+
+    A tensor has 768 bytes for 378 bytes of payload, so the table is about twice the texts.
+    """
+    return save(from_media(media, keep=keep, media_col=media_col, tensors=True), "media-tensors", compression="zstd")

@@ -11,7 +11,7 @@ from .language_id import held_out, identify, train
 from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .piece_sampling import sample_encode
-from .progressive_jpeg import from_media, to_media
+from .progressive_jpeg import from_media, store_media
 from .token_count import token_counts
 from .token_store import read_documents, write_store
 from .url_filter import judge_urls
@@ -30,16 +30,8 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, how many went, and the SHA-256 of what is left. Runs as the SQL has them: the shortest from each line."""
-    return _left(line_dedup(_documents(spark, sf_dir).select("doc_id", "text")))
-
-
-def op9_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with maximal runs, which the pipeline takes."""
-    return _left(line_dedup(_documents(spark, sf_dir).select("doc_id", "text"), whole=True))
-
-
-def _left(docs: DataFrame) -> DataFrame:
+    """Per document: its lines, how many of them went with later copies of maximal repeated runs, and the SHA-256 of what is left."""
+    docs = line_dedup(_documents(spark, sf_dir).select("doc_id", "text"), whole=True)
     removed = F.aggregate("_removed", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.size(F.split(text, "\n", -1)).alias("n_lines_left"), removed.alias("n_removed"), F.sha2(text, 256).alias("left_sha256"))
@@ -64,7 +56,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_media(to_media(_documents(spark, sf_dir)), keep=("doc_id", "n_bytes", "payload_bytes"))
+    return from_media(store_media(_documents(spark, sf_dir).select("doc_id", "text")), keep=("doc_id", "n_bytes", "payload_bytes"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +67,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {"op4_ngram_join": op4_ngram_join, "op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_whole": op9_line_dedup_whole}
+QUERIES = {"op4_ngram_join": op4_ngram_join, "op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -88,11 +80,10 @@ ORACLES = {
             select doc_id, case when source is null then '1' else '0' || source end as k, md5(coalesce(cast(doc_id as varchar), '')) as h,
                 cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size
             from documents),
-        salts as (select 1 + cast(floor(sqrt(count(*))) as bigint) // 8 as s from documents),
         r as (
-            select doc_id, k, h, size, cast('0x' || substr(h, 1, 7) as bigint) % s as salt,
+            select doc_id, k, h, size, cast('0x' || substr(h, 1, 7) as bigint) % 256 as salt,
                 case when size < 16 then size else len(bin(size)) * 8 + ((size >> (len(bin(size)) - 4)) & 7) end as c
-            from sized, salts),
+            from sized),
         t as (select k, sum(size)::bigint as s from r group by k),
         w as (select k, s, (row_number() over (order by k) - 1) % 3 + 1 as w from t),
         l as (
@@ -122,7 +113,11 @@ ORACLES = {
         runs as (
             select a.doc_id, a.n, min(b.n) as last
             from c a join c b on a.doc_id = b.doc_id and b.n >= a.n and b.upto >= a.upto - a.w + 50
-            group by a.doc_id, a.n),
+            group by a.doc_id, a.n
+            union
+            select b.doc_id, max(a.n) as n, b.n as last
+            from c a join c b on a.doc_id = b.doc_id and b.n >= a.n and b.upto >= a.upto - a.w + 50
+            group by b.doc_id, b.n),
         named as (
             select r.doc_id, r.n, r.last, md5(string_agg(c.line, chr(10) order by c.n)) as name
             from runs r join c on c.doc_id = r.doc_id and c.n between r.n and r.last
