@@ -1,13 +1,16 @@
 """N-gram Jaccard join: adaptive multi-match prefixes over word shingles, exact links, components.
 
 A document's shingles stand in one global order (estimated frequency, then hash). Two sets that overlap by a share of 3/4 or more of
-either share at least l of their first |set| - ceil(3/4 |set|) + l shingles, for every l. Each document takes the l that makes its
-estimated cost least: postings to scan, and candidates to verify, which are fewer the more shared shingles are asked for. A pair is a
-candidate if it shares as many prefix shingles as the smaller l of the two asks for.
-
-Equal sets are one node, named by a fingerprint. Where many nodes share a shingle, all pairs of them are not formed: everyone is compared
-with one pivot first, links are merged into components, and only pairs across components, which alone can still change
-the result, are looked at afterwards. Histograms of the sets, which bound an overlap from above, spare sets of hopeless pairs the way.
+either share at least l of their first |set| - ceil(3/4 |set|) + l shingles, for every l. Each document takes the l, up to all it must
+share, that makes its estimated cost least: postings to scan, and candidates to verify, which are fewer the more shared shingles are asked
+for. A posting carries its place in the document's order, so that a pair, whose sizes are then known, asks for the l shared shingles
+within prefixes of |set| - (overlap that this pair needs) + l, which are far shorter than those that serve every partner. A pair is a
+candidate if it shares as many shingles there as the smaller l of the two asks for.
+
+Equal sets are one node, named by a fingerprint. A shingle never gives more than CROWD / 2 rows a node at a time: where it would, its nodes
+meet some of its own as pivots first, twice as many each round; links are merged into components, and only pairs across components, which
+alone can still change the result, are formed afterwards. The rule holds for every l, and there a pair asks for l = 1: one shared
+shingle within the shortest prefixes. Copies of one text that are no copies of each other share many shingles, but few there.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, save, small_batches, with_hit
@@ -27,16 +30,14 @@ from .common import bitmap_of, save, small_batches, with_hit
 SHINGLE, SHARE = 5, (3, 4)
 #: Counters of the frequency estimate: a fixed-size sketch of all shingles of all documents.
 COUNTERS = 1 << 22
-#: Most shared shingles that a prefix may ask for, and the cost of verifying a candidate in postings scanned.
-MOST_SHARED, VERIFY_COST = 8, 20.0
+#: The cost of verifying a candidate in postings scanned.
+VERIFY_COST = 20.0
 #: Other documents that a shingle is thought to be in which the sketch can't tell from chance.
-UNSEEN = 0.5
-#: Nodes that share a shingle from which on they meet by pivots.
+UNSEEN = 0.1
+#: Nodes of a shingle whose pairs are formed at once. A bound on rows: a shingle gives no more than CROWD / 2 a node.
 CROWD = 64
-#: Nodes of a crowd that are compared at once.
-CROWD_BLOCK = 1024
-#: Rounds of pivots at most; what they leave is compared pair by pair.
-PIVOT_ROUNDS = 6
+#: Nodes of a shingle that are compared in one task.
+BLOCK_NODES = 1024
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,16 +151,28 @@ def prefix(shingles: np.ndarray, extra: np.ndarray, share: tuple[int, int]) -> t
         level = np.zeros(len(shingles), np.int64)
         level[often] = np.log2(estimate[often]).astype(np.int64) + 1
         order = np.argsort(level, kind="stable")  # the shingles are sorted
-    cost = np.cumsum(np.where(often, estimate, UNSEEN)[order])
-    best, least = 1, math.inf
-    for l in range(1, min(MOST_SHARED, need) + 1):  # noqa: E741
-        scanned = float(cost[base + l - 1])
-        price = base + l + scanned + VERIFY_COST * scanned / l
-        if price < least:
-            best, least = l, price
+    scanned = np.cumsum(np.where(often, estimate, UNSEEN)[order])[base:]
+    shared = np.arange(1, need + 1)
+    best = int((base + shared + scanned + VERIFY_COST * scanned / shared).argmin()) + 1
     return best, shingles[order[: base + best]]
 
 
+def within(n: np.ndarray, l: np.ndarray, at: np.ndarray, n2: np.ndarray, l2: np.ndarray, at2: np.ndarray, share: tuple[int, int]) -> np.ndarray:  # noqa: E741
+    """Whether a shingle at these places of two sets of n and n2 shingles counts for the pair: both places are in the prefixes it asks for."""
+    num, den = share
+    spare = np.minimum(l, l2) + num * (n + n2) // -(num + den)  # l - ceil(overlap needed)
+    return (den * np.minimum(n, n2) >= num * np.maximum(n, n2)) & (at < n + spare) & (at2 < n2 + spare)
+
+
+def _within(a: str, b: str, share: tuple[int, int]) -> Column:
+    """The same of columns n and at with a prefix each, and l = 1."""
+    num, den = share
+    of = lambda c: (F.col(f"{a}{c}"), F.col(f"{b}{c}"))
+    (n, n2), (at, at2) = of("n"), of("at")
+    spare = 1 - F.expr(f"({num} * ({a}n + {b}n) + {num + den - 1}) div {num + den}")
+    return (den * F.least(n, n2) >= num * F.greatest(n, n2)) & (at < n + spare) & (at2 < n2 + spare)
+
+
 def _in_order(batch: pa.RecordBatch, shingler: Shingler) -> Iterator[np.ndarray]:
     return shingler.sets(batch.column("text").to_pylist())
 
@@ -212,69 +225,71 @@ def _sketch(counts: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
-    """shingle, node and meta (n << 16 | l << 8 | spread) of each prefix shingle; a task sends equal sets once.
+    """shingle, node, size (n << 32 | l) and place (its place << 8 | spread) of each prefix shingle; a task sends equal sets once.
 
-    spread is 0, but for shingles that the sketch shows in crowds: those needn't meet and are dealt out by it.
+    spread is 0, but for shingles that the sketch shows to be in very many documents: those needn't meet at first and are dealt out by it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = Shingler(salt), set()
         for b in batches:
-            first, node, meta = [], [], []
+            columns = [], [], [], []
             for shingles in _in_order(b, s):
                 key = fingerprint(shingles)[0]
                 if len(shingles) and key not in seen:
                     seen.add(key)
                     l, chosen = prefix(shingles, sent.value, share)  # noqa: E741
                     spread = np.where(sent.value[_slot(chosen)] >= 4 * CROWD, 1 + key % 63, 0)
-                    first.append(chosen.astype(np.int64))
-                    node.append(np.full(len(chosen), key))
-                    meta.append((len(shingles) << 16 | l << 8) + spread)
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (first, node, meta)], ["shingle", "node", "meta"])
+                    for c, x in zip(columns, (chosen.astype(np.int64), np.full(len(chosen), key), np.full(len(chosen), len(shingles) << 32 | l), np.arange(len(chosen)) << 8 | spread), strict=True):
+                        c.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], ["shingle", "node", "size", "place"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, node long, meta long")
+    return docs.select("text").mapInArrow(run, "shingle long, node long, size long, place long")
 
 
 def _meet(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Rows of kind 0: pairs of nodes that share shingles which at most CROWD nodes have, in how many (n), and the smaller l; of kind 1: shingle, node, n and l of the others."""
-    arranged = postings.repartition("shingle", F.col("meta").bitwiseAND(255)).sortWithinPartitions("shingle", "node")
-    names, (num, den) = ["kind", "a", "b", "n", "l"], share
+    """Rows of kind 0: pairs of nodes that share shingles which few nodes have, in how many (n), and the smaller l; of kind 1: shingle, node, n, l and at of the others."""
+    arranged = postings.repartition("shingle", F.col("place").bitwiseAND(255)).sortWithinPartitions("shingle", "node")
+    names = ["kind", "a", "b", "n", "l", "at"]
 
     def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], names)
 
+    def split(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        return rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF, rows[:, 3] >> 8
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, flowing = np.zeros((0, 3), np.int64), None  # rows of the last shingle; a shingle that has shown to be crowded
+        held, flowing = np.zeros((0, 4), np.int64), None  # rows of the last shingle; a shingle that has shown to be in many nodes
 
         def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             heads = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
             size = np.diff(np.r_[heads, len(rows)])
-            crowd = (size > CROWD) | (rows[heads, 2] & 255 != 0)
+            later = (size > CROWD) | (rows[heads, 3] & 255 != 0)
             if flowing is not None:
-                crowd |= rows[heads, 0] == flowing
-            many = np.repeat(crowd, size)
+                later |= rows[heads, 0] == flowing
+            many = np.repeat(later, size)
             if many.any():
-                yield out(1, rows[many, 0], rows[many, 1], rows[many, 2] >> 16, rows[many, 2] >> 8 & 255)
-            few, size, pairs = rows[~many], size[~crowd], []
+                yield out(1, rows[many, 0], rows[many, 1], *split(rows[many]))
+            alone = np.repeat(size == 1, size)
+            few, size, pairs = rows[~many & ~alone], size[~later & (size > 1)], []
             place = np.arange(len(few)) - np.repeat(np.cumsum(size) - size, size)
             for step in range(1, int(size.max(initial=1))):  # each row with the one so many places before
-                at = np.flatnonzero(place >= step)
-                x, y = few[at - step], few[at]
-                small, large = np.minimum(x[:, 2], y[:, 2]) >> 16, np.maximum(x[:, 2], y[:, 2]) >> 16
-                fits = den * small >= num * large
+                y = few[at := np.flatnonzero(place >= step)]
+                x = few[at - step]
+                fits = within(*split(x), *split(y), share)
                 if fits.any():
                     x, y = x[fits], y[fits]
-                    pairs.append(np.stack([x[:, 1], y[:, 1], np.minimum(x[:, 2] >> 8 & 255, y[:, 2] >> 8 & 255)], 1))
+                    pairs.append(np.stack([x[:, 1], y[:, 1], np.minimum(split(x)[1], split(y)[1])], 1))
             if pairs:
                 found = np.concatenate(pairs)
                 found = found[np.lexsort((found[:, 1], found[:, 0]))]
                 heads = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
-                yield out(0, found[heads, 0], found[heads, 1], np.diff(np.r_[heads, len(found)]), found[heads, 2])
+                yield out(0, found[heads, 0], found[heads, 1], np.diff(np.r_[heads, len(found)]), found[heads, 2], np.zeros(len(heads), np.int64))
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("shingle", "node", "meta")], 1)])
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in ("shingle", "node", "size", "place")], 1)])
             if not len(rows):
                 continue
             rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]]
@@ -289,7 +304,7 @@ def _meet(postings: DataFrame, share: tuple[int, int]) -> DataFrame:
         if len(held):
             yield from whole(held)
 
-    return arranged.mapInArrow(run, "kind int, a long, b long, n long, l long")
+    return arranged.mapInArrow(run, "kind int, a long, b long, n long, l long, at long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
@@ -372,46 +387,70 @@ def possible(pairs: DataFrame, histograms: DataFrame, share: tuple[int, int]) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(now: DataFrame, histograms: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """a, b and the smaller l, once per shingle, of nodes of different components that share it and whose histograms don't rule them out.
+def _across(now: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """a and b, once per shingle, of nodes of different components which it counts for with l = 1.
 
-    Nodes of a shingle are dealt into blocks, and each pair of blocks is a group of its own, so none grows with the crowd. Pairs are
-    compared as arrays and only possible ones become rows.
+    Nodes of a shingle are dealt into blocks, and each pair of blocks is a group of its own, so none grows with the shingle's nodes. Pairs
+    are compared as arrays and only those that the shingle counts for become rows.
     """
     num, den = share
-    blocks = now.groupBy("shingle").agg(F.ceil(F.count("*") / CROWD_BLOCK).alias("_blocks"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("shingle", "_blocks")
-    rows = now.join(blocks, "shingle").join(histograms, "node", "left").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    now = now.where(F.col("at") <= F.col("n") - F.expr(f"({num} * n + {den - 1}) div {den}")).select("shingle", "node", "component", "n", "at")
+    blocks = now.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("_blocks"), F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("shingle", "_blocks")
+    rows = now.join(save(blocks, "join-blocks"), "shingle").withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_blocks")))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j"))
 
     def compare(g):
         import pandas as pd
 
-        node, of, n, l, block = (g[c].to_numpy() for c in ("node", "component", "n", "l", "_i"))
-        known = np.array([x is not None for x in g["data"]], bool)
-        held = np.frombuffer(b"".join(x if x is not None else bytes(BUCKETS) for x in g["data"]), np.uint8).reshape(-1, BUCKETS)
+        node, of, n, at, block = (g[c].to_numpy() for c in ("node", "component", "n", "at", "_i"))
         lo, hi = g["_lo"].iloc[0], g["_hi"].iloc[0]
         x, y = np.triu_indices(len(node), 1) if lo == hi else (v.ravel() for v in np.meshgrid(np.flatnonzero(block == lo), np.flatnonzero(block == hi)))
-        apart = (of[x] != of[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        apart = of[x] != of[y]
         x, y = x[apart], y[apart]
-        keep = ~(known[x] & known[y])
-        for a in range(0, len(x), 20_000):
-            i, j = x[a : a + 20_000], y[a : a + 20_000]
-            most = np.minimum(held[i], held[j]).sum(axis=1, dtype=np.int64)
-            keep[a : a + 20_000] |= (den + num) * most >= num * (n[i] + n[j])
+        keep = within(n[x], one := np.int64(1), at[x], n[y], one, at[y], share)
         x, y = x[keep], y[keep]
-        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "l": np.minimum(l[x], l[y])})
+        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+    return rows.select("shingle", "_lo", "_hi", "_i", "node", "component", "n", "at").groupBy("shingle", "_lo", "_hi").applyInPandas(compare, "a long, b long")
 
-    return rows.select("shingle", "_lo", "_hi", "_i", "node", "component", "n", "l", "data").groupBy("shingle", "_lo", "_hi").applyInPandas(compare, "a long, b long, l long")
+
+def _by_pivots(rows: DataFrame, number: int, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links between rows(shingle, node, n, at), some found by pivots: each shingle's nodes meet 1, 2, 4 ... of them, round by round.
+
+    Rounds end when the pairs that are left across components are few for the rows, when a round links nothing, or when all nodes
+    have been pivots. That bounds the work only: what is left is compared afterwards.
+    """
+    none = rows.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    links, labels, turn = none, none.toDF("node", "component"), 0
+    weights, used = save(rows.groupBy("node").agg(F.count("*").alias("_w")), "join-weights"), rows.where("false").select("node")
+    while True:
+        now = save(_labelled(rows, labels), "join-now")
+        sizes = now.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        crossing = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
+        if crossing <= 2 * number:
+            return links
+        # the node with the most such shingles in its prefix is likely the one that the others are copies of
+        able = now.join(weights, "node").join(used, "node", "left_anti").withColumn("_slot", F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1 << turn)))
+        pivots = able.groupBy("shingle", "_slot").agg(F.max(F.struct("_w", "node", "n", "at", "component")).alias("p"))
+        pivots = save(pivots.select("shingle", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "at", "component")]), "join-pivots")
+        used = used.unionByName(pivots.select(F.col("p_node").alias("node"))).distinct()
+        tests = now.join(pivots, "shingle").where((F.col("p_component") != F.col("component")) & _within("", "p_", share))
+        new = save(linked(tests.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct(), sets, share), "join-links")
+        if new.isEmpty():
+            return links
+        links, turn = links.unionByName(new), turn + 1
+        labels = _near_labels(links)
 
 
 def _node_components(docs: DataFrame, prints: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
-    num, den = share
     met = save(_meet(_postings(docs, extra, salt, share), share), "join-met", by=["kind"])
-    light = met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("l").alias("l"))
-    crowd = save(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "l").distinct(), "join-crowd")
-    light, rows = save(light, "join-light"), crowd.count()
-    # a pair of too few light shingles can share crowded ones, if both nodes have any
-    crowded = crowd.select("node").distinct()
+    # what few nodes share counts against the pair's l; a pair that has l or more there is a candidate
+    light = save(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("l").alias("l")), "join-light")
+    crowd = save(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "at").distinct(), "join-crowd")
+    rows = crowd.count()
+    # a linked pair with fewer there shares some that many nodes share, so both nodes have such ones, and its first shared shingle is in
+    # either lot: the pair is then a candidate by that one shingle
+    crowded = save(crowd.select("node").distinct(), "join-crowded")
     of = lambda c: crowded.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
     hopeful = light.where("shared >= l")
     if rows:
@@ -421,35 +460,14 @@ def _node_components(docs: DataFrame, prints: DataFrame, extra: np.ndarray, salt
     open_ = save(possible(hopeful, histograms, share).join(light, ["a", "b"]), "join-possible")
     nodes = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).unionByName(crowded).distinct()
     sets = save(_sets(docs, nodes, salt), "join-sets")
-    links = light.where("false").select("a", "b")
-    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    weights = crowd.groupBy("node").agg(F.count("*").alias("_w"))
-    used = crowded.where("false")
-    for turn in range(PIVOT_ROUNDS if rows else 0):
-        now = save(_labelled(crowd, labels), "join-now")
-        sizes = now.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        crossing = sizes.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()[0] or 0
-        if crossing <= 2 * rows:
-            break
-        # the node with the most crowded shingles in its prefix is likely the one that the others are copies of
-        able = now.join(weights, "node").join(used, "node", "left_anti")
-        pivots = able.groupBy("shingle").agg(F.max(F.struct("_w", F.xxhash64(F.lit(turn), "node").alias("_then"), "node", "n", "component")).alias("p"))
-        pivots = save(pivots.select("shingle", "p.node", "p.n", "p.component").toDF("shingle", "_p", "_pn", "_pc"), "join-pivots")
-        used = used.unionByName(pivots.select(F.col("_p").alias("node"))).distinct()
-        tests = now.join(pivots, "shingle").where((F.col("_pc") != F.col("component")) & fits(F.col("n"), F.col("_pn"))).select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b")).distinct()
-        new = save(linked(tests, sets, share), "join-links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        labels = _near_labels(links)
-    pairs = open_
+    links, pairs = open_.where("false").select("a", "b"), open_
+    labels = links.toDF("node", "component")
     if rows:
-        now = save(_labelled(crowd, labels), "join-now")
-        held = with_hit(prints.select("node", "data"), bitmap_of(crowded, "node"), "node").where("_hit").select("node", "data").dropDuplicates(["node"])
-        across = _across(now, held, share).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l"))
-        pairs = open_.unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("l").alias("l"))
-    pairs = save(pairs.where("shared >= l"), "join-pairs")
+        links = _by_pivots(crowd, rows, sets, share)
+        labels = components(links)
+        across = _across(save(_labelled(crowd, labels), "join-now"), share).groupBy("a", "b").agg(F.count("*").alias("shared"))
+        pairs = open_.select("a", "b", "shared").unionByName(across).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = save(pairs.select("a", "b", "shared"), "join-pairs")
     # first each node with the one it shares most with, then what is still apart
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("_x")).select(F.col("_x.a").alias("a"), "b")
     for tests in (best, pairs):
@@ -479,7 +497,9 @@ def ngram_components(docs: DataFrame, *, share: tuple[int, int] = SHARE, id_col:
         salt += 1
     labels = _node_components(src, found, _sketch(both.where("kind = 1")), salt, share)
     placed = found.where("n > 0").join(labels, "node", "left").withColumn("_c", F.coalesce("component", "node")).select("doc_id", "n", "_c")
-    least = placed.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    placed = save(placed, "join-placed")
+    # two tables, so that Spark can split the many rows of one component where they meet its label
+    least = save(placed.groupBy("_c").agg(F.min("doc_id").alias("component_id")), "join-least")
     full = placed.join(least, "_c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
