@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: Texts of about so many characters are searched together.
-TOGETHER = 3_000_000
-#: Units that a worker keeps the lattice of.
-KEPT = 100_000
+TOGETHER = 1_000_000
+#: Units that a task keeps the lattice of.
+KEPT = 60_000
 #: No variate from 53-bit random numbers exceeds its location by more.
 HIGHEST = 37.0
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,7 +140,7 @@ def build(words: list[str], path: str, alpha: float) -> Lattice:
     extra = np.flatnonzero(alone)
     width = 1 + (code[extra] > 0x7F) + (code[extra] > 0x7FF) + (code[extra] > 0xFFFF)
     at = np.searchsorted(to, extra + 1, side="right")
-    to, start = np.insert(to, at, extra + 1), np.insert(to - length, at, extra)
+    to, start = np.insert(to, at, extra + 1).astype(np.int32), np.insert(to - length, at, extra).astype(np.int32)
     weight = np.insert(logp[piece], at, byte * width)
     piece = np.insert(piece, at, (-1 - code[extra]).astype(np.int32))
     # forward sums, all units by one position at a time
@@ -170,7 +170,7 @@ def build(words: list[str], path: str, alpha: float) -> Lattice:
 def _joined(one: Lattice, two: Lattice) -> Lattice:
     """Both lattices' units, those of one first."""
     nodes, edges = len(one.first) - 1, len(one.to)
-    shifted = {"begin": nodes, "end": nodes, "to": nodes, "start": nodes}
+    shifted = {"begin": nodes, "end": nodes, "to": np.int32(nodes), "start": np.int32(nodes)}  # fewer than 2**31 nodes: a text has fewer characters
     parts = {f: np.concatenate([getattr(one, f), getattr(two, f) + shifted.get(f, 0)]) for f in ("begin", "end", "to", "start", "piece", "logq", "upto")}
     return Lattice(first=np.concatenate([one.first[:-1], two.first + edges]), **parts)
 
@@ -211,12 +211,6 @@ class Lattices:
         return lattice, number
 
 
-@functools.cache
-def _lattices(path: str, alpha: float) -> Lattices:
-    """One per worker process."""
-    return Lattices(path, alpha)
-
-
 def _descend(lat: Lattice, node: np.ndarray, stop: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Draws edges from each node down to stop; at: the random place of stop. Gives the edges of all walks one after another, and each walk's number of edges."""
     live, edges, owners = np.flatnonzero(node > stop), [], []
@@ -314,12 +308,12 @@ def _take(lat: Lattice, heap: list[tuple], samples: list[Sample], key: np.ndarra
     return -v, old, depth, lo + j, prior + float(lat.logq[lo + j])
 
 
-def search(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float) -> tuple[Lattice | None, list[list[Sample]], list[float]]:
+def search(keys: np.ndarray, texts: list[str], k: int, lattices: Lattices) -> tuple[Lattice | None, list[list[Sample]], list[float]]:
     """Of each text its k best samples, best first, and the variate of the one after (-inf where there is none)."""
     spread = [pieces.units(t)[::-1] for t in texts]
     if not any(spread):
         return None, [[] for _ in texts], [-math.inf] * len(texts)
-    lat, unit = _lattices(path, alpha).of(list(itertools.chain.from_iterable(spread)))
+    lat, unit = lattices.of(list(itertools.chain.from_iterable(spread)))
     number = np.fromiter(map(len, spread), np.int64, len(texts))
     head = np.cumsum(number) - number
     size = lat.end[unit] - lat.begin[unit] + 1
@@ -401,16 +395,16 @@ def _keys(values: list, seed: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(str(v), seed) for v in values), np.uint64, len(values))
 
 
-def sample_texts(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-    """(index of the text, number of the sample from 1, ids, log-probability, variate, inclusion probability), lazily."""
-    byte_ids = pieces.load(path).byte_ids
+def sample_texts(keys: np.ndarray, texts: list[str], k: int, path: str, alpha: float, lattices: Lattices | None = None) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+    """(index of the text, number of the sample from 1, ids, log-probability, variate, inclusion probability), lazily. lattices: what earlier calls have left."""
+    byte_ids, lattices = pieces.load(path).byte_ids, lattices or Lattices(path, alpha)
     a = 0
     while a < len(texts):
         b, size = a, 0
         while b < len(texts) and (b == a or size + len(texts[b]) <= TOGETHER):
             size += len(texts[b])
             b += 1
-        lat, found, rest = search(keys[a:b], texts[a:b], k, path, alpha)
+        lat, found, rest = search(keys[a:b], texts[a:b], k, lattices)
         for d, of in enumerate(found):
             if not of:
                 yield a + d, 1, np.zeros(0, np.int32), 0.0, 0.0, 1.0
@@ -430,7 +424,7 @@ def sample_encode(docs: DataFrame, k: int, *, model: str | None = None, alpha: f
     empty segmentation. A null id seeds as "None". Other columns are ignored. Whole texts are segmented.
 
     digest: n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and decoded_sha256 in place of ids.
-    No shuffle. A worker holds the lattice of about 3 million characters at once, or of one text where that is longer.
+    No shuffle. A task holds the lattice of about a million characters at once, or of one text where that is longer.
     """
     path = model or pieces.default_model()
     small_batches(docs.sparkSession)
@@ -439,10 +433,11 @@ def sample_encode(docs: DataFrame, k: int, *, model: str | None = None, alpha: f
     own = "n_pieces int, ids_crc32 long, decoded_sha256 string" if digest else "ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = Lattices(path, alpha)  # goes with the task: the worker process serves other tasks afterwards
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             at, sample, got, scores = [], [], [], []
-            for d, n, out, *s in sample_texts(_keys(ids.to_pylist(), seed), texts, k, path, alpha):
+            for d, n, out, *s in sample_texts(_keys(ids.to_pylist(), seed), texts, k, path, alpha, lattices):
                 at.append(d)
                 sample.append(n)
                 scores.append(s)
@@ -450,6 +445,8 @@ def sample_encode(docs: DataFrame, k: int, *, model: str | None = None, alpha: f
             columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)] if digest and got else [pa.array(got, pa.list_(pa.int32()))] if not digest else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.string())]
             floats = [pa.array([s[i] for s in scores], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(sample, pa.int32()), *columns, *floats], ["doc_id", "sample", *[c.split()[0] for c in own.split(", ")], "log_prob", "gumbel", "inclusion"])
+        del lattices
+        give_back()
 
     return src.mapInArrow(run, f"doc_id {kind}, sample int, {own}, log_prob double, gumbel double, inclusion double")
 

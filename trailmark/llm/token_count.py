@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .common import small_batches
+from .common import give_back, small_batches
 
-#: Units remembered by a worker; beyond, it starts anew. A bound on memory, not on the work.
+#: Units remembered by a task; beyond, it starts anew. A bound on memory, not on the work.
 REMEMBERED = 600_000
 
 
@@ -82,16 +82,6 @@ class Counter:
         return total & (1 << 40) - 1, -float(total >> 40)
 
 
-_counters: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    """One per worker process and vocabulary."""
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
-
-
 def token_counts(docs: DataFrame, *, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and score (the best sum) per row of docs.
 
@@ -104,9 +94,11 @@ def token_counts(docs: DataFrame, *, model: str | None = None, id_col: str = "do
     kind = dict(src.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = Counter(path)  # what it remembers goes with the task
         for b in batches:
             got = [c.count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "n_tokens", "score"])
+        del c
+        give_back()
 
     return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
