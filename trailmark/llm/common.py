@@ -49,9 +49,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(rows, held) if held > 0 else rows))
 
 
-def give_back() -> None:
-    """At a task's end: hands freed memory back to the system, as the worker process lives on and serves other tasks beside the executor's heap."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """At a task's end, or between its batches: hands freed memory back to the system, as the worker process lives on beside the executor's heap and serves other tasks."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -30,9 +30,9 @@ from . import pieces
 from .common import give_back, small_batches
 
 #: Texts of about so many characters are searched together.
-TOGETHER = 1_000_000
+TOGETHER = 200_000
 #: Units that a task keeps the lattice of.
-KEPT = 60_000
+KEPT = 15_000
 #: No variate from 53-bit random numbers exceeds its location by more.
 HIGHEST = 37.0
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -202,7 +202,7 @@ class Lattices:
             if len(self.met) > 4 * KEPT:
                 self.met.clear()
             self.met.update(fresh)
-            if len(self.again) >= 10_000:
+            if len(self.again) >= 5_000:
                 new = build([pieces.SPACE + u for u in self.again], self.path, self.alpha)
                 self.kept |= dict(zip(self.again, range(len(self.kept), len(self.kept) + len(self.again)), strict=True))
                 self.lattice = _joined(self.lattice, new) if self.lattice else new
@@ -424,10 +424,10 @@ def sample_encode(docs: DataFrame, k: int, *, model: str | None = None, alpha: f
     empty segmentation. A null id seeds as "None". Other columns are ignored. Whole texts are segmented.
 
     digest: n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and decoded_sha256 in place of ids.
-    No shuffle. A task holds the lattice of about a million characters at once, or of one text where that is longer.
+    No shuffle. A task holds the lattice of about 200,000 characters at once, or of one text where that is longer.
     """
     path = model or pieces.default_model()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(src.dtypes)["doc_id"]
     own = "n_pieces int, ids_crc32 long, decoded_sha256 string" if digest else "ids array<int>"
@@ -445,6 +445,8 @@ def sample_encode(docs: DataFrame, k: int, *, model: str | None = None, alpha: f
             columns = [pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int64(), pa.string()), strict=True)] if digest and got else [pa.array(got, pa.list_(pa.int32()))] if not digest else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.string())]
             floats = [pa.array([s[i] for s in scores], pa.float64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(sample, pa.int32()), *columns, *floats], ["doc_id", "sample", *[c.split()[0] for c in own.split(", ")], "log_prob", "gumbel", "inclusion"])
+            del texts, at, sample, got, scores, columns, floats
+            give_back(collect=False)
         del lattices
         give_back()
 
