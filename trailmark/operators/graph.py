@@ -8,23 +8,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Seconds a floor by stairs up and down, a lift's wait and seconds a floor, what changing to another stair or lift costs.
-STAIRS_UP, STAIRS_DOWN, LIFT_WAIT, LIFT_FLOOR, CHANGE = 18.0, 12.0, 45.0, 4.0, 20.0
+# Seconds a floor by stairs up and down, a lift's wait and seconds a floor, what changing to another stair or lift costs, and what taking an uncommon one does.
+STAIRS_UP, STAIRS_DOWN, LIFT_WAIT, LIFT_FLOOR, CHANGE, UNCOMMON = 18.0, 12.0, 45.0, 4.0, 20.0, 60.0
 WALKING_SPEED = 1.3
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a new Parquet table in spark.checkpoint.dir (a new folder where that is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a new folder, in local mode only: elsewhere each executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a new Parquet table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,56 +79,99 @@ def _most_rounds(arcs: DataFrame, states: int = 1) -> int:
     return (both_ways(arcs.select("a", "b")).select("a").distinct().count() + 1) * states
 
 
-def shortest_times(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """request, node, cost and hops of the cheapest way from each request's start to every node it reaches.
+#: Rounds whose improvements stay tables of their own before they are merged.
+MERGED_EVERY = 3
 
-    arcs(a, b, cost) and starts(request, node). Frontier relaxation: a round joins the arcs with what the round before has improved,
-    so many requests run in one join; it ends when nothing improves, and raises an error where a negative cycle would improve for ever.
+
+def relax(first: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], price: str, most: int, label: str) -> DataFrame:
+    """The cheapest row of each state that is reached from first by steps; of equal prices, the least of the other columns.
+
+    first and step's rows have the same columns; keys are never null. Frontier relaxation: step sees what the round before has
+    improved, so a round moves that much and writes only what it improves; earlier rounds are merged now and then. It ends
+    when nothing improves, and raises an error after most rounds, which only a negative cycle needs.
     """
-    arcs = written(arcs.select("a", "b", "cost"), "arcs")
-    most, rounds = _most_rounds(arcs), 0
-    best = written(starts.select("request", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), "paths")
-    front = best
+    rest = [c for c in first.columns if c not in (*keys, price)]
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min(F.struct(price, *rest)).alias("_s")).select(*keys, "_s.*")
+
+    front = written(least(first), label)
+    parts, rounds = [front], 0
     while not front.isEmpty():
         if rounds > most:
             raise ValueError("the arcs have a cycle of negative cost")
         rounds += 1
-        reached = front.join(arcs, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (front["cost"] + arcs["cost"]).alias("cost"), (F.col("hops") + 1).alias("hops"))
-        reached = reached.groupBy("request", "node").agg(F.min(F.struct("cost", "hops")).alias("_n"))
-        old = best.select("request", "node", F.struct("cost", "hops").alias("_o"))
-        both = written(old.join(reached, ["request", "node"], "full").withColumn("_new", F.coalesce(F.col("_n.cost") < F.col("_o.cost"), F.col("_o").isNull())), "paths")
-        pick = F.when(F.col("_new"), F.col("_n")).otherwise(F.col("_o"))
-        best = both.select("request", "node", pick["cost"].alias("cost"), pick["hops"].alias("hops"))
-        front = both.where("_new").select("request", "node", F.col("_n.cost").alias("cost"), F.col("_n.hops").alias("hops"))
-    return best
-
-
-def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE) -> DataFrame:
-    """The cheapest route of each requests(request, source, target): its seconds and path, by a state of node and last vertical.
-
-    arcs(a, b, cost, vertical): vertical names the stair or lift, null for a walk, room_b tells a room, which no route passes
-    through. Changing to another vertical costs a penalty that chooses but isn't reported. States carry their path, so a round is one join.
-    Rounds go on until no state improves; a negative cycle raises an error.
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        known = known.groupBy(*keys).agg(F.min(price).alias("_known"))
+        better = least(step(front).select(*first.columns)).join(known, keys, "left").where(F.col("_known").isNull() | (F.col(price) < F.col("_known")))
+        front = written(better.select(*first.columns), label)
+        parts.append(front)
+        if len(parts) > MERGED_EVERY:
+            every = parts[0]
+            for p in parts[1:]:
+                every = every.unionByName(p)
+            parts = [written(least(every), label)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return written(least(every), label)
+
+
+def shortest_times(arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """request, node, cost and hops of the cheapest way from each request's start to every node it reaches.
+
+    arcs(a, b, cost) and starts(request, node). Many requests run in one join a round.
     """
-    arcs = written(arcs.select("a", "b", "cost", "vertical", "room_b"), "arcs")
-    most, rounds = _most_rounds(arcs, arcs.select("vertical").distinct().count() + 1), 0
-    first = requests.select("request", "target", F.col("source").alias("node"), F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("price"), F.lit(0.0).alias("seconds"), F.array("source").alias("path"))
-    best = written(first, "routes")
-    front = best
-    while not front.isEmpty():
-        if rounds > most:
-            raise ValueError("the arcs have a cycle of negative cost")
-        rounds += 1
-        arc = arcs.select(F.col("a").alias("node"), F.col("b").alias("_b"), F.col("cost").alias("_c"), F.col("vertical").alias("_v"), F.col("room_b").alias("_room"))
-        step = front.join(arc, "node").where(~F.col("_room") | (F.col("_b") == F.col("target"))).where(F.col("node") != F.col("target"))
-        change = F.when(F.col("_v").isNotNull() & F.col("last").isNotNull() & (F.col("_v") != F.col("last")), penalty).otherwise(0.0)
-        step = step.select("request", "target", F.col("_b").alias("node"), F.coalesce("_v", "last").alias("last"), (F.col("price") + F.col("_c") + change).alias("price"), (F.col("seconds") + F.col("_c")).alias("seconds"), F.array_append("path", F.col("_b")).alias("path"))
-        key = Window.partitionBy("request", "node", "last").orderBy("price", F.size("path"), "path")
-        every = best.withColumn("_old", F.lit(True)).unionByName(step.withColumn("_old", F.lit(False)))
-        best = written(every.withColumn("_r", F.row_number().over(key)).where("_r = 1").drop("_r"), "routes")
-        front, best = best.where("not _old").drop("_old"), best.drop("_old")
-    done = best.where("node = target").groupBy("request").agg(F.min(F.struct("price", "seconds", "path")).alias("_x"))
-    return done.select("request", F.col("_x.seconds").alias("seconds"), F.col("_x.path").alias("path"))
+    arcs = written(arcs.select("a", "b", "cost"), "arcs")
+
+    def step(front: DataFrame) -> DataFrame:
+        return front.join(arcs, F.col("node") == F.col("a")).select("request", F.col("b").alias("node"), (front["cost"] + arcs["cost"]).alias("cost"), (F.col("hops") + 1).alias("hops"))
+
+    return relax(starts.select("request", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), step, ["request", "node"], "cost", _most_rounds(arcs), "paths")
+
+
+def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, uncommon_penalty: float = UNCOMMON) -> DataFrame:
+    """The cheapest route of each requests(request, source, target): its seconds, path and price (seconds and penalties). No row where there is none or an end is unknown.
+
+    arcs(a, b, cost, vertical, room_b): vertical names the stair or lift, null for a walk; room_b tells a room, which no route passes
+    through. Optional columns: passage_b, a passage between buildings building_a and building_b, from which no route
+    returns into the building it came from; uncommon, a vertical that costs more; transit, the building in which it does so only for routes
+    that neither begin nor end there (source_building and target_building of requests). Changing to another vertical costs
+    a penalty, and so does taking an uncommon one; both choose but aren't reported. A state is a node, the last vertical and, on a
+    passage, the building before it; it points to the state before it, and paths are read back from the ends.
+    """
+    has, asked = set(arcs.columns), set(requests.columns)
+    some = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind).alias(c)
+    arcs = written(arcs.select("a", "b", "cost", "vertical", "room_b", some("passage_b", "boolean"), some("building_a", "string"), some("building_b", "string"), some("uncommon", "boolean"), some("transit", "string")), "arcs")
+    most = _most_rounds(arcs, (arcs.select("vertical").distinct().count() + 1) * (arcs.select("building_a").distinct().count() + 1))
+    of = lambda c: (F.col(c) if c in asked else F.lit(None)).cast("string").alias(c)
+    keys, node = ["request", "node", "last", "came"], F.lit(None).cast(dict(arcs.dtypes)["a"])
+    first = requests.select("request", F.col("source").alias("node"), F.lit("").alias("last"), F.lit("").alias("came"), F.lit(0.0).alias("price"), F.lit(0.0).alias("seconds"), F.lit(0).alias("hops"), node.alias("p_node"), F.lit("").alias("p_last"), F.lit("").alias("p_came"), "target", of("source_building"), of("target_building"))
+
+    def step(front: DataFrame) -> DataFrame:
+        on = front.where("node <> target").join(arcs, F.col("node") == F.col("a"))
+        on = on.where((~F.col("room_b") | (F.col("b") == F.col("target"))) & ((F.col("came") == "") | (F.col("came") != F.coalesce("building_b", F.lit("")))))
+        now = F.coalesce("vertical", "last")
+        changed = F.col("vertical").isNotNull() & (now != F.col("last"))
+        transit = F.coalesce(~F.col("transit").isin(F.coalesce("source_building", F.lit("")), F.coalesce("target_building", F.lit(""))), F.lit(False))
+        extra = F.when(changed & (F.col("last") != ""), penalty).otherwise(0.0) + F.when(changed & (F.coalesce("uncommon", F.lit(False)) | transit), uncommon_penalty).otherwise(0.0)
+        came = F.when(F.coalesce("passage_b", F.lit(False)) & (F.col("building_a") != F.col("building_b")), F.col("building_a")).otherwise("")
+        return on.select("request", F.col("b").alias("node"), now.alias("last"), came.alias("came"), (F.col("price") + F.col("cost") + extra).alias("price"), (F.col("seconds") + F.col("cost")).alias("seconds"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("p_node"), F.col("last").alias("p_last"), F.col("came").alias("p_came"), "target", "source_building", "target_building")
+
+    best = relax(first, step, keys, "price", most, "routes")
+    ends = best.where("node = target").groupBy("request").agg(F.min(F.struct("price", "hops", "last", "came", "seconds", "node", "p_node", "p_last", "p_came")).alias("_e"))
+    back = ends.select("request", "_e.seconds", "_e.price", F.array("_e.node").alias("path"), *[F.col(f"_e.p_{c}").alias(c) for c in ("node", "last", "came")])
+    back, found = written(back, "ways"), None
+    while True:  # a round goes one place back on all routes
+        there = back.where("node is null").select("request", "seconds", "price", "path")
+        found = there if found is None else written(found.unionByName(there), "ways")
+        left = back.where("node is not null")
+        if left.isEmpty():
+            return found
+        at = best.select("request", "node", "last", "came", *[f"p_{c}" for c in ("node", "last", "came")])
+        back = written(left.join(at, keys).select("request", "seconds", "price", F.array_prepend("path", F.col("node")).alias("path"), *[F.col(f"p_{c}").alias(c) for c in ("node", "last", "came")]), "ways")
 
 
 def verticals(path: DataFrame, key: str = "request") -> DataFrame:
@@ -191,18 +242,45 @@ def straight_joints(edges: DataFrame, nodes: DataFrame, most: float = 0.01) -> D
     return three.select("id", "a", "b", area.alias("area")).where(F.col("area") <= most)
 
 
-def nearest(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Of each points(point, x, y, keys) the nearest node within a cell's size: node and distance, by a grid of cells.
+def _by_cells(points: DataFrame, targets: DataFrame, keys: list[str], cell: float, distance: Column, value: list[str], most: float | None) -> DataFrame:
+    """points with _b, the least struct of distance and value among targets(keys, box _x0 _y0 _x1 _y1, ...), by grids of cells.
 
-    A point meets the nodes of nine cells, whatever the size of the table. Of equal distances, to a nanometre, the smaller id wins.
+    A point meets what touches the nine cells around it. What lies within a cell's size can't be elsewhere, so an answer within it is
+    the answer; for the other points the cells are doubled, round by round, and only they are joined again. Points without finite
+    coordinates or without a target under their keys get null. most: nothing farther counts.
+    """
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1e300" for c in ("x", "y"))
+    asked = points.where(finite)
+    open_ = written(asked.join(targets.select(*keys).distinct(), keys, "left_semi") if keys else asked, "near-open")
+    found, size = [], cell
+    while not open_.isEmpty():
+        cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))  # noqa: E731, B023
+        here = targets.withColumn("_cx", cells("_x0", "_x1")).withColumn("_cy", cells("_y0", "_y1"))
+        around = open_.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+        around = around.withColumn("_cx", F.floor(F.col("x") / size) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("y") / size) + F.col("_o.j")).drop("_o")
+        met = around.join(here, [*keys, "_cx", "_cy"]).withColumn("_d", F.round(distance, 9))
+        met = met.where(F.col("_d") <= most) if most is not None else met
+        both = written(open_.join(met.groupBy("point").agg(F.min(F.struct("_d", *value)).alias("_b")), "point", "left"), "near-met")
+        sure = F.lit(True) if most is not None and size >= most else F.coalesce(F.col("_b._d") <= size, F.lit(False))
+        found.append(both.where(sure).select("point", "_b"))
+        open_, size = both.where(~sure).drop("_b"), size * 2
+    if not found:
+        empty = targets.where("false").select(F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), F.struct(F.lit(0.0).alias("_d"), *value).alias("_b"))
+        return points.join(empty, "point", "left")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return points.join(every, "point", "left")
+
+
+def nearest(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float, most: float | None = None) -> DataFrame:
+    """Of each points(point, x, y, keys) the nearest node: node and distance. cell: a usual distance, from which the search widens.
+
+    Of equal distances, to a nanometre, the smaller id wins. most: null where nothing is so near.
     """
-    grid = lambda c: F.floor(F.col(c) / cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = points.withColumn("_o", around).withColumn("_cx", grid("x") + F.col("_o.i")).withColumn("_cy", grid("y") + F.col("_o.j")).drop("_o")
-    n = nodes.select(*keys, F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell))
-    near = p.join(n, [*keys, "_cx", "_cy"]).withColumn("_d", F.round(F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")), 9)).where(F.col("_d") <= cell)
-    best = near.groupBy("point").agg(F.min(F.struct("_d", "_id")).alias("_b"))
-    return points.join(best, "point", "left").select(*points.columns, F.col("_b._id").alias("node"), F.col("_b._d").alias("distance"))
+    n = nodes.select(*keys, F.col("id").alias("_id"), F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
+    best = _by_cells(points, n, keys, cell, F.hypot(F.col("x") - F.col("_x0"), F.col("y") - F.col("_y0")), ["_id"], most)
+    return best.select(*points.columns, F.col("_b._id").alias("node"), F.col("_b._d").alias("distance"))
 
 
 def instructions(path: DataFrame, key: str = "route", turn: float = 35.0, back: float = 150.0, merge: float = 4.0) -> DataFrame:
@@ -271,31 +349,31 @@ def stair_keys(ids: DataFrame) -> DataFrame:
     return ids.select(key.alias("key"), floor.alias("_f"), F.endswith("id", F.lit("-D")).alias("_d")).groupBy("key").agg(F.min("_f").alias("lowest"), F.max("_f").alias("highest"), F.sum(F.col("_d").cast("int")).alias("n_down"))
 
 
-def nearest_on_edges(points: DataFrame, segments: DataFrame, keys: list[str], cell: float) -> DataFrame:
-    """Of each points(point, x, y, keys) the nearest of segments(edge, ax, ay, bx, by, keys) within a cell's size: edge, share along it and distance.
+def nearest_on_edges(points: DataFrame, segments: DataFrame, keys: list[str], cell: float, most: float | None = None) -> DataFrame:
+    """Of each points(point, x, y, keys) the nearest of segments(edge, ax, ay, bx, by, keys): edge, share along it and distance.
 
-    A segment stands in every grid cell that its box touches, so a point meets nearby segments only.
+    A segment stands in every grid cell that its box touches, so a point meets nearby segments first; the search widens from cell.
+    most: null where nothing is so near.
     """
     from ..functions.geo import share_along
 
-    span = lambda p, q: F.sequence(F.floor(F.least(p, q) / cell), F.floor(F.greatest(p, q) / cell))
-    s = segments.withColumn("_cx", F.explode(span(F.col("ax"), F.col("bx")))).withColumn("_cy", F.explode(span(F.col("ay"), F.col("by"))))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    p = points.withColumn("_o", around).withColumn("_cx", F.floor(F.col("x") / cell) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("y") / cell) + F.col("_o.j")).drop("_o")
+    box = {f"_{c}{i}": f(F.col(f"a{c}"), F.col(f"b{c}")) for c in "xy" for i, f in ((0, F.least), (1, F.greatest))}
     t = share_along(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
-    near = p.join(s, [*keys, "_cx", "_cy"]).withColumn("_t", t)
-    off = F.hypot(F.col("x") - F.col("ax") - F.col("_t") * (F.col("bx") - F.col("ax")), F.col("y") - F.col("ay") - F.col("_t") * (F.col("by") - F.col("ay")))
-    near = near.withColumn("_d", F.round(off, 9)).where(F.col("_d") <= cell)
-    best = near.groupBy("point").agg(F.min(F.struct("_d", "edge", "_t")).alias("_b"))
-    return points.join(best, "point", "left").select(*points.columns, F.col("_b.edge").alias("edge"), F.col("_b._t").alias("share"), F.col("_b._d").alias("distance"))
+    off = F.hypot(F.col("x") - F.col("ax") - t * (F.col("bx") - F.col("ax")), F.col("y") - F.col("ay") - t * (F.col("by") - F.col("ay")))
+    best = _by_cells(points, segments.withColumns(box), keys, cell, off, ["edge", "ax", "ay", "bx", "by"], most)
+    t = share_along(F.col("x"), F.col("y"), *[F.col(f"_b.{c}") for c in ("ax", "ay", "bx", "by")])
+    return best.select(*points.columns, F.col("_b.edge").alias("edge"), t.alias("share"), F.col("_b._d").alias("distance"))
 
 
-def containing(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Each point with the first area (id) whose outline holds it and whose holes don't. Areas are a small dimension, told apart by their boxes first."""
+def containing(points: DataFrame, areas: DataFrame, cell: float = 50.0) -> DataFrame:
+    """Each point with the first area (id) whose outline holds it and whose holes don't. An area stands in the grid cells that its box touches, so points meet areas nearby."""
     from ..functions.geo import in_area
 
     ends = lambda f, i: f(F.transform("outline", lambda p: F.get(p, F.lit(i))))
     boxed = areas.select(F.col("id").alias("_id"), "outline", "holes", *[ends(f, i).alias(n) for f, i, n in ((F.array_min, 0, "_x0"), (F.array_max, 0, "_x1"), (F.array_min, 1, "_y0"), (F.array_max, 1, "_y1"))])
-    near = points.join(F.broadcast(boxed), (F.col("x") >= F.col("_x0")) & (F.col("x") <= F.col("_x1")) & (F.col("y") >= F.col("_y0")) & (F.col("y") <= F.col("_y1")))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    boxed = boxed.withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1"))
+    near = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(boxed, ["_cx", "_cy"])
+    near = near.where("x between _x0 and _x1 and y between _y0 and _y1")
     held = near.where(in_area(F.col("x"), F.col("y"), F.col("outline"), F.col("holes"))).groupBy("point").agg(F.min("_id").alias("area"))
     return points.join(held, "point", "left")

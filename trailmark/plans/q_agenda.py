@@ -51,18 +51,9 @@ def plan(spark, d):
     return op.day_plan(days(spark, d), ["person"]).select("person", "item", "from_item", "break_min", "same_place", "too_tight")
 
 
-@query("q_q07_agenda", f"""with {SLOTS}, {DAYS}, b as (select dow as day, item, st, en, 0 as k from slots where room < 5 union all select cast(person % 5 + 1 as int), person * 8 + item + 1000000000, st, en, 1 from days where person % 50 = 0)
+@query("q_q07_agenda", f"""with {SLOTS}, {DAYS}, b as (select dow as day, item, st, en, 0 as k from slots union all select cast(person % 5 + 1 as int), person * 8 + item + 1000000000, st, en, 1 from days)
     select day, item, st, en, k as kind_rank, row_number() over (partition by day order by st, k, item) as rank from b""")
 def agenda(spark, d):
-    c = slots(spark, d).where("room < 5").select(F.col("dow").alias("day"), "item", "st", "en")
-    e = days(spark, d).where("person % 50 = 0").select((F.col("person") % 5 + 1).cast("int").alias("day"), (F.col("person") * 8 + F.col("item") + 1000000000).alias("item"), "st", "en")
-    return op.agenda(c, e, ["day"])
-
-
-@query("q_q07_agenda_whole", f"""with {SLOTS}, {DAYS}, b as (select dow as day, item, st, en, 0 as k from slots union all select cast(person % 5 + 1 as int), person * 8 + item + 1000000000, st, en, 1 from days)
-    select day, item, st, en, k as kind_rank, row_number() over (partition by day order by st, k, item) as rank from b""")
-def agenda_whole(spark, d):
-    """All rooms and people."""
     c = slots(spark, d).select(F.col("dow").alias("day"), "item", "st", "en")
     e = days(spark, d).select((F.col("person") % 5 + 1).cast("int").alias("day"), (F.col("person") * 8 + F.col("item") + 1000000000).alias("item"), "st", "en")
     return op.agenda(c, e, ["day"])
@@ -73,28 +64,16 @@ def next_item(spark, d):
     return op.next_item(days(spark, d), ["person"], 700).withColumn("st", F.col("st").cast("long"))
 
 
-@query("q_p08_recurrence", """with e as (select o_orderkey as id, cast(o_orderdate as date) as f, o_orderkey % 3 = 0 as w, case when o_orderkey % 2 = 0 then cast(o_orderdate as date) + 28 end as u from orders where o_orderkey < 300000),
+@query("q_p08_recurrence", """with e as (select o_orderkey as id, cast(o_orderdate as date) as f, o_orderkey % 3 = 0 as w, case when o_orderkey % 2 = 0 then cast(o_orderdate as date) + 28 end as u from orders),
     days as (select cast(x as date) as day from range(date '1998-01-01', date '1998-03-02', interval 1 day) t(x))
     select id, day from e join days on (not w and f = day) or (w and day >= f and isodow(day) = isodow(f) and (u is null or day <= u))""")
 def recurrence(spark, d):
-    return _recurrence(spark, d, "o_orderkey < 300000")
-
-
-def _recurrence(spark, d, wanted):
     k, f = F.col("o_orderkey"), F.to_date("o_orderdate")
-    e = table(spark, d, "orders").where(wanted).select(k.alias("id"), f.alias("date"), (k % 3 == 0).alias("weekly"), F.when(k % 2 == 0, F.date_add(f, 28)).alias("until"))
+    e = table(spark, d, "orders").select(k.alias("id"), f.alias("date"), (k % 3 == 0).alias("weekly"), F.when(k % 2 == 0, F.date_add(f, 28)).alias("until"))
     dates = spark.range(60).select(F.date_add(F.lit("1998-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
     return op.occurrences(e, dates).select("id", "day")
 
 
-@query("q_p08_recurrence_whole", """with e as (select o_orderkey as id, cast(o_orderdate as date) as f, o_orderkey % 3 = 0 as w, case when o_orderkey % 2 = 0 then cast(o_orderdate as date) + 28 end as u from orders),
-    days as (select cast(x as date) as day from range(date '1998-01-01', date '1998-03-02', interval 1 day) t(x))
-    select id, day from e join days on (not w and f = day) or (w and day >= f and isodow(day) = isodow(f) and (u is null or day <= u))""")
-def recurrence_whole(spark, d):
-    """All orders."""
-    return _recurrence(spark, d, "true")
-
-
 @query("q_q12_refresh_instant", f"""with {DAYS} select person, item, (select min(v) from (select unnest([st - minutes, st, en, 1440]) as v) where v > 700) as at from days""")
 def refresh(spark, d):
     return days(spark, d).select("person", "item", op.refresh_instant(F.lit(700), F.col("st") - F.col("minutes"), F.col("st"), F.col("en")).alias("at"))

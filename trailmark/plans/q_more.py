@@ -102,15 +102,9 @@ def by_category(spark, d):
     return campus_nodes(spark, d).where(F.col("kind").isin("ROOM", "HALL")).groupBy("building", "kind").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
 
 
-@query("q_j11_free_room_nodes", f"with {CAMPUS_NODES}, {SLOTS}, b as (select distinct room from slots where dow = 1 and st <= 600 and en > 600 and order_key % 50 = 0) select id, name from nodes where kind = 'ROOM' and id not in (select room from b)")
-def free_nodes(spark, d):
-    busy = slots(spark, d).where("dow = 1 and st <= 600 and en > 600 and order_key % 50 = 0").select(F.col("room").cast("long").alias("id"))
-    return campus_nodes(spark, d).where("kind = 'ROOM'").join(busy, "id", "left_anti").select("id", "name")
-
-
-@query("q_j11_free_room_nodes_whole", f"""with {CAMPUS_NODES}, b as (select distinct l_partkey % (select count(*) from part) as room from lineitem
+@query("q_j11_free_room_nodes", f"""with {CAMPUS_NODES}, b as (select distinct l_partkey % (select count(*) from part) as room from lineitem
     where l_orderkey % 5 = 0 and 15 * (l_orderkey % 48) <= 120 and 15 * (l_orderkey % 48) + 45 * (1 + l_linenumber % 3) > 120) select id, name from nodes where kind = 'ROOM' and id not in (select room from b)""")
-def free_nodes_whole(spark, d):
+def free_nodes(spark, d):
     """By the whole timetable, with as many rooms as parts: of 40 rooms none would be free."""
     n = table(spark, d, "part").agg(F.count("*").alias("_n"))
     st = 15 * (F.col("l_orderkey") % 48)
@@ -140,7 +134,7 @@ def matching(spark, d):
     return match(steps, "user_id", floor)
 
 
-@query("q_q17_minutes_of_ring", f"select distinct cast(greatest(1, ceil(l_quantity * {math.pi} * 10 / 60)) as int) as minutes from lineitem")
+@query("q_a06_ring_minutes", f"select distinct cast(greatest(1, ceil(l_quantity * {math.pi} * 10 / 60)) as int) as minutes from lineitem")
 def ring_minutes(spark, d):
     from ..operators.agenda import route_minutes
 

@@ -21,7 +21,7 @@ ALONG = "greatest(0, least(1, ((p.x - ax) * (bx - ax) + (p.y - ay) * (bq - ay))
 
 @query("q_j09_nearest_edge_point", f"""with {CAMPUS_NODES}, {SEGMENTS}, p as (select c_custkey as point, cast(c_custkey % 5 as int) as building, (c_custkey * 31) % 1000 / 10.0 as x, (c_custkey * 17) % 600 / 10.0 as y from customer),
     t as (select point, edge, {ALONG} as t, p.x - ax as ux, p.y - ay as uy, bx - ax as vx, bq - ay as vy from p join seg using (building)),
-    o as (select point, edge, t, round(sqrt(power(ux - t * vx, 2) + power(uy - t * vy, 2)), 9) as d from t), r as (select *, row_number() over (partition by point order by d, edge) as n from o where d <= 15)
+    o as (select point, edge, t, round(sqrt(power(ux - t * vx, 2) + power(uy - t * vy, 2)), 9) as d from t), r as (select *, row_number() over (partition by point order by d, edge) as n from o)
     select p.point, edge, round(t, 6) as share, round(d, 6) as distance from p left join (select * from r where n = 1) using (point)""")
 def nearest_edge(spark, d):
     n = campus_nodes(spark, d)
@@ -79,14 +79,8 @@ def moving(spark, d):
     return timetable.people_moving(m, "room", 660)
 
 
-@query("q_o01_stable_order", f"with {SLOTS} select item, row_number() over (partition by room, dow order by st, en, item) as place from slots where room < 10")
+@query("q_o01_stable_order", f"with {SLOTS} select item, row_number() over (partition by room, dow order by st, en, item) as place from slots")
 def stable(spark, d):
-    return slots(spark, d).where("room < 10").select("item", F.row_number().over(Window.partitionBy("room", "dow").orderBy("st", "en", "item")).alias("place"))
-
-
-@query("q_o01_stable_order_whole", f"with {SLOTS} select item, row_number() over (partition by room, dow order by st, en, item) as place from slots")
-def stable_whole(spark, d):
-    """All rooms."""
     return slots(spark, d).select("item", F.row_number().over(Window.partitionBy("room", "dow").orderBy("st", "en", "item")).alias("place"))
 
 
@@ -99,10 +93,7 @@ def union(spark, d):
 @query("q_s03_seed_and_rebuild", "select n_nationkey, n_name, 2 as version from nation")
 def seeded(spark, d):
     """A table that is seeded once, and built anew under a new version."""
-    from ..operators.graph import written
-
-    written(spark.range(1), "seed")
-    base = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/nation-{uuid.uuid4().hex}"
+    base = f"{graph.shared_dir(spark)}/nation-{uuid.uuid4().hex}"
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     tables.rebuild(spark, n.where("n_nationkey < 3"), base, 1)
     tables.rebuild(spark, n, base, 2)

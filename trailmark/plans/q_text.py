@@ -103,10 +103,10 @@ def streamed(spark, d):
     """The step detector over a file stream, run to its end; the batch query q_st1_steps gives the same rows."""
     import uuid
 
-    from ..operators.graph import written
+    from ..operators.graph import shared_dir, written
 
     rows = written(readings(spark, d).select("user_id", (F.col("t") * 1000).alias("t"), "value").repartitionByRange(3, "t"), "stream-in")
-    base, name = spark.conf.get("spark.checkpoint.dir").rstrip("/"), uuid.uuid4().hex
+    base, name = shared_dir(spark), uuid.uuid4().hex
     found = run_stream(spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0]), "user_id", step_detector())
     tables.append_to(f"{base}/stream-out-{name}", f"{base}/stream-state-{name}", found).awaitTermination()
     out = spark.read.schema(found.schema).parquet(f"{base}/stream-out-{name}")

@@ -18,28 +18,40 @@ class Machine:
     columns: tuple[str, ...] = field(default=("t",))
 
 
-def step_detector(fast: float = 0.25, slow: float = 0.02, threshold: float = 0.6, reset: float = 0.0, gap: int = 250_000_000, window: int = 200_000_000, drop: float = 0.8) -> Machine:
-    """Steps in a magnitude signal (t in ns, value): where the smoothed signal rises over its slow average, once per swing; told at its peak."""
+def step_detector(fast: float = 0.25, slow: float = 0.02, threshold: float = 0.6, reset: float = 0.0, gap: int = 250_000_000, echo: int = 350_000_000, window: int = 200_000_000, drop: float = 0.8, upright: bool = False) -> Machine:
+    """Steps in a magnitude signal (t in ns, value; with upright a column of that name: whether the device hangs upright, as in a pocket).
+
+    swing is how far a quick average of the signal stands above a slow one. A swing begins where it passes the threshold and ends below
+    reset; it is a step unless it begins too soon after the last step: within gap, or within echo while upright, where one
+    foot fall shows twice. The step is told once its peak is known: when the swing has fallen off it, or after the window.
+    """
 
     def start() -> dict[str, Any]:
-        return {"fast": 9.81, "slow": 9.81, "armed": True, "at": -(2**62), "peak": None}
+        return {"quick": None, "base": None, "swinging": False, "last": None, "peak": None}
+
+    def told(s: dict[str, Any]) -> tuple:
+        out = (s["last"], s["peak"])
+        s["peak"] = None
+        return out
 
     def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
-        s["fast"] += fast * (r.value - s["fast"])
-        s["slow"] += slow * (r.value - s["slow"])
-        signal = s["fast"] - s["slow"]
+        if s["quick"] is None:
+            s["quick"] = s["base"] = 9.81
+        s["quick"], s["base"] = (1 - fast) * s["quick"] + fast * r.value, (1 - slow) * s["base"] + slow * r.value
+        swing, since = s["quick"] - s["base"], math.inf if s["last"] is None else r.t - s["last"]
         if s["peak"] is not None:
-            s["peak"] = max(s["peak"], signal)
-            if signal < drop * s["peak"] or r.t - s["at"] >= window:
-                yield s["at"], s["peak"]
-                s["peak"] = None
-        if s["armed"]:
-            if signal > threshold and r.t - s["at"] >= gap:
-                s.update(armed=False, at=int(r.t), peak=signal)
-        elif signal < reset:
-            s["armed"] = True
-
-    return Machine(start, step, "t long, peak double", ("t", "value"))
+            s["peak"] = max(s["peak"], swing)
+            if since >= window or swing < drop * s["peak"]:
+                yield told(s)
+        begins = not s["swinging"] and swing > threshold
+        if begins and since >= (echo if upright and r.upright else gap):
+            if s["peak"] is not None:
+                yield told(s)
+            s["swinging"], s["last"], s["peak"] = True, int(r.t), swing
+        elif s["swinging"] and swing < reset:
+            s["swinging"] = False
+
+    return Machine(start, step, "t long, peak double", ("t", "value", "upright") if upright else ("t", "value"))
 
 
 def position_filter(per_step: float = 0.5, sigmas: float = 3.0, outliers: int = 5) -> Machine:
