@@ -30,14 +30,17 @@ from .common import give_back, running_start, save, small_batches
 
 #: A chunk ends where the rolling hash of its last 16 ids has this many leading zeros, but is neither shorter nor longer than this.
 LEADING, SHORTEST, LONGEST = 9, 128, 4096
-#: Words whose ids a worker remembers; beyond, it starts anew. A bound on memory, not on the work.
-REMEMBERED = 1_200_000
+#: Words whose ids a task remembers; beyond, it starts anew. A bound on memory, not on the work.
+REMEMBERED = 800_000
+#: Words of 32 characters at most that come again which a worker process keeps for its next task: some 60 MB.
+KEPT = 250_000
 #: Ids of a manifest block.
 BLOCK = 1 << 20
 #: Documents of a range of ids, about: starts are summed by range first. The ranges are Spark's own, from a sample of the ids.
 PER_RANGE = 1_000_000
 # a space after white space and not before a word: the pre-tokeniser doesn't cut there
 _UNCUT = re.compile(r"\s (?!\S)")
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 def default_tokenizer() -> str:
@@ -58,12 +61,17 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
-        self.whole = re.compile("|".join([_UNCUT.pattern, *map(re.escape, sorted(added, key=len, reverse=True))]))
+        self.added = added
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 65536 else "<u4")
         size = self.model.get_vocab_size()
         self.spaced = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # ids that begin with a space
         self.known: dict[str, bytes] = {}  # of a piece after a space
         self.heads: dict[str, bytes] = {}  # of a text's first piece
+        self.again: set[str] = set()  # pieces that have come again
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text goes to the library as it is. What most texts lack is looked for first."""
+        return any(a in text for a in self.added) or any(c in text and c + " " in text for c in _WHITE) and bool(_UNCUT.search(text))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,9 +95,12 @@ class Encoder:
         if len(known) + len(heads) > REMEMBERED:
             known.clear()
             heads.clear()
-        parts = [[t] if self.whole.search(t) else t.split(" ") for t in texts]
+            self.again.clear()
+        parts = [[t] if self._whole(t) else t.split(" ") for t in texts]
         first = [p.pop(0) for p in parts]
-        new = set().union(*parts).difference(known)
+        words = set().union(*parts)
+        new = words.difference(known)
+        self.again.update(words.difference(new))
         plain = [w for w in new if w and not w[0].isspace()]
         known.update(zip(plain, self._after_space(plain), strict=True))
         other = [w for w in new if not w or w[0].isspace()]
@@ -101,8 +112,9 @@ class Encoder:
         return out
 
     def forget(self) -> None:
-        """What a task has met goes with it: the worker process serves other tasks afterwards."""
-        self.known, self.heads = {}, {}
+        """What a task has met goes with it, but for KEPT words that came again: the worker process serves other tasks afterwards."""
+        some = [w for w in self.again if len(w) <= 32][:KEPT]
+        self.known, self.heads, self.again = {w: self.known[w] for w in some}, {}, set()
         give_back()
 
 
