@@ -92,3 +92,78 @@ def test_pipeline(spark):
     assert first[2] - first[1] == {101, 102}
     assert 100 not in names[1][1]  # all its lines were a copy
     assert names[-1][1] == names[-2][1]
+
+
+def near_copies(n, size, seed):
+    """n different texts that are one text with random words changed: links of all strengths around the threshold."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(500)}" for _ in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [64, 6])
+def test_one_large_group_of_near_copies(spark, monkeypatch, crowd):
+    monkeypatch.setattr(op, "CROWD", crowd)
+    rows = near_copies(500, 120, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in op.ngram_components(docs).collect())
+    assert got == brute(rows)
+    assert 1 < len({r[2] for r in got}) < 400  # a large component and texts of their own
+
+
+def test_prefix_rule_loses_no_link():
+    """Of linked sets, at least the smaller l shared shingles lie within the prefixes that the pair asks for."""
+    import numpy as np
+
+    rng, shingler = random.Random(5), op.Shingler()
+    extra = np.zeros(op.COUNTERS, np.float32)
+    sets = list(shingler.sets([t for _, t in near_copies(60, 90, 7)]))
+    for s in sets[:30]:
+        extra[op._slot(s)] += 3 * (np.random.default_rng(len(s)).random(len(s)) < 0.5)
+    pre = [op.prefix(s, extra, op.SHARE) for s in sets]
+    linked = 0
+    for a, b in combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 4 * both < 3 * (len(sets[a]) + len(sets[b]) - both):
+            continue
+        linked += 1
+        (la, pa), (lb, pb) = pre[a], pre[b]
+        for least in {min(la, lb), 1, rng.randint(1, min(la, lb))}:
+            _, ia, ib = np.intersect1d(pa, pb, return_indices=True)
+            one = np.int64(least)
+            n = op.within(np.int64(len(sets[a])), one, ia, np.int64(len(sets[b])), one, ib, op.SHARE).sum()
+            assert n >= least
+    assert linked > 50
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, _gone long, score double, _spans string"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    """Each stage on an empty table, and on null ids, repeated ids, clashing names, very long and empty texts."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+    run = "same words in a row that repeat " * 12
+    rows = [(1, "the and that with this " * 6, "en", "a", 1), (1, "the and that with this " * 6, "en", "a", 1), (None, "the and that with which", "en", None, None), (None, None, None, None, None), (2, "", None, "b", 0), (3, "the of and " * 60_000, "en", "b", 5), (4, f"one\n{run}\n", "en", "a", 9), (5, f"two words here\n{run}", "en", "c", 9)]
+    docs = spark.createDataFrame([(*r, "r", 7, 0.5, "s") for r in rows], SCHEMA)
+    out = stage(spark, docs, "")
+    got = out.collect()
+    if name == "sample_pieces":
+        assert {r.doc_id for r in got} == {r[0] for r in rows} and len(got) == sum(2 if r[1] else 1 for r in rows)
+        return
+    assert out.columns == docs.columns
+    assert all((r._row, r._gone, r.score, r._spans) == ("r", 7, 0.5, "s") for r in got)
+    text = {r.doc_id: r.text for r in got}
+    if name == "language_id":
+        assert len(got) == 6 and 2 not in text  # without letters
+    elif name == "line_dedup":
+        assert text[5] == "two words here" and text[3] == rows[5][1] and text[4] == rows[6][1]
+    elif name == "ngram_join":
+        assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 1, 2, 3, 4, 5]
