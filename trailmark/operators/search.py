@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_key
+from .graph import written
+
+#: Queries of a block, about.
+BLOCK = 5_000
 
 
 def search(names: DataFrame, queries: DataFrame) -> DataFrame:
@@ -13,15 +17,19 @@ def search(names: DataFrame, queries: DataFrame) -> DataFrame:
 
     names(name_id, name, aliases, context) and queries(query_id, query). Rank 0: the key of the name or of an alias is the query's;
     1: it starts with it; 2: it holds all its words; 3: what it doesn't hold starts a word of the context. An empty query
-    takes all names, at rank 0. The set of queries is small and broadcast; names are read once and never shuffled before ranking.
+    takes all names, at rank 0. Names meet the queries in blocks of BLOCK, each broadcast, and are never shuffled before ranking.
     """
+    blocks = max(1, -(-queries.count() // BLOCK))
     words = F.filter(F.transform(F.split("query", " "), search_key), lambda w: w != "")
     asked = queries.select("query_id", words.alias("_words")).withColumn("_whole", F.array_join("_words", ""))
     keys = F.concat(F.array(search_key(F.col("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), search_key))
     context = F.coalesce("context", F.array().cast("array<string>"))
     parts = F.concat(F.flatten(F.transform(context, lambda t: F.transform(F.split(t, "[ -]"), search_key))), F.transform(context, search_key))
     held = names.select("name_id", keys.alias("_keys"), F.filter(parts, lambda w: w != "").alias("_context"))
-    pairs = held.join(F.broadcast(asked))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    pairs = held.join(F.broadcast(asked.where("_block = 0")))
+    for i in range(1, blocks):
+        pairs = pairs.unionByName(held.join(F.broadcast(asked.where(f"_block = {i}"))))
     rank = (
         F.when(F.exists("_keys", lambda k: k == F.col("_whole")), 0)
         .when(F.exists("_keys", lambda k: F.startswith(k, F.col("_whole"))), 1)
@@ -55,3 +63,13 @@ def quick_list(favourites: Column, recents: Column, available: Column) -> tuple[
     """Favourites, and recents that aren't among them, of what is still there."""
     kept = F.filter(favourites, lambda x: F.array_contains(available, x))
     return kept, F.filter(recents, lambda x: F.array_contains(available, x) & ~F.array_contains(kept, x))
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 1, in a total order: ranges of the order are numbered by themselves and their sizes added up, so no task gets the whole table."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    base = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_at", inside).join(F.broadcast(base), "_part").withColumn("place", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, motion
 from ..operators.matching import Floor, match
+from ..operators.search import numbered
 from .registry import query
 from .views import CAMPUS_NODES, READINGS, SLOTS, campus_nodes, readings, slots, table
 
@@ -84,7 +85,7 @@ def on_day(spark, d):
 @query("q_o03_nulls_last", "with p as (select p_partkey, case when p_size % 7 <> 0 then p_size end as s from part) select p_partkey, s, row_number() over (order by s nulls last, p_partkey) as place from p")
 def nulls_last(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("s"))
-    return p.withColumn("place", F.row_number().over(Window.orderBy(F.col("s").asc_nulls_last(), "p_partkey")))
+    return numbered(p, F.col("s").asc_nulls_last(), F.col("p_partkey").asc())
 
 
 @query("q_o05_top_five", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 5")
