@@ -28,7 +28,8 @@ def _joints(nodes: DataFrame, edges: DataFrame, keep: Column) -> DataFrame:
 
 
 def _spliced(nodes: DataFrame, edges: DataFrame, keep: Column, gone: Column) -> tuple[DataFrame, DataFrame]:
-    """Takes out joints that gone accepts, round by round until none is left; in a round no two neighbours go, and of neighbours the lesser id does.
+    """Takes out joints that gone accepts, round by round until none is left; in a round no two neighbours go, and of neighbours the one of lesser hash does, so
+    that a chain of any length takes few rounds.
 
     A joint whose neighbours are linked already stays: its ways are a triangle.
     """
@@ -40,7 +41,7 @@ def _spliced(nodes: DataFrame, edges: DataFrame, keep: Column, gone: Column) ->
         if j.isEmpty():
             return nodes, edges
         near = j.select("id", F.explode(F.array("a", "b")).alias("_by")).join(j.select(F.col("id").alias("_by")), "_by", "left_semi")
-        beaten = near.where(F.col("_by") < F.col("id")).select("id").distinct()
+        beaten = near.where(F.struct(F.xxhash64("_by"), "_by") < F.struct(F.xxhash64("id"), "id")).select("id").distinct()
         # two joints with the same neighbours would give the same edge: the lesser goes first
         first = j.join(beaten, "id", "left_anti").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("id").alias("id"))
         first = written(first, "map-gone")
