@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import entering, graph, routing
+from ..operators import directions, entering, graph, routing
 from .registry import query
 from .views import CAMPUS_EDGES, CAMPUS_NODES, READINGS, campus_edges, campus_nodes, readings, table
 
@@ -167,3 +167,18 @@ def inferred(spark, d):
     k = F.col("c_custkey")
     p = table(spark, d, "customer").select(k.alias("point"), (k % 5).cast("int").alias("building"), (k % 3).cast("int").alias("floor"), ((k * 31) % 1000 / 10.0).alias("x"), ((k * 17) % 600 / 10.0).alias("y"))
     return entering.inferred_on_stairs(p, campus_nodes(spark, d).where("kind = 'STAIRS'"), ["building", "floor"]).select("point", "stair", F.round("metres", 6).alias("metres"))
+
+
+@query("q_g17_directions")
+def told(spark, d):
+    """Each order's lines as a route through buildings, passages and the open; a test has routes with known steps."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("s"))
+    s, w = F.col("s"), Window.partitionBy("route").orderBy("pos")
+    p = t.select("route", "pos", (s % 40).cast("double").alias("x"), (s % 23).cast("double").alias("y"), (s % 3).cast("int").alias("floor"), F.when(s % 7 == 0, "ROOM").when(s % 7 == 1, "DOOR").otherwise("HALL").alias("node"), F.when(s % 5 == 0, "OUT").when(s % 11 == 0, "PASSAGE").otherwise(F.concat(F.lit("B"), (s % 2).cast("string"))).alias("place"), (s % 13 == 0).alias("steps"))
+    nf = F.lead("floor").over(w)
+    return directions.directions(p.withColumn("kind", F.when(nf.isNull() | (nf == F.col("floor")), "WALK").when(s % 4 == 0, "LIFT").otherwise("STAIRS")))
+
+
+@query("q_g18_next_by_directions")
+def next_told(spark, d):
+    return directions.next_manoeuvre(told(spark, d))
