@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: Character n-grams of these lengths, in so many hashed buckets.
 GRAMS, BUCKETS = (1, 2, 3), 1 << 16
@@ -185,7 +185,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     table = sample.mapInArrow(counted, "lang string, place long, at array<int>, n array<long>").toArrow()
     place = {k: i for i, k in enumerate(languages)}
     rows_ = [(np.asarray(a.values), np.asarray(n.values), place[k]) for k, a, n in zip(table["lang"].to_pylist(), table["at"].combine_chunks() if table.num_rows else [], table["n"].combine_chunks() if table.num_rows else [], strict=True)]
-    return fit(rows_, languages, idf)
+    model = fit(rows_, languages, idf)
+    del table, rows_
+    give_back()  # the driver's Python stands beside its heap
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:

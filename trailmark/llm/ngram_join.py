@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, save, small_batches, with_hit
+from .common import bitmap_of, give_back, save, small_batches, with_hit
 
 #: Words of a shingle, and the share of the union that the intersection must have, as a fraction.
 SHINGLE, SHARE = 5, (3, 4)
@@ -220,16 +221,20 @@ def _sketch(counts: DataFrame) -> np.ndarray:
     for r in counts.select("n", "data").repartition("n").mapInArrow(run, "n long, data binary").collect():
         full[r["n"] * _BLOCK : (r["n"] + 1) * _BLOCK] = np.frombuffer(unzip.decompress(r["data"]), np.int64)
     # taking chance for frequency now and then does no harm: any order finds all links
-    usual = float(np.median(full))
-    return np.where(full > usual + 3 * math.sqrt(usual) + 1, full - usual, 0.0).astype(np.float32)
+    usual = np.float32(np.median(full))
+    often = full > usual + np.float32(3 * math.sqrt(usual) + 1)
+    full -= usual
+    full *= often
+    del often
+    give_back()  # the driver's Python stands beside its heap
+    return full
 
 
-def _postings(docs: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
+def _postings(docs: DataFrame, sent: Broadcast, salt: int, share: tuple[int, int]) -> DataFrame:
     """shingle, node, size (n << 32 | l) and place (its place << 8 | spread) of each prefix shingle; a task sends equal sets once.
 
     spread is 0, but for shingles that the sketch shows to be in very many documents: those needn't meet at first and are dealt out by it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = Shingler(salt), set()
@@ -443,7 +448,10 @@ def _by_pivots(rows: DataFrame, number: int, sets: DataFrame, share: tuple[int,
 
 
 def _node_components(docs: DataFrame, prints: DataFrame, extra: np.ndarray, salt: int, share: tuple[int, int]) -> DataFrame:
-    met = save(_meet(_postings(docs, extra, salt, share), share), "join-met", by=["kind"])
+    sent = docs.sparkSession.sparkContext.broadcast(extra)
+    del extra
+    met = save(_meet(_postings(docs, sent, salt, share), share), "join-met", by=["kind"])
+    sent.destroy()  # the table is written, nothing asks for it again
     # what few nodes share counts against the pair's l; a pair that has l or more there is a candidate
     light = save(met.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("l").alias("l")), "join-light")
     crowd = save(met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "at").distinct(), "join-crowd")
