@@ -162,16 +162,15 @@ def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, uncomm
 
     best = relax(first, step, keys, "price", most, "routes")
     ends = best.where("node = target").groupBy("request").agg(F.min(F.struct("price", "hops", "last", "came", "seconds", "node", "p_node", "p_last", "p_came")).alias("_e"))
-    back = ends.select("request", "_e.seconds", "_e.price", F.array("_e.node").alias("path"), *[F.col(f"_e.p_{c}").alias(c) for c in ("node", "last", "came")])
-    back, found = written(back, "ways"), None
-    while True:  # a round goes one place back on all routes
-        there = back.where("node is null").select("request", "seconds", "price", "path")
-        found = there if found is None else written(found.unionByName(there), "ways")
-        left = back.where("node is not null")
-        if left.isEmpty():
-            return found
-        at = best.select("request", "node", "last", "came", *[f"p_{c}" for c in ("node", "last", "came")])
-        back = written(left.join(at, keys).select("request", "seconds", "price", F.array_prepend("path", F.col("node")).alias("path"), *[F.col(f"p_{c}").alias(c) for c in ("node", "last", "came")]), "ways")
+    ends = written(ends.select("request", "_e.*"), "ways")
+    back = ends.select("request", "seconds", "price", F.array("node").alias("path"), *[F.col(f"p_{c}").alias(c) for c in ("node", "last", "came")])
+    at = best.select("request", "node", "last", "came", *[f"p_{c}" for c in ("node", "last", "came")])
+    for hop in range(ends.agg(F.max("hops")).first()[0] or 0):  # each join goes one place back on all routes that aren't at their start
+        path = F.when(F.col("node").isNull(), F.col("path")).otherwise(F.array_prepend("path", F.col("node")))
+        back = back.join(at, keys, "left").select("request", "seconds", "price", path.alias("path"), *[F.col(f"p_{c}").alias(c) for c in ("node", "last", "came")])
+        if hop % 6 == 5:
+            back = written(back, "ways")
+    return back.select("request", "seconds", "price", "path")
 
 
 def verticals(path: DataFrame, key: str = "request") -> DataFrame:
