@@ -43,6 +43,16 @@ def save(df: DataFrame, label: str, *, by: list[str] | None = None, compression:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that save() wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Python workers get at most so many rows at once, as texts may be long. Never raised again: a plan reads it when it runs, after others were made."""
     held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))

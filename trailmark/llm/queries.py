@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .importance import resample
 from .language_id import held_out, identify, train
 from .mixing import mix_plan
 from .ngram_join import ngram_components
 from .piece_sampling import sample_encode
 from .progressive_jpeg import from_media, store_media
+from .quality import judge, train as train_quality
+from .ranked_search import rank_documents
 from .token_count import token_counts
 from .token_store import read_documents, write_store
 from .url_filter import judge_urls
@@ -67,7 +70,21 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {"op4_ngram_join": op4_ngram_join, "op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    net = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return judge(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+
+
+QUERIES = {"op12_quality_classifier": op12_quality_classifier, "op13_importance_resampling": op13_importance_resampling, "op11_ranked_search": op11_ranked_search, "op4_ngram_join": op4_ngram_join, "op5_progressive_jpeg": op5_progressive_jpeg, "op7_token_store": op7_token_store, "op6_language_id": op6_language_id, "op8_url_filter": op8_url_filter, "op1_sample_pieces": op1_sample_pieces, "op10_token_counts": op10_token_counts, "op2_exact_dedup": op2_exact_dedup, "op3_source_mix": op3_source_mix, "op9_line_dedup": op9_line_dedup}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -130,4 +147,56 @@ ORACLES = {
         lost as (select doc_id, count(*) as k from gone group by doc_id)
         select d.doc_id, cast(coalesce(r.k, 1) as int) as n_lines_left, cast(coalesce(l.k, 0) as int) as n_removed, sha256(coalesce(r.t, '')) as left_sha256
         from documents d left join remain r using (doc_id) left join lost l using (doc_id)""",
+    "op11_ranked_search": r"""
+        with found as (
+            select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from documents),
+        tf as (select doc_id, term, count(*) as tf from found group by doc_id, term),
+        size as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+        total as (select count(*) as docs, sum(n)::bigint as terms from size),
+        m as (select doc_id, 100 - 75 + (75 * n * docs) // terms as m from size, total),
+        w as (select term, floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1)))::bigint as w from (select term, count(*) as df from tf group by term), total),
+        asked as (
+            select item_id, term, count(*) as times
+            from (
+                select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+                from benchmark)
+            group by item_id, term),
+        scored as (
+            select a.item_id, tf.doc_id, sum(a.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m)))::bigint as score
+            from asked a join tf using (term) join w using (term) join m on m.doc_id = tf.doc_id
+            group by a.item_id, tf.doc_id)
+        select item_id, rank, doc_id, score
+        from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+        where rank <= 10""",
+    "op13_importance_resampling": r"""
+        with split as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+        own as (select doc_id, word, count(*) as c from (select doc_id, unnest(words) as word from split) group by all),
+        asked as (
+            select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+        crc as (
+            select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        spelt as (select word, hex(encode(word)) as x from (select word from own union select word from asked)),
+        bytes as (select word, list_transform(range(length(x) // 2), lambda i: cast('0x' || substr(x, cast(2 * i + 1 as bigint), 2) as bigint)) as b from spelt),
+        hashed as (
+            select word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[cast((xor(c, x) & 255) + 1 as bigint)])), 4294967295) % 10000 as bucket
+            from bytes, crc),
+        s as (select bucket, sum(c) as s from own join hashed using (word) group by bucket),
+        t as (select bucket, count(*) as t from asked join hashed using (word) group by bucket),
+        gains as (
+            select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select sum(s) from s) + 10000)::double / ((coalesce(s, 0) + 1)::double * (coalesce((select sum(t) from t), 0) + 10000)::double)))::bigint as gain
+            from s full join t using (bucket)),
+        weights as (
+            select doc_id, sum(c)::bigint as n, floor(sum(c * gain)::double / sum(c))::bigint as weight
+            from own join hashed using (word) join gains using (bucket) group by doc_id),
+        scored as (
+            select d.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296)))::bigint as score
+            from split d left join weights using (doc_id)),
+        ranked as (
+            select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_features >= 20) as n
+            from scored)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank
+        from ranked""",
 }
