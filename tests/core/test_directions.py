@@ -36,8 +36,33 @@ def test_twelve_kinds(spark):
     assert directions(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_points(x, y, off):
+    """One line, a stretch at a time."""
+    keep = {0, len(x) - 1}
+    todo = [(0, len(x) - 1)]
+    while todo:
+        a, b = todo.pop()
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        far = []
+        for i in range(a + 1, b):
+            t = min(1, max(0, ((x[i] - x[a]) * dx + (y[i] - y[a]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+            far.append((np.hypot(x[i] - x[a] - t * dx, y[i] - y[a] - t * dy), -i))
+        if far and max(far)[0] > off:
+            i = -max(far)[1]
+            keep.add(i)
+            todo += [(a, i), (i, b)]
+    return [i in keep for i in range(len(x))]
+
+
 def test_straight_points():
     x, y = np.array([0.0, 1, 2, 3, 4, 5]), np.array([0.0, 0.5, -0.5, 0.4, 3, 0])
-    assert straight_points(x, y, 1.0).tolist() == [True, False, True, False, True, True]
-    assert straight_points(x, y, 9.0).tolist() == [True, False, False, False, False, True]
-    assert straight_points(np.zeros(3), np.zeros(3), 0.1).tolist() == [True, False, True]
+    one = lambda x, y, off: straight_points(x, y, np.arange(len(x)) % max(1, len(x) - 1) == 0, np.full(len(x), off)).tolist()
+    assert one(x, y, 1.0) == [True, False, True, False, True, True]
+    assert one(x, y, 9.0) == [True, False, False, False, False, True]
+    assert one(np.zeros(3), np.zeros(3), 0.1) == [True, False, True]
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 40, 200)
+    lines = [(rng.integers(0, 30, n).astype(float), rng.integers(0, 30, n).astype(float)) for n in sizes]
+    halt = np.concatenate([(np.arange(n) == 0) | (np.arange(n) == n - 1) for n in sizes])
+    got = straight_points(np.concatenate([a for a, _ in lines]), np.concatenate([b for _, b in lines]), halt, np.full(len(halt), 3.0))
+    assert got.tolist() == [k for a, b in lines for k in plain_points(a, b, 3.0)]

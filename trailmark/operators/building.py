@@ -63,15 +63,15 @@ def locating_network(nodes: DataFrame, edges: DataFrame, keep: Column, area: flo
 def snapped(points: DataFrame, nodes: DataFrame, edges: DataFrame, cell: float = 20.0, at_end: float = AT_END) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Places put onto the network: (point, node) pairs, nodes and edges.
 
-    A point of points(point, x, y) goes to the nearest place on an edge: to an end that is within at_end metres of it along the edge, else to a
+    A point of points(point, x, y) goes to the nearest place on an edge: to an end, a before b, that is less than at_end metres from it along the edge, to a nanometre, else to a
     new node "snap-" and its name, which splits the edge. All points of an edge split it together.
     """
     at = lambda c: nodes.select(F.col("id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
     seg = written(edges.select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b").withColumn("edge", F.concat_ws("|", "a", "b")), "map-segments")
     near = nearest_on_edges(points, seg, [], cell).where("edge is not null").join(seg.select("edge", "a", "b", "ax", "ay", "bx", "by"), "edge")
     size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    from_a, from_b = F.col("share") * size, (1 - F.col("share")) * size
-    end = F.when((from_a <= at_end) & (from_a <= from_b), F.col("a")).when(from_b <= at_end, F.col("b"))
+    from_a, from_b = F.round(F.col("share") * size, 9), F.round((1 - F.col("share")) * size, 9)
+    end = F.when(from_a < at_end, F.col("a")).when(from_b < at_end, F.col("b"))
     near = near.withColumn("node", F.coalesce(end, F.concat(F.lit("snap-"), F.col("point").cast("string")))).withColumn("_new", end.isNull())
     near = written(near.select("point", "node", "_new", "edge", "share", (F.col("ax") + F.col("share") * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + F.col("share") * (F.col("by") - F.col("ay"))).alias("y")), "map-snapped")
     new = near.where("_new")

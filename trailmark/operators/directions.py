@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 # Fixed values, indoors and outdoors: metres a point may lie off the straight line, degrees that count as a turn, and metres within which turns are one.
 OFF_LINE, TURN, MERGE = (1.0, 3.0), (35.0, 45.0), (4.0, 12.0)
 # Degrees that turn back, metres before stairs and lifts within which turns are left out, metres of a landing between flights, degrees that are ahead of a door.
@@ -14,26 +19,65 @@ BACK, APPROACH, LANDING, AHEAD = 150.0, 4.0, 15.0, 30.0
 OUTSIDE, PASSAGE = "OUT", "PASSAGE"
 
 
-def straight_points(x: np.ndarray, y: np.ndarray, off: float) -> np.ndarray:
-    """Which points of a line stay so that none lies more than off beside it: the farthest one splits a stretch, again and again."""
-    keep = np.zeros(len(x), bool)
-    keep[[0, -1]] = True
-    todo = [(0, len(x) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        dx, dy, px, py = x[b] - x[a], y[b] - y[a], x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
+def straight_points(x: np.ndarray, y: np.ndarray, halt: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which points of many lines stay so that none lies more than off beside its line: the farthest point splits a stretch, again and again.
+
+    halt marks points that stay anyway, the first and last of each line among them; off is by point. All stretches of all lines are
+    split together, so the rounds are as many as a line is deep, whatever the number of lines.
+    """
+    keep, at = halt.copy(), np.arange(len(x))
+    while len(x):
+        ends = np.flatnonzero(keep)
+        a = ends[np.cumsum(keep) - 1]
+        b = ends[np.minimum(np.searchsorted(ends, at), len(ends) - 1)]
+        dx, dy, px, py = x[b] - x[a], y[b] - y[a], x - x[a], y - y[a]
         square = dx * dx + dy * dy
-        t = np.clip((px * dx + py * dy) / square, 0, 1) if square else np.zeros(b - a - 1)
-        far = np.hypot(px - t * dx, py - t * dy)
-        worst = int(far.argmax())
-        if far[worst] > off:
-            keep[a + 1 + worst] = True
-            todo += [(a, a + 1 + worst), (a + 1 + worst, b)]
+        t = np.clip(np.divide(px * dx + py * dy, square, out=np.zeros(len(x)), where=square > 0), 0, 1)
+        far = np.where(keep, -1.0, np.hypot(px - t * dx, py - t * dy))
+        worst = np.maximum.reduceat(far, ends)[np.cumsum(keep) - 1]
+        split = np.flatnonzero((far == worst) & (far > off) & ~keep)
+        if not len(split):
+            return keep
+        keep[split[np.diff(a[split], prepend=-1) != 0]] = True  # of equally far points of a stretch, the first
     return keep
 
 
+def _kept(key: str):
+    """Rows (key, pos) in order, many routes a batch, to those that stay; a route that a batch cuts off waits for the rest."""
+
+    def simplify(rows: pa.Table) -> pa.Table:
+        number = np.asarray(rows[key].combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        new = np.diff(number, prepend=-1) != 0
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        outdoor = np.asarray(pa.compute.fill_null(pa.compute.equal(rows["place"], OUTSIDE), False).to_numpy(), bool)
+        walk = np.asarray(pa.compute.fill_null(pa.compute.equal(rows["kind"], "WALK"), False).to_numpy(), bool)
+        before = lambda v: np.concatenate([v[:1], v[:-1]])
+        halt = new | np.concatenate([new[1:], [True]]) | ~walk | ~before(walk) | (outdoor != before(outdoor))
+        start = np.flatnonzero(halt)[np.cumsum(halt) - 1]  # a stretch has the bound of its first point
+        stay = straight_points(x.astype(float), y.astype(float), halt, np.array(OFF_LINE)[outdoor[start].astype(int)])
+        return rows.filter(pa.array(stay)).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(key)
+            other = np.flatnonzero(~np.asarray(pa.compute.fill_null(pa.compute.equal(ids, ids[-1]), False).to_numpy(zero_copy_only=False), bool)) if ids[-1].is_valid else np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut == 0 and held and held[-1].column(key)[-1] != ids[0]:
+                yield from simplify(pa.Table.from_batches(held)).to_batches()
+                held = []
+            if cut:
+                yield from simplify(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from simplify(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def directions(path: DataFrame, key: str = "route") -> DataFrame:
     """key, seq, action, floor, side and metres of walking to the next step.
 
@@ -45,7 +89,6 @@ def directions(path: DataFrame, key: str = "route") -> DataFrame:
     are taken from the simplified line, indoors and outdoors by other bounds; near ones are one, so a pair that cancels out
     vanishes, and those just before stairs or on their landings are left out. side, at the end: left, right or ahead, where the door of a room is.
     """
-    kinds = dict(path.dtypes)
     order = Window.partitionBy(key).orderBy("pos")
     nxt = lambda c: F.lead(c).over(order)
     after = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
@@ -55,6 +98,7 @@ def directions(path: DataFrame, key: str = "route") -> DataFrame:
     legs = legs.withColumn("_upto", F.sum("_walk").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_walk"))
     # what is entered past a passage
     legs = legs.withColumn("_beyond", F.first(F.when(F.col("place") != PASSAGE, F.col("place")), ignorenulls=True).over(after))
+    legs = written(legs, "route-legs")
     moves = legs.where(f"kind = 'WALK' and not _last and place <> '{PASSAGE}' and _next <> place and _beyond is not null and _beyond <> place")
     moves = moves.select(key, "pos", "_upto", F.when(F.col("_beyond") == OUTSIDE, "exit").when(F.col("place") == OUTSIDE, "enter").otherwise("passage").alias("action"), F.lit(None).cast("int").alias("floor"))
     flight = legs.where("kind = 'WALK' and steps and not _last and (_next = place)").select(key, "pos", "_upto", F.lit("flight").alias("action"), F.lit(None).cast("int").alias("floor"))
@@ -69,18 +113,8 @@ def directions(path: DataFrame, key: str = "route") -> DataFrame:
     flights = stairs.select(key, "pos", "_upto", F.when(F.col("_r") > 0, "up").otherwise("down").alias("action"), "floor")
     events = moves.unionByName(flight).unionByName(lifts).unionByName(flights)
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        x, y, outdoor = g["x"].to_numpy(float), g["y"].to_numpy(float), (g["place"] == OUTSIDE).to_numpy()
-        halts = [0, *[i for i in range(1, len(g)) if g["kind"].iloc[i] != "WALK" or g["kind"].iloc[i - 1] != "WALK" or outdoor[i] != outdoor[i - 1]], len(g) - 1]
-        stay = np.zeros(len(g), bool)
-        for a, b in zip(halts, halts[1:], strict=False):
-            if b > a:
-                stay[a : b + 1] |= straight_points(x[a : b + 1], y[a : b + 1], OFF_LINE[int(outdoor[a])])
-        stay[[0, -1]] = True
-        return pd.DataFrame({key: g[key], "pos": g["pos"], "_stay": stay})
-
-    line = legs.join(path.groupBy(key).applyInPandas(keep, f"{key} {kinds[key]}, pos {kinds['pos']}, _stay boolean").where("_stay").select(key, "pos"), [key, "pos"])
+    events = written(events, "route-events")
+    line = legs.repartition(key).sortWithinPartitions(key, "pos").mapInArrow(_kept(key), legs.schema)
     heading = F.degrees(F.atan2(nxt("y") - F.col("y"), nxt("x") - F.col("x")))
     line = line.withColumn("_h", heading).withColumn("_bend", F.when((F.col("kind") == "WALK") & (before("kind") == "WALK") & ~F.col("_last"), (F.col("_h") - before("_h") + 540) % 360 - 180).otherwise(0.0))
     outdoor = (F.col("place") == OUTSIDE).cast("int")

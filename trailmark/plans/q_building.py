@@ -76,7 +76,7 @@ def simplified(spark, d):
 
 
 @query("q_g16_snapped", """with p as (select c_custkey as point, (c_custkey * 31) % 1000 / 10.0 as x, (c_custkey * 17) % 90 / 10.0 as y from customer)
-    select point, case when x <= 1 then 'a' when x >= 99 then 'b' else 'snap-' || point end as node from p""")
+    select point, case when round(x, 9) < 1 then 'a' when round(100 - x, 9) < 1 then 'b' else 'snap-' || point end as node from p""")
 def snap(spark, d):
     """Customers put onto one long corridor."""
     k = F.col("c_custkey")

@@ -169,16 +169,45 @@ def inferred(spark, d):
     return entering.inferred_on_stairs(p, campus_nodes(spark, d).where("kind = 'STAIRS'"), ["building", "floor"]).select("point", "stair", F.round("metres", 6).alias("metres"))
 
 
+ROUTES = """t as (select l_orderkey as route, l_linenumber as pos, min(l_suppkey) as s from lineitem group by 1, 2),
+    p as (select route, pos, s, cast(s % 40 as double) as x, cast(s % 23 as double) as y, cast(s % 3 as int) as floor, case when s % 7 = 0 then 'ROOM' when s % 7 = 1 then 'DOOR' else 'HALL' end as node,
+        case when s % 5 = 0 then 'OUT' when s % 11 = 0 then 'PASSAGE' else 'B' || (s % 2) end as place, s % 13 = 0 as steps from t),
+    n as (select *, lead(floor) over w as nf, lead(place) over w as np, lead(pos) over w is null as last,
+        lead(x) over w as nx, lead(y) over w as ny from p window w as (partition by route order by pos)),
+    k as (select *, case when nf is null or nf = floor then 'WALK' when s % 4 = 0 then 'LIFT' else 'STAIRS' end as kind,
+        first_value(case when place <> 'PASSAGE' then place end ignore nulls) over (partition by route order by pos rows between 1 following and unbounded following) as beyond from n),
+    l as (select *, coalesce(sum(case when kind = 'WALK' and not last then sqrt(power(nx - x, 2) + power(ny - y, 2)) else 0 end) over (partition by route order by pos rows between unbounded preceding and 1 preceding), 0) as upto,
+        sum(case when kind = 'LIFT' or steps or np <> place then 1 else 0 end) over (partition by route order by pos) as halt from k),
+    f as (select *, sign(nf - floor) as way, lag(sign(nf - floor)) over w as pway, lag(upto) over w as pupto, lag(halt) over w as phalt from l where kind = 'STAIRS' and not last window w as (partition by route order by pos)),
+    fg as (select *, sum(case when way = pway and upto - pupto <= 15 and halt = phalt then 0 else 1 end) over (partition by route order by pos) as g from f),
+    d as (select route, pos, node, last, floor, lag(node) over w as n1, lag(node, 2) over w as n2, lag(x) over w as x1, lag(x, 2) over w as x2, lag(x, 3) over w as x3, lag(y) over w as y1, lag(y, 2) over w as y2, lag(y, 3) over w as y3 from p join n using (route, pos, node, floor, x, y, s, place, steps) window w as (partition by route order by pos)),
+    o as (select *, (degrees(atan2(y1 - y2, x1 - x2)) - degrees(atan2(y2 - y3, x2 - x3)) + 540) % 360 - 180 as off from d where last),
+    told as (
+        select route, case when beyond = 'OUT' then 'exit' when place = 'OUT' then 'enter' else 'passage' end as action, null::int as floor, null as side from l where kind = 'WALK' and not last and place <> 'PASSAGE' and np <> place and beyond <> place
+        union all select route, 'flight', null, null from l where kind = 'WALK' and steps and not last and np = place
+        union all select route, 'lift', nf, null from l where kind = 'LIFT' and not last
+        union all select route, case when sum(nf - floor) > 0 then 'up' else 'down' end, arg_max(nf, pos), null from fg group by route, g
+        union all select route, case when arg_min(node, pos) = 'ROOM' then 'leave room' else 'start' end, arg_min(floor, pos), null from n group by route having count(*) > 1
+        union all select route, 'arrive', floor, case when node = 'ROOM' and n1 = 'DOOR' and n2 is not null and x3 is not null then case when abs(off) < 30 then 'ahead' when off > 0 then 'right' else 'left' end end from o)"""
+
+
 @query("q_g17_directions")
 def told(spark, d):
     """Each order's lines as a route through buildings, passages and the open; a test has routes with known steps."""
     t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("pos")).agg(F.min("l_suppkey").alias("s"))
     s, w = F.col("s"), Window.partitionBy("route").orderBy("pos")
-    p = t.select("route", "pos", (s % 40).cast("double").alias("x"), (s % 23).cast("double").alias("y"), (s % 3).cast("int").alias("floor"), F.when(s % 7 == 0, "ROOM").when(s % 7 == 1, "DOOR").otherwise("HALL").alias("node"), F.when(s % 5 == 0, "OUT").when(s % 11 == 0, "PASSAGE").otherwise(F.concat(F.lit("B"), (s % 2).cast("string"))).alias("place"), (s % 13 == 0).alias("steps"))
+    p = t.select("route", "pos", "s", (s % 40).cast("double").alias("x"), (s % 23).cast("double").alias("y"), (s % 3).cast("int").alias("floor"), F.when(s % 7 == 0, "ROOM").when(s % 7 == 1, "DOOR").otherwise("HALL").alias("node"), F.when(s % 5 == 0, "OUT").when(s % 11 == 0, "PASSAGE").otherwise(F.concat(F.lit("B"), (s % 2).cast("string"))).alias("place"), (s % 13 == 0).alias("steps"))
     nf = F.lead("floor").over(w)
-    return directions.directions(p.withColumn("kind", F.when(nf.isNull() | (nf == F.col("floor")), "WALK").when(s % 4 == 0, "LIFT").otherwise("STAIRS")))
+    return directions.directions(p.withColumn("kind", F.when(nf.isNull() | (nf == F.col("floor")), "WALK").when(s % 4 == 0, "LIFT").otherwise("STAIRS")).drop("s"))
 
 
 @query("q_g18_next_by_directions")
 def next_told(spark, d):
     return directions.next_manoeuvre(told(spark, d))
+
+
+@query("q_g17_told", f"with {ROUTES} select route, action, floor, side, count(*) as n from told group by all")
+def told_often(spark, d):
+    """How often a route tells each step, turns apart: their line is simplified, which SQL can't say."""
+    steps = told(spark, d).where("action not in ('left', 'right', 'back')")
+    return steps.groupBy("route", "action", "floor", "side").agg(F.count("*").alias("n"))
