@@ -66,3 +66,16 @@ def test_straight_points():
     halt = np.concatenate([(np.arange(n) == 0) | (np.arange(n) == n - 1) for n in sizes])
     got = straight_points(np.concatenate([a for a, _ in lines]), np.concatenate([b for _, b in lines]), halt, np.full(len(halt), 3.0))
     assert got.tolist() == [k for a, b in lines for k in plain_points(a, b, 3.0)]
+
+
+def test_routes_cut_by_batches(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if n == 0 else n, i, float(rng.integers(0, 40)), float(rng.integers(0, 40)), 0, "WALK", "HALL", "OUT" if n % 3 else "A", False) for n in range(60) for i in range(int(rng.integers(1, 12)))]
+    paths = spark.createDataFrame(rows, SCHEMA)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = []
+    for size in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got.append(sorted(map(tuple, directions(paths).collect()), key=repr))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got[0] == got[1]

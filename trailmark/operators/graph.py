@@ -29,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder's name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a new Parquet table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
