@@ -174,3 +174,98 @@ def step_gate(needed: int = 4, pause: int = 1_500_000_000) -> Machine:
             s.update(held=[], open=True)
 
     return Machine(lambda: {"last": None, "held": [], "open": False}, step, "t long, late boolean", ("t",))
+
+
+def _off(a: float, b: float) -> float:
+    return (a - b + 540.0) % 360.0 - 180.0
+
+
+def walking_direction(turn: float = 30.0, match: float = 20.0, steady: float = 20.0, gain: float = 0.3, big: float = 45.0, longest: int = 6, pause: int = 2_500_000_000, rhythm: int = 400_000_000) -> Machine:
+    """Which way each step goes: seq, revision and heading; a later revision of a step takes the place of an earlier one, six steps back at most.
+
+    A step has t in ns, seq, phone (the device's heading), phase (the walking direction that acceleration over the last two steps shows, null
+    where it is weak), stairs (true near stairs, where phase doesn't hold), pose (a number for as long as the device is held alike, null
+    while it is moved) and level (true for a new pose held out in front after a pocket).
+
+    The heading is the phone's plus what it is held off by, which phase corrects: a little at once, or wholly when two phases in a row say
+    so; then the steps walked that way already are told again. While the device is moved the heading stays what it was, and a new pose is
+    taken to go on so. A quick turn of the phone counts as the walker's until the phone is steady for three steps: if phase then
+    shows the old way, only the phone was turned, and the steps of the turn are told again.
+    """
+
+    def start() -> dict[str, Any]:
+        # recent: the last steps as [seq, revision, t, phone, phase it was told with, in a turn, after a pause]
+        return {"off": 0.0, "pose": None, "held": None, "moving": False, "recent": [], "calm": None, "way": 0.0, "trusted": False, "phase": None, "turn": None}
+
+    def told(s: dict[str, Any], heading: float, redo: int) -> Iterator[tuple]:
+        heading %= 360.0
+        for step in s["recent"][len(s["recent"]) - 1 - redo : len(s["recent"]) - 1]:
+            step[1] += 1
+            yield step[0], step[1], heading
+        yield s["recent"][-1][0], 0, heading
+
+    def is_steady(s: dict[str, Any]) -> bool:
+        last = s["recent"][-3:]
+        return len(last) == 3 and all(abs(_off(x[3], last[0][3])) <= steady for x in last)
+
+    def walked_so(s: dict[str, Any], way: float) -> int:
+        n = 0
+        for x in reversed(s["recent"][:-1]):
+            if n == longest or x[5] or (x[4] is not None and abs(_off(x[4], way)) > match):
+                break
+            n += 1
+            if x[6]:
+                break
+        return n
+
+    def forget(s: dict[str, Any]) -> None:
+        s.update(recent=[], calm=None, trusted=False, phase=None, turn=None)
+
+    def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
+        phase = None if r.phase is None or math.isnan(r.phase) or r.stairs else float(r.phase)
+        pose = None if r.pose is None or math.isnan(r.pose) else int(r.pose)
+        if pose is None:  # moved: as before
+            if not s["moving"]:
+                s.update(moving=True, held=s["way"] if s["calm"] is not None else float(r.phone) + s["off"])
+                forget(s)
+            yield int(r.seq), 0, s["held"] % 360.0
+            return
+        if s["moving"] or (s["pose"] is not None and pose != s["pose"]):
+            held = s["held"] if s["moving"] else s["way"]
+            s.update(off=0.0 if r.level else _off(held, r.phone), moving=False)
+            forget(s)
+        s["pose"] = pose
+        after = not s["recent"] or r.t - s["recent"][-1][2] > pause
+        s["recent"] = [*s["recent"][-longest:], [int(r.seq), 0, int(r.t), float(r.phone), None, False, after]]
+        here, phone = s["recent"][-1], float(r.phone)
+        if s["turn"] is None and s["calm"] is not None and abs(_off(phone, s["calm"])) > turn:
+            s.update(turn={"phone": s["calm"], "way": s["way"], "trusted": s["trusted"], "n": 0, "most": 0.0}, phase=None)
+        t, redo = s["turn"], 0
+        if t is not None:
+            here[5] = True
+            t["n"] += 1
+            t["most"] = max(t["most"], abs(_off(phone, t["phone"])))
+            settled = is_steady(s)
+            if not settled and t["n"] < longest:
+                yield from told(s, phone + s["off"], 0)
+                return
+            way = phase if settled and t["most"] >= turn else None
+            s.update(turn=None, phase=way)
+            if way is not None and t["trusted"] and abs(_off(way, t["way"])) <= match:
+                s["off"], redo = _off(t["way"], phone), t["n"] - 1  # the phone alone
+            elif way is not None and abs(_off(way, phone + s["off"])) > big and all(b[2] - a[2] >= rhythm for a, b in zip(s["recent"][-3:], s["recent"][-2:], strict=False)):
+                s["off"] = _off(way, phone)
+        elif r.stairs:
+            s["phase"] = None
+        elif phase is not None and is_steady(s):
+            before, s["phase"], here[4] = s["phase"], phase, phase
+            off = _off(phase, phone + s["off"])
+            s["trusted"] = abs(off) <= match
+            if abs(off) <= big:
+                s["off"] = _off(s["off"] + gain * off, 0.0)
+            elif before is not None and abs(_off(phase, before)) <= match:
+                s["off"], redo = _off(phase, phone), walked_so(s, phase)
+        s.update(calm=phone, way=phone + s["off"])
+        yield from told(s, s["way"], min(redo, len(s["recent"]) - 1))
+
+    return Machine(start, step, "seq long, revision int, heading double", ("t", "seq", "phone", "phase", "stairs", "pose", "level"))
