@@ -132,3 +132,93 @@ def inferred_on_stairs(flights: DataFrame, stairs: DataFrame, keys: list[str], w
     """flights(point, x, y, keys): places where a flight, turn and flight, or a loop, began in a corridor, with the stair (id) within five metres that it must have been on."""
     near = graph.nearest(flights, stairs, keys, within, most=within)
     return near.where("node is not null").select(*flights.columns, F.col("node").alias("stair"), F.col("distance").alias("metres"))
+
+
+# Metres inside the outline, metres from the door within which an entry waits, metres of slack before it, and metres from the door that cancel it.
+INSIDE, WAITS, SLACK, CANCEL = 1.5, 6.0, 1.0, 12.0
+# Metres from a gate and beyond it for the place on the network; metres from an outer door, beyond its wall, degrees off its direction and last steps of which one must lead out.
+AT_GATE, BEYOND, OUTER_NEAR, OUTER_BEYOND, OUTER_ANGLE, OUTER_STEPS = 0.3, 1.0, 5.0, 0.3, 30.0, 3
+
+
+def enters_by_outline(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
+    """key, t, door: steps with which an entry that waited is made: steps(key, t, x, y, dx, dy, depth), depth in metres inside the outline.
+
+    An entry begins 1.5 metres inside, where a door is within six metres, and is made when the way to the door is walked, but for a metre,
+    with a step that doesn't lead out again. More than twelve metres from the door it is cancelled. Doors are looked at apart, each
+    stay near one on its own; of several entries of a step the nearest door counts, then the least.
+    """
+    order = Window.partitionBy(key).orderBy("t")
+    met = _near_doors(steps.withColumn("_n", F.row_number().over(order)), doors, CANCEL)
+    w = Window.partitionBy(key, "door").orderBy("_n")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_stay", F.sum(F.when(F.col("_n") - F.lag("_n").over(w) == 1, 0).otherwise(1)).over(upto))
+    stay = Window.partitionBy(key, "door", "_stay").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    begins = (F.col("depth") >= INSIDE) & (F.col("metres") <= WAITS)
+    met = met.withColumn("_from", F.first(F.when(begins, F.struct("_n", "metres")), ignorenulls=True).over(stay)).where("_from is not null")
+    met = met.withColumn("_walked", F.sum(F.when(F.col("_n") > F.col("_from._n"), F.hypot("dx", "dy")).otherwise(0.0)).over(stay))
+    outwards = (F.col("_n") > F.col("_from._n")) & (F.col("dx") * F.col("inx") + F.col("dy") * F.col("iny") < 0)
+    made = met.where((F.col("_walked") >= F.col("_from.metres") - SLACK) & ~outwards)
+    first = made.groupBy(key, "door", "_stay").agg(F.min(F.struct("t", "metres")).alias("_m"))
+    best = first.groupBy(key, F.col("_m.t").alias("t")).agg(F.min(F.struct(F.col("_m.metres").alias("m"), "door")).alias("_b"))
+    return best.select(key, "t", F.col("_b.door").alias("door"))
+
+
+def leaves_by_gate(steps: DataFrame, gates: DataFrame, key: str) -> DataFrame:
+    """key, t, gate and beyond (metres past it): steps with which a walker has left: steps(key, t, x, y, on_x, on_y, heading).
+
+    x, y is where steps lead, on_x, on_y the place on the network, heading in degrees on the plan. gates(gate, x, y, inner_x, inner_y, outer): the
+    place before it on the network, and whether it is a building's own door. One leaves by a gate when the place on the network stands at it
+    and the steps are a metre past it, along the last way or along the plan's axis; and by an outer door near both when they are
+    past its wall and one of the last three steps leads out. The farthest beyond counts, then the least gate.
+    """
+    order = Window.partitionBy(key).orderBy("t")
+    rows = steps.withColumn("_h", F.collect_list("heading").over(order.rowsBetween(1 - OUTER_STEPS, 0))).withColumnsRenamed({"x": "_fx", "y": "_fy", "on_x": "x", "on_y": "y"})
+    ways = gates.select(F.col("gate").alias("door"), "x", "y", F.col("inner_x").alias("inx"), F.col("inner_y").alias("iny"))
+    met = _near_doors(rows, ways, OUTER_NEAR).join(gates.select(F.col("gate").alias("door"), "outer"), "door")
+    dx, dy = F.col("_x") - F.col("inx"), F.col("_y") - F.col("iny")
+    past = lambda a, b: ((F.col("_fx") - F.col("_x")) * a + (F.col("_fy") - F.col("_y")) * b) / F.hypot(a, b)
+    flat = F.abs(dx) >= F.abs(dy)
+    ax, ay = F.when(flat, dx).otherwise(0.0), F.when(flat, 0.0).otherwise(dy)
+    met = met.withColumns({"_along": past(dx, dy), "_square": past(ax, ay), "_out": F.degrees(F.atan2(ax, ay))})
+    leads = F.exists("_h", lambda h: F.abs(wrapped(h - F.col("_out"))) <= OUTER_ANGLE)
+    by_gate = (F.col("metres") <= AT_GATE) & (F.greatest("_along", "_square") >= BEYOND)
+    by_door = F.col("outer") & (F.hypot(F.col("_fx") - F.col("_x"), F.col("_fy") - F.col("_y")) <= OUTER_NEAR) & (F.col("_square") >= OUTER_BEYOND) & leads
+    left = met.where((dx != 0) | (dy != 0)).where(by_gate | by_door).withColumn("beyond", F.when(by_gate, F.greatest("_along", "_square")).otherwise(F.greatest(F.col("_square"), F.lit(BEYOND))))
+    best = left.groupBy(key, "t").agg(F.min(F.struct((-F.round("beyond", 9)).alias("b"), "door")).alias("_b"))
+    return best.select(key, "t", F.col("_b.door").alias("gate"), (-F.col("_b.b")).alias("beyond"))
+
+
+def dispatch(steps: DataFrame, outcomes: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """key, t, by and place of every step: the first of the outcomes(key, t, place), in the order given, that has something to say about it.
+
+    Where none has, by is null and the place stays what it was, null at the beginning; each operator is a table of its own, and
+    they share nothing but the place that comes out.
+    """
+    said = None
+    for i, (name, rows) in enumerate(outcomes):
+        part = rows.select(key, "t", F.struct(F.lit(i).alias("i"), F.lit(name).alias("by"), "place").alias("_o"))
+        said = part if said is None else said.unionByName(part)
+    told = said.groupBy(key, "t").agg(F.min("_o").alias("_o"))
+    w = Window.partitionBy(key).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select(key, "t").join(told, [key, "t"], "left").select(key, "t", F.col("_o.by").alias("by"), F.last("_o.place", ignorenulls=True).over(w).alias("place"))
+
+
+def route_starts(requests: DataFrame, places: DataFrame, fixes: DataFrame, entrance: tuple[float, float], key: str, fresh: tuple[int, int], accuracy: float = 30.0) -> DataFrame:
+    """request, source, x and y: where a route to a destination begins: requests(request, key, t).
+
+    The last of places(key, t, x, y) that is at most fresh[0] old at t ("place"), else the last of fixes(key, t, x, y, accuracy) that is at most
+    fresh[1] old and no less accurate than accuracy ("fix"), else the entrance ("entrance").
+    """
+    point = lambda: F.struct("t", "x", "y")
+    kind = "struct<t:bigint,x:double,y:double>"
+    none = lambda n: F.lit(None).cast(kind).alias(n)
+    asked = requests.select(key, F.col("t").cast("long").alias("t"), F.lit(1).alias("_k"), none("_p"), none("_f"), "request")
+    blank = F.lit(None).cast(dict(requests.dtypes)["request"]).alias("request")
+    both = asked.unionByName(places.select(key, F.col("t").cast("long").alias("t"), F.lit(0).alias("_k"), point().cast(kind).alias("_p"), none("_f"), blank))
+    both = both.unionByName(fixes.where(F.col("accuracy") <= accuracy).select(key, F.col("t").cast("long").alias("t"), F.lit(0).alias("_k"), none("_p"), point().cast(kind).alias("_f"), blank))
+    w = Window.partitionBy(key).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("_p", "_f")}).where("_k = 1")
+    valid = lambda c, age: F.when(F.col("t") - F.col(f"{c}.t") <= age, F.col(c))
+    seen = seen.withColumns({"_p": valid("_p", fresh[0]), "_f": valid("_f", fresh[1])})
+    source = F.when(F.col("_p").isNotNull(), "place").when(F.col("_f").isNotNull(), "fix").otherwise("entrance")
+    return seen.select("request", source.alias("source"), *[F.coalesce(f"_p.{c}", f"_f.{c}", F.lit(v)).alias(c) for c, v in zip(("x", "y"), entrance, strict=True)])
