@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, motion
-from ..operators.matching import Floor, match
+from ..operators.matching import load_floor, match, way_tables
 from ..operators.search import numbered
 from .registry import query
 from .views import CAMPUS_NODES, READINGS, SLOTS, campus_nodes, readings, slots, table
@@ -124,15 +124,36 @@ def gateways(spark, d):
     return two.where("_indoor <> _passage and _beyond <> _indoor").select("indoor", "passage", "beyond")
 
 
+def _floor(spark, d):
+    """Nations as a grid of corridors; every third has a door and a room."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey").cast("long")
+    x, y = (k % 5 * 20).cast("double"), (F.floor(k / 5) * 15).cast("double")
+    place = lambda plus, up, kind: n.select((k + plus).alias("id"), x.alias("x"), (y + up).alias("y"), F.lit(kind).alias("kind"))
+    roomy = k % 3 == 0
+    nodes = place(0, 0.0, "HALL").unionByName(place(100, 2.0, "DOOR").where((F.col("id") - 100) % 3 == 0)).unionByName(place(200, 6.0, "ROOM").where((F.col("id") - 200) % 3 == 0))
+    along = n.where(k % 5 < 4).select((k + 1000).alias("way"), k.alias("a"), (k + 1).alias("b")).unionByName(n.where(k < 20).select((k + 2000).alias("way"), k.alias("a"), (k + 5).alias("b")))
+    rooms = n.where(roomy).select((k + 3000).alias("way"), k.alias("a"), (k + 100).alias("b")).unionByName(n.where(roomy).select((k + 4000).alias("way"), (k + 100).alias("a"), (k + 200).alias("b")))
+    return nodes, along.unionByName(rooms)
+
+
+@query("q_mm6_way_table", """with n as (select n_nationkey::bigint as k from nation)
+    select k + 1000 as way, null::bigint as branch, null::bigint as junction, false as room from n where k % 5 < 4
+    union all select k + 2000, null, null, false from n where k < 20
+    union all select k + 3000, k + 200, k, true from n where k % 3 = 0 union all select k + 4000, k + 200, k, true from n where k % 3 = 0""")
+def way_table(spark, d):
+    """Which ways are rooms', and on which branch."""
+    return way_tables(*_floor(spark, d))[0].select("way", "branch", "junction", "room")
+
+
 @query("q_mm2_map_matching")
 def matching(spark, d):
-    """A walk per user on a floor of crossing corridors."""
-    floor = Floor({"A": (0.0, 0.0), "B": (40.0, 0.0), "C": (80.0, 0.0), "D": (40.0, 30.0), "E": (80.0, 30.0)}, [("A", "B"), ("B", "C"), ("B", "D"), ("D", "E"), ("C", "E")])
+    """A walk per user on the corridors and rooms of the nations' floor; a test has a plain matcher that gives the same."""
     r = readings(spark, d)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("t"))
     turn = F.radians(F.col("value") * 3)
-    steps = r.withColumn("_n", n).select("user_id", "t", F.when(F.col("_n") == 1, 5.0).otherwise(0.7 * F.sin(turn)).alias("x"), F.when(F.col("_n") == 1, 0.5).otherwise(-0.7 * F.cos(turn)).alias("y"))
-    return match(steps, "user_id", floor)
+    first = F.col("_n") == 1
+    steps = r.withColumn("_n", n).select("user_id", "t", F.when(first, F.col("user_id") % 80).otherwise(0.7 * F.sin(turn)).alias("x"), F.when(first, F.col("user_id") % 45).otherwise(-0.7 * F.cos(turn)).alias("y"))
+    return match(steps, "user_id", load_floor(*_floor(spark, d)))
 
 
 @query("q_a06_ring_minutes", f"select distinct cast(greatest(1, ceil(l_quantity * {math.pi} * 10 / 60)) as int) as minutes from lineitem")
