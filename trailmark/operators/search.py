@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_key
 from .graph import written
 
-#: Queries of a block, about.
-BLOCK = 5_000
+#: Empty queries of a block, about; characters of the runs that names are listed under.
+BLOCK, GRAM = 5_000, 3
+
+
+def _each(words: str, n: int, of: Callable[[Column, int], Column]) -> Column:
+    """What of gives for each word of a column and n, in one array."""
+    return F.flatten(F.transform(words, lambda w: of(w, n)))
 
 
 def search(names: DataFrame, queries: DataFrame) -> DataFrame:
@@ -17,26 +24,38 @@ def search(names: DataFrame, queries: DataFrame) -> DataFrame:
 
     names(name_id, name, aliases, context) and queries(query_id, query). Rank 0: the key of the name or of an alias is the query's;
     1: it starts with it; 2: it holds all its words; 3: what it doesn't hold starts a word of the context. An empty query
-    takes all names, at rank 0. Names meet the queries in blocks of BLOCK, each broadcast, and are never shuffled before ranking.
+    takes all names, at rank 0.
+
+    A name is listed under all runs of up to GRAM characters of its keys, and under the beginnings of its context's words; whatever the
+    rank, it is there under the beginning of each word of the query. A query looks under the one of its words that lists fewest names.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
     words = F.filter(F.transform(F.split("query", " "), search_key), lambda w: w != "")
     asked = queries.select("query_id", words.alias("_words")).withColumn("_whole", F.array_join("_words", ""))
     keys = F.concat(F.array(search_key(F.col("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), search_key))
     context = F.coalesce("context", F.array().cast("array<string>"))
     parts = F.concat(F.flatten(F.transform(context, lambda t: F.transform(F.split(t, "[ -]"), search_key))), F.transform(context, search_key))
     held = names.select("name_id", keys.alias("_keys"), F.filter(parts, lambda w: w != "").alias("_context"))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    pairs = held.join(F.broadcast(asked.where("_block = 0")))
-    for i in range(1, blocks):
-        pairs = pairs.unionByName(held.join(F.broadcast(asked.where(f"_block = {i}"))))
+    runs = lambda k, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(k) - n + 1)), lambda i: F.substring(k, i, F.lit(n)))
+    listed = F.array_distinct(F.filter(F.concat(*[_each("_keys", n, runs) for n in range(1, GRAM + 1)], *[_each("_context", n, lambda c, n: F.array(F.substring(c, 1, n))) for n in range(1, GRAM + 1)]), lambda g: g != ""))
+    lists = written(held.select("name_id", F.explode(listed).alias("gram")), "search-lists")
+    grams = asked.select("query_id", F.explode(F.transform("_words", lambda w: F.substring(w, 1, GRAM))).alias("gram")).distinct()
+    sizes = lists.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    # a beginning that lists nothing has no answer
+    fewest = grams.join(sizes, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_g")).select("query_id", F.col("_g.gram").alias("gram"))
+    pairs = lists.join(fewest, "gram").drop("gram").join(held, "name_id").join(asked, "query_id")
     rank = (
         F.when(F.exists("_keys", lambda k: k == F.col("_whole")), 0)
         .when(F.exists("_keys", lambda k: F.startswith(k, F.col("_whole"))), 1)
         .when(F.exists("_keys", lambda k: F.forall("_words", lambda w: F.contains(k, w))), 2)
         .when((F.size("_context") > 0) & F.forall("_words", lambda w: F.exists("_keys", lambda k: F.contains(k, w)) | F.exists("_context", lambda c: F.startswith(c, w))), 3)
     )
-    found = pairs.select("query_id", "name_id", F.when(F.size("_words") == 0, 0).otherwise(rank).alias("rank")).where("rank is not null")
+    found = pairs.select("query_id", "name_id", rank.alias("rank")).where("rank is not null")
+    # an empty query's answer is the names themselves; the queries are dealt in blocks of a bounded size
+    empty = asked.where(F.size("_words") == 0).select("query_id")
+    blocks = -(-empty.count() // BLOCK)
+    for i in range(blocks):
+        block = empty.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found = found.unionByName(names.select("name_id").join(F.broadcast(block)).select("query_id", "name_id", F.lit(0).alias("rank")))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "name_id")))
 
 
