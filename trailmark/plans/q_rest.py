@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import graph, timetable
+from ..operators import graph, lifts, timetable
 from ..sources import readers, tables
-from ..streaming.machines import lift_rides, step_gate, tilt_filter
+from ..streaming.machines import step_gate, tilt_filter
 from ..streaming.run import run_batch
 from .registry import query
 from .views import CAMPUS_NODES, READINGS, SLOTS, campus_nodes, readings, slots, table
@@ -109,10 +109,38 @@ def recorded(spark, d):
     return readers.recording(lines).select("line", "tag", "t_ns", "x", "text")
 
 
-@query("q_st8_lift_rides")
+@query("q_st8_lift_rides", """with n as (select user_id, row_number() over (partition by user_id order by event_id) as n, value, event_id from events),
+    e as (select user_id, n // 500 as session, n * 500000000 as t, case n % 12 when 0 then 0.7 when 1 then 0.6 when 2 then 0.5 when 6 then -0.6 when 7 then -0.6 when 8 then -0.5 else 0 end + value % 1 / 8 as mean,
+        event_id % 10 / 12.0 + case when n % 12 in (0, 1, 2) then 0 else 0.1 end as std, case when event_id % 5 = 0 then 1 else 0 end as steps from n),
+    h as (select *, list(mean) over (partition by user_id, session order by t rows between 40 preceding and 1 preceding) as held from e),
+    a as (select *, mean - list_sort(held)[len(held) // 2 + 1] as a from h),
+    s as (select *, case when len(held) < 10 or held is null then 0 when a > 0.15 then 1 when a < -0.15 then -1 else 0 end as s, len(held) >= 10 as based, (std < 0.8 and steps = 0) or (std < 0.55 and steps > 0) as quiet from a),
+    g as (select *, lag(std) over w as before, not quiet and s <> 0 and coalesce(lag(s) over w = s and lag(quiet) over w and lead(s) over w = s and lead(quiet) over w, false) as bridge, lag(s) over w as ps from s window w as (partition by user_id, session order by t)),
+    i as (select *, s <> 0 and (quiet or bridge) as ins from g),
+    j as (select *, case when coalesce(ps <> s or not lag(ins) over (partition by user_id, session order by t), true) then 1 else 0 end as new from i),
+    k as (select *, sum(new) over (partition by user_id, session order by t) as run from j where based),
+    b as (select *, sum(case when bridge then 1 else 0 end) over (partition by user_id, session, run order by t) as nb from k where ins),
+    p as (select user_id, session, min(t) as start, max(t) + 500000000 as stop, any_value(s) as sign, round(sum(a * 0.5), 9) as dv, count(*) as n, round(avg(case when quiet then std end), 9) as m, sum(case when quiet then std end) as total, count(case when quiet then 1 end) as calm, arg_min(std, case when quiet then t end) as first_std, arg_min(before, t) as before
+        from b where not bridge or nb = 1 group by user_id, session, run, greatest(0, nb - 1)),
+    q as (select *, m >= 0.45 as loose from p where n >= 2 and abs(dv) >= 0.4),
+    r as (select * from q where not loose or (calm >= 3 and first_std >= 0.45 and round((total - first_std) / (calm - 1), 9) < 0.45)),
+    x as (select *, lead(start) over w as qs, lead(stop) over w as qe, lead(sign) over w as qsign, lead(dv) over w as qdv, lead(loose) over w as qloose from r window w as (partition by user_id, session order by start)),
+    y as (select x.user_id, x.session, x.start, sum(case when e.steps > 0 and not (e.std < 0.55) then e.steps else 0 end) as walk, sum(e.steps) as steps, coalesce(max(case when e.steps > 0 then e.t end) - min(case when e.steps > 0 then e.t end), 0) as span
+        from x left join e on e.user_id = x.user_id and e.session = x.session and e.t >= x.stop and e.t < x.qs group by 1, 2, 3),
+    z as (select x.*, coalesce(walk, 0) as walk, coalesce(steps, 0) as steps, span, qsign = -sign and qs - stop <= 45000000000 and abs(qdv) / abs(dv) between 0.5 and 2 as fits, least(abs(dv), abs(qdv)) as weak from x join y using (user_id, session, start)),
+    v as (select *, case when fits and not loose and not qloose and (walk <= 2 or (weak >= 1 and steps <= 6 and span <= 3000000000)) then 1
+        when fits and (walk <= 2 or (weak >= 0.6 and steps <= 6 and span <= 3000000000)) and coalesce(before, 0) < 1 then 2 end as how from z),
+    c as (select *, sum(case when prev is null then 1 else 0 end) over (partition by user_id, session order by start) as chain from (select *, lag(how) over (partition by user_id, session order by start) as prev from v)),
+    o as (select *, row_number() over (partition by user_id, session, chain order by start) as nth from c)
+    select user_id, session, start, qe as stop, cast(sign as int) as direction, how = 2 as relaxed from o where how is not null and nth % 2 = 1""")
 def rides(spark, d):
-    r = readings(spark, d).select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("t")).cast("long").alias("n"), (F.col("value") / 100 - 1).alias("value"), F.lit(0).alias("steps"))
-    return run_batch(r.select("user_id", (F.col("n") * 500_000_000).alias("t"), "value", "steps"), "user_id", lift_rides())
+    """Bins of half a second made of a user's events, with pushes up and down in turn."""
+    k = F.col("event_id")
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    at = F.col("n") % 12
+    push = F.when(at == 0, 0.7).when(at == 1, 0.6).when(at == 2, 0.5).when(at.isin(6, 7), -0.6).when(at == 8, -0.5).otherwise(0.0)
+    b = e.select("user_id", F.floor(F.col("n") / 500).alias("session"), (F.col("n") * 500_000_000).alias("t"), (push + F.col("value") % 1 / 8).alias("mean"), (k % 10 / 12 + F.when(at.isin(0, 1, 2), 0.0).otherwise(0.1)).alias("std"), F.when(k % 5 == 0, 1).otherwise(0).alias("steps"))
+    return lifts.lift_rides(b, "user_id")
 
 
 @query("q_st5_step_gate", f"""with {READINGS}, g as (select user_id, t * 1000 as t, case when t - lag(t) over w >= {20_000_000_000} or lag(t) over w is null then 1 else 0 end as fresh from readings window w as (partition by user_id order by t)),

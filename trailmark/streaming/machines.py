@@ -107,34 +107,6 @@ def heading_runs(within: float = 20.0) -> Machine:
     return Machine(start, step, "t long, run long, n long, first double", ("t", "value"))
 
 
-def lift_rides(threshold: float = 0.25, least: float = 0.5, longest: int = 45_000_000_000, ratio: tuple[float, float] = (0.5, 2.0), dt: float = 0.5) -> Machine:
-    """Rides in bins (t, value: acceleration over its baseline, steps): a pulse, calm, and an opposite pulse of like strength."""
-
-    def start() -> dict[str, Any]:
-        return {"sign": 0, "from": 0, "dv": 0.0, "pending": None, "walked": 0}
-
-    def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
-        sign = (r.value > threshold) - (r.value < -threshold)
-        if s["sign"] and sign != s["sign"]:
-            if abs(s["dv"]) >= least:
-                p = s["pending"]
-                if p and p[0] == -s["sign"] and s["from"] - p[2] <= longest and not s["walked"] and ratio[0] <= abs(s["dv"]) / abs(p[3]) <= ratio[1]:
-                    yield p[1], int(r.t), p[0]
-                    s["pending"] = None
-                else:
-                    s["pending"] = [s["sign"], s["from"], int(r.t), s["dv"]]
-                s["walked"] = 0
-            s["sign"], s["dv"] = 0, 0.0
-        if sign:
-            if not s["sign"]:
-                s["sign"], s["from"] = sign, int(r.t)
-            s["dv"] += r.value * dt
-        else:
-            s["walked"] += int(r.steps)
-
-    return Machine(start, step, "start long, stop long, direction int", ("t", "value", "steps"))
-
-
 def tilt_filter(gain: float = 0.02) -> Machine:
     """Roll and pitch in degrees from turn rates (gx, gy in degrees a second) and gravity (ax, ay, az): rates are integrated, gravity pulls slowly."""
 
