@@ -26,18 +26,27 @@ def _one(x: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of a block's words in order, as they pass between stages: the longest column, so it is compressed."""
+    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(held: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(held, decompressed_size=4 * count, codec="zstd", asbytes=True), "<i4")
+
+
 def word_blocks(rows: DataFrame) -> DataFrame:
     """Blocks of rows (target, doc_id, text): their distinct words, and all their words in order as numbers into these; a written table."""
     small_batches(rows.sparkSession)
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"block long, target array<boolean>, docs array<{kind}>, size array<long>, words array<string>, seq array<int>"
+    schema = f"block long, target array<boolean>, docs array<{kind}>, size array<long>, words array<string>, seq binary"
 
     def block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         found = [words_of(t) for t in table["text"].to_pylist()]
         coded = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
         size = pa.array(list(map(len, found)), pa.int64())
-        columns = [pa.array([number], pa.int64()), *[_one(table[c].combine_chunks()) for c in ("target", "doc_id")], _one(size), _one(coded.dictionary.cast(pa.string())), _one(coded.indices.cast(pa.int32()))]
+        columns = [pa.array([number], pa.int64()), *[_one(table[c].combine_chunks()) for c in ("target", "doc_id")], _one(size), _one(coded.dictionary.cast(pa.string())), pa.array([_packed(np.asarray(coded.indices))], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "target", "docs", "size", "words", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +79,14 @@ def _by_block(rows: DataFrame, value: str) -> DataFrame:
 def tuple_blocks(blocks: DataFrame, ids: DataFrame, max_n: int) -> DataFrame:
     """Blocks with each document's n-grams as numbers into the block's distinct tuples of word ids, and how often a tuple occurs; a written table."""
     kind = dict(blocks.dtypes)["docs"]
-    schema = f"block long, docs {kind}, target array<boolean>, size array<long>, n_features array<long>, tuples array<array<long>>, own array<long>, asked array<long>, seq array<int>"
+    schema = f"block long, docs {kind}, target array<boolean>, size array<long>, n_features array<long>, tuples array<array<long>>, own array<long>, asked array<long>, seq binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = lambda c: batch.column(c)[row].values  # noqa: B023, E731
-                size, seq = np.asarray(one("size")), np.asarray(one("seq")).astype(np.int64)
+                size = np.asarray(one("size"))
+                seq = _unpacked(batch.column("seq")[row].as_py(), int(size.sum())).astype(np.int64)
                 word_id = np.asarray(one("ids")) if batch.column("ids")[row].is_valid else np.zeros(0, np.int64)
                 target = np.asarray(one("target").to_numpy(zero_copy_only=False), bool)
                 doc = np.repeat(np.arange(len(size)), size)
@@ -104,8 +114,8 @@ def tuple_blocks(blocks: DataFrame, ids: DataFrame, max_n: int) -> DataFrame:
                 order = np.argsort(owner_, kind="stable")
                 feature_, asking = feature_[order], target[owner_[order]]
                 counts = [np.bincount(feature_[~asking], minlength=base), np.bincount(feature_[asking], minlength=base)]
-                out = [one("docs"), one("target"), one("size"), pa.array(features), pa.array(tuples, pa.list_(pa.int64())), *[pa.array(c.astype(np.int64)) for c in counts], pa.array(feature_.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), *map(_one, out)], ["block", "docs", "target", "size", "n_features", "tuples", "own", "asked", "seq"])
+                out = [one("docs"), one("target"), one("size"), pa.array(features), pa.array(tuples, pa.list_(pa.int64())), *[pa.array(c.astype(np.int64)) for c in counts]]
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), *map(_one, out), pa.array([_packed(feature_)], pa.binary())], ["block", "docs", "target", "size", "n_features", "tuples", "own", "asked", "seq"])
         give_back()
 
     held = blocks.drop("words").join(ids, "block", "left").select("block", "docs", "target", "size", "seq", "ids")
@@ -125,12 +135,14 @@ def weigh(docs: DataFrame, target: DataFrame, *, max_n: int = 1, buckets: int =
     entries = blocks.select("block", F.posexplode("words").alias("n", "word"))
     dictionary = save(entries.select("word").distinct().select("word", F.monotonically_increasing_id().alias("id")), "dictionary")
     held = tuple_blocks(blocks, _by_block(entries.join(dictionary, "word").select("block", "n", "id"), "id"), max_n)
+    forget(blocks)
     entries = held.select("block", F.posexplode(F.arrays_zip("tuples", "own", "asked")).alias("n", "x")).select("block", "n", F.col("x.tuples").alias("tuple"), F.col("x.own").alias("own"), F.col("x.asked").alias("asked"))
     counted = entries.groupBy("tuple").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked"))
     parts = counted.select("*", F.posexplode("tuple").alias("at", "id")).join(dictionary, "id")
     # the bytes of a distinct tuple, once
     spelt = parts.groupBy("tuple").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("feature"), F.first("own").alias("own"), F.first("asked").alias("asked"))
     hashed = save(spelt.select("tuple", F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(buckets)).cast("int").alias("bucket"), "own", "asked"), "tuples")
+    forget(dictionary)
     s, t = np.zeros(buckets), np.zeros(buckets)
     for r in hashed.groupBy("bucket").agg(F.sum("own").alias("s"), F.sum("asked").alias("t")).collect():
         s[r["bucket"]], t[r["bucket"]] = r["s"], r["t"]
@@ -142,7 +154,8 @@ def weigh(docs: DataFrame, target: DataFrame, *, max_n: int = 1, buckets: int =
             for row in range(batch.num_rows):
                 one = lambda c: batch.column(c)[row].values  # noqa: B023, E731
                 keep = pa.compute.invert(one("target"))
-                n, seq = np.asarray(one("n_features")), np.asarray(one("seq"))
+                n = np.asarray(one("n_features"))
+                seq = _unpacked(batch.column("seq")[row].as_py(), int(n.sum()))
                 value = gains[np.asarray(one("buckets"))] if batch.column("buckets")[row].is_valid else np.zeros(0, np.int64)
                 upto = np.concatenate([[0], np.cumsum(value[seq])])
                 end = np.cumsum(n)
@@ -152,7 +165,7 @@ def weigh(docs: DataFrame, target: DataFrame, *, max_n: int = 1, buckets: int =
 
     out = held.select("block", "docs", "target", "size", "n_features", "seq").join(valued, "block", "left").select("docs", "target", "size", "n_features", "seq", "buckets")
     weights = save(out.mapInArrow(weighed, f"doc_id {kind}, n_words long, n_features long, weight long"), "weights")
-    forget(blocks, dictionary, held, hashed)
+    forget(held, hashed)
     return weights
 
 
