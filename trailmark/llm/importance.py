@@ -19,7 +19,7 @@ from .common import forget, give_back, running_start, save, small_batches
 from .words import slices, words_of
 
 #: Bytes of text in a block; a longer text is a block of its own.
-TOGETHER = 8_000_000
+TOGETHER = 16_000_000
 
 
 def _one(x: pa.Array) -> pa.ListArray:
@@ -43,10 +43,16 @@ def word_blocks(rows: DataFrame) -> DataFrame:
 
     def block(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        found = [words_of(t) for t in table["text"].to_pylist()]
-        coded = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
-        size = pa.array(list(map(len, found)), pa.int64())
-        columns = [pa.array([number], pa.int64()), *[_one(table[c].combine_chunks()) for c in ("target", "doc_id")], _one(size), _one(coded.dictionary.cast(pa.string())), pa.array([_packed(np.asarray(coded.indices))], pa.binary())]
+        sizes, coded = [], []
+        for some in held:  # a slice's words at once, the whole block's only as numbers
+            found = [words_of(t) for t in some.column("text").to_pylist()]
+            sizes += map(len, found)
+            coded.append(pa.array([w for f in found for w in f], pa.binary()).dictionary_encode())
+            del found
+        whole = pa.chunked_array(coded).unify_dictionaries()
+        size, words = pa.array(sizes, pa.int64()), whole.chunk(0).dictionary.cast(pa.string())
+        seq = np.concatenate([np.asarray(c.indices) for c in whole.chunks])
+        columns = [pa.array([number], pa.int64()), *[_one(table[c].combine_chunks()) for c in ("target", "doc_id")], _one(size), _one(words), pa.array([_packed(seq)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "target", "docs", "size", "words", "seq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +62,7 @@ def word_blocks(rows: DataFrame) -> DataFrame:
         for batch in batches:
             text = batch.column("text").cast(pa.binary())
             batch = pa.RecordBatch.from_arrays([batch.column("target"), batch.column("doc_id"), text], ["target", "doc_id", "text"])
-            for a, b in slices(text, TOGETHER // 8):
+            for a, b in slices(text, TOGETHER // 16):
                 more = pa.compute.sum(pa.compute.binary_length(text[a:b])).as_py() or 0
                 if held and size + more > TOGETHER:
                     yield block(held, number)
