@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import geo, text
 from trailmark.operators import agenda, graph, motion, search, timetable
 from trailmark.sources import readers, tables
-from trailmark.streaming.machines import step_detector
+from trailmark.streaming.machines import position_filter, step_detector
 from trailmark.streaming.run import run_batch
 
 
@@ -65,6 +65,7 @@ def test_group_notes(spark):
     g = lambda s: one(spark, text.parse_groups(F.lit(s)).alias("g")).g
     assert g("СВИ")["all"] and g("Опредељени").elective and g("1,3").numbers == [1, 3] and not g("1,3").biweekly
     assert (g("1(2)").numbers, g("1(2)").biweekly, g("1(1-16)").numbers, g("1(1-16)").biweekly) == ([1, 2], True, [1], False)
+    assert g("2 парне нед.").biweekly and g("(непарне недеље) 3").biweekly and not g("парне 4").biweekly and not g("нед. парне").biweekly
     assert g("5 св.др.нед.").biweekly and g("ЕП, ММ").areas == ["EP", "MM"]
     notes = F.array(F.lit("Стручна област (ЕП) групе број 11,12,13"), F.lit("Група број 1 је стручна област (УС)"), F.lit("без"))
     assert one(spark, text.area_groups(notes).alias("m")).m == {"EP": [11, 12, 13], "US": [1]}
@@ -174,3 +175,14 @@ def test_negative_cycles_raise(spark):
         graph.shortest_times(arcs, spark.createDataFrame([(0, 0)], "request int, node int"))
     with pytest.raises(ValueError, match="negative"):
         graph.routes(arcs, spark.createDataFrame([(0, 0, 9)], "request int, source int, target int"))
+
+
+def test_position_filter_passes_over_poor_fixes(spark):
+    rows = [(1, "fix", 5.0, 5.0, 80.0), (2, "fix", 10.0, 10.0, 5.0), (3, "step", 1.0, 0.0, None), (4, "fix", 14.0, 10.0, 5.0), (5, "fix", 90.0, 90.0, 31.0), (6, "fix", -4.0, 10.0, 3.0), (7, "step", 0.0, 1.0, None)]
+    rows += [(8 + i, "fix", 60.0, 60.0, 3.0) for i in range(5)]
+    df = spark.createDataFrame([("a", *r) for r in rows], "user string, t long, kind string, x double, y double, accuracy double")
+    got = run_batch(df, "user", position_filter(area=(100.0, 100.0))).orderBy("t").collect()
+    assert [r.said for r in got] == ["start", "step", "fix", "passed over", "passed over", "step", *["outlier"] * 4, "jump"]
+    k = 25.5 / 50.5  # variance of the place over both
+    assert got[2].x == pytest.approx(11 + k * 3) and got[2].var == pytest.approx(25.5 * (1 - k)) and (got[4].x, got[4].y) == (got[2].x, got[2].y)
+    assert (got[5].x, got[5].y) == (pytest.approx(got[2].x), 11.0) and (got[-1].x, got[-1].y, got[-1].var) == (60.0, 60.0, 9.0)

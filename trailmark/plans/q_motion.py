@@ -215,5 +215,5 @@ def runs(spark, d):
 
 @query("q_st16_position_filter")
 def fused(spark, d):
-    r = _ns(spark, d).withColumns({"kind": F.when(F.col("event_type") == "view", "fix").otherwise("step"), "x": F.when(F.col("event_type") == "view", F.col("value") / 20).otherwise(F.sin("value")), "y": F.when(F.col("event_type") == "view", F.col("event_id") % 7).otherwise(F.cos("value")), "accuracy": F.lit(4.0)})
+    r = _ns(spark, d).withColumns({"kind": F.when(F.col("event_type") == "view", "fix").otherwise("step"), "x": F.when(F.col("event_type") == "view", F.col("value") / 20).otherwise(F.sin("value")), "y": F.when(F.col("event_type") == "view", F.col("event_id") % 7).otherwise(F.cos("value")), "accuracy": F.when(F.col("event_id") % 6 == 0, 45.0).otherwise(4.0)})
     return run_batch(r, "user_id", position_filter())

@@ -54,8 +54,11 @@ def step_detector(fast: float = 0.25, slow: float = 0.02, threshold: float = 0.6
     return Machine(start, step, "t long, peak double", ("t", "value", "upright") if upright else ("t", "value"))
 
 
-def position_filter(per_step: float = 0.5, sigmas: float = 3.0, outliers: int = 5) -> Machine:
-    """Steps and fixes (kind, dx or x, dy or y, accuracy) merged with one variance for the place: fixes far off count, and move it when they persist."""
+def position_filter(per_step: float = 0.5, sigmas: float = 3.0, outliers: int = 5, poorest: float = 30.0, area: tuple[float, float] | None = None) -> Machine:
+    """Steps and fixes (kind, dx or x, dy or y, accuracy) merged with one variance for the place: fixes far off count, and move it when they persist.
+
+    A fix less accurate than poorest metres, or outside the map (0 to area's width and height), says nothing, not even that it is far off.
+    """
 
     def start() -> dict[str, Any]:
         return {"x": None, "y": None, "var": 0.0, "far": 0, "steps": 0}
@@ -66,6 +69,10 @@ def position_filter(per_step: float = 0.5, sigmas: float = 3.0, outliers: int =
             if s["x"] is None:
                 return
             s["x"], s["y"], s["var"], s["steps"] = s["x"] + r.x, s["y"] + r.y, s["var"] + per_step, s["steps"] + 1
+        elif r.accuracy > poorest or (area is not None and not (0 <= r.x <= area[0] and 0 <= r.y <= area[1])):
+            if s["x"] is None:
+                return
+            said = "passed over"
         else:
             var = float(r.accuracy) ** 2
             if s["x"] is None:
