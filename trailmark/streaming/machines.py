@@ -136,6 +136,53 @@ def tilt_filter(gain: float = 0.02) -> Machine:
     return Machine(start, step, "t long, roll double, pitch double", ("t", "gx", "gy", "ax", "ay", "az"))
 
 
+def _times(a: tuple, b: tuple) -> tuple:
+    """The turn b, then the turn a, as quaternions."""
+    (aw, ax, ay, az), (bw, bx, by, bz) = a, b
+    return aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw
+
+
+def _turn(angle: float, x: float, y: float, z: float) -> tuple:
+    k = math.sin(angle / 2) / max(math.sqrt(x * x + y * y + z * z), 1e-12)
+    return math.cos(angle / 2), k * x, k * y, k * z
+
+
+def orientation(gain: float = 0.02, off: float = 2.0, longest: float = 0.1) -> Machine:
+    """How the device lies in the world (east, north, up), told after each reading as a quaternion, its azimuth and tilt in degrees.
+
+    A reading has t in ns, kind and x, y, z: a seed (with w, a quaternion from device to world), turn rates in rad/s around the device's axes, or an
+    acceleration in m/s². Rates are integrated, no gap longer than a tenth of a second; an acceleration within 2 m/s² of gravity
+    pulls the tilt a little, around a level axis, so the azimuth stays. What comes before a seed and readings with nulls say nothing.
+    """
+
+    def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
+        v = [None if k is None or k != k else float(k) for k in (r.x, r.y, r.z)]
+        if None in v or (s["q"] is None and r.kind != "seed"):
+            return
+        x, y, z = v
+        if r.kind == "seed":
+            norm = math.sqrt(r.w * r.w + x * x + y * y + z * z) or 1.0
+            s.update(q=[r.w / norm, x / norm, y / norm, z / norm], t=None)
+        elif r.kind == "rate":
+            if s["t"] is not None:
+                angle = math.sqrt(x * x + y * y + z * z) * min(max((r.t - s["t"]) / 1e9, 0.0), longest)
+                s["q"] = _times(tuple(s["q"]), _turn(angle, x, y, z))
+            s["t"] = int(r.t)
+        else:
+            size = math.sqrt(x * x + y * y + z * z)
+            if abs(size - 9.81) <= off:
+                w, a, b, c = s["q"]
+                _, ux, uy, uz = _times(_times((w, a, b, c), (0.0, x, y, z)), (w, -a, -b, -c))
+                level = math.hypot(ux, uy)
+                if level > 1e-9 * size:
+                    s["q"] = _times(_turn(gain * math.atan2(level, uz), uy, -ux, 0.0), (w, a, b, c))
+        norm = math.sqrt(sum(k * k for k in s["q"]))
+        s["q"] = w, a, b, c = [k / norm for k in s["q"]]
+        yield r.t, w, a, b, c, math.degrees(math.atan2(2 * (a * b - w * c), 1 - 2 * (a * a + c * c))), math.degrees(math.acos(max(-1.0, min(1.0, 1 - 2 * (a * a + b * b)))))
+
+    return Machine(lambda: {"q": None, "t": None}, step, "t long, w double, x double, y double, z double, azimuth double, tilt double", ("t", "kind", "w", "x", "y", "z"))
+
+
 def step_gate(needed: int = 4, pause: int = 1_500_000_000) -> Machine:
     """Holds steps (t) back until so many follow each other without a pause, then lets them all go; a shorter burst is handling and is dropped."""
 
