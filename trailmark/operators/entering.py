@@ -222,3 +222,35 @@ def route_starts(requests: DataFrame, places: DataFrame, fixes: DataFrame, entra
     seen = seen.withColumns({"_p": valid("_p", fresh[0]), "_f": valid("_f", fresh[1])})
     source = F.when(F.col("_p").isNotNull(), "place").when(F.col("_f").isNotNull(), "fix").otherwise("entrance")
     return seen.select("request", source.alias("source"), *[F.coalesce(f"_p.{c}", f"_f.{c}", F.lit(v)).alias(c) for c, v in zip(("x", "y"), entrance, strict=True)])
+
+
+# Metres from the walls that are deep inside and steps there in a row, steps of the way looked back on, metres that it passes a door by, and degrees off inwards from there.
+DEEP, DEEP_STEPS, DEEP_TRAIL, DEEP_NEAR, DEEP_ANGLE = 15.0, 3, 40, 12.0, 45.0
+
+
+def enters_deep(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
+    """key, t, building, door, metres and since: the third step in a row that is deep inside a building, for a walker thought to be outside.
+
+    steps(key, t, x, y, building, wall): building null outside of all outlines, wall the metres from its walls. With columns frozen,
+    fix_building and fix_wall a step counts while the direction is frozen only if the fix is deep in that building too. The door is the one, of doors
+    with a building, that the last forty steps since the last such entry passed nearest by, at since, if from there they led inwards; null where there
+    is none, and the walker is on the nearest corridor. Steps after since are to be walked again inside: replay.replayed with since and t.
+    """
+    order = Window.partitionBy(key).orderBy("t")
+    deep = F.col("building").isNotNull() & (F.col("wall") >= DEEP)
+    if "frozen" in steps.columns:
+        deep = deep & (~F.col("frozen") | (F.col("fix_building").eqNullSafe(F.col("building")) & (F.col("fix_wall") >= DEEP)))
+    s = steps.where("t is not null and x is not null and y is not null").select(key, "t", "x", "y", "building", F.coalesce(deep, F.lit(False)).alias("_deep"))
+    new = ~F.col("_deep") | ~F.coalesce(F.lag("_deep").over(order) & F.lag("building").over(order).eqNullSafe(F.col("building")), F.lit(False))
+    s = s.withColumn("_run", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_run").orderBy("t")))
+    entry = F.when(F.col("_deep") & (F.col("_k") == DEEP_STEPS), F.struct("t", "building", F.col("x").alias("px"), F.col("y").alias("py")))
+    s = s.withColumn("_e", F.first(entry, ignorenulls=True).over(order.rowsBetween(0, DEEP_TRAIL - 1))).where("_e is not null")
+    s = graph.written(s.select(key, F.col("t").alias("since"), "x", "y", "_e"), "deep-trails")
+    met = _near_doors(s, doors, DEEP_NEAR).join(doors.select("door", F.col("building").alias("_building")), "door").where(F.col("_building") == F.col("_e.building"))
+    best = met.groupBy(key, "_e", "door", "inx", "iny").agg(F.min(F.struct("metres", "since", "x", "y")).alias("_b"))
+    dx, dy = F.col("_e.px") - F.col("_b.x"), F.col("_e.py") - F.col("_b.y")
+    inwards = (F.hypot(dx, dy) >= 1.0) & (dx * F.col("inx") + dy * F.col("iny") >= F.hypot(dx, dy) * F.cos(F.radians(F.lit(DEEP_ANGLE))))
+    best = best.where(inwards).groupBy(key, F.col("_e.t").alias("t")).agg(F.min(F.struct(F.col("_b.metres").alias("metres"), "door", F.col("_b.since").alias("since"))).alias("_d"))
+    entries = s.where("since = _e.t").select(key, F.col("_e.t").alias("t"), F.col("_e.building").alias("building"))
+    return entries.join(best, [key, "t"], "left").select(key, "t", "building", F.col("_d.door").alias("door"), F.col("_d.metres").alias("metres"), F.col("_d.since").alias("since"))

@@ -211,3 +211,27 @@ def told_often(spark, d):
     """How often a route tells each step, turns apart: their line is simplified, which SQL can't say."""
     steps = told(spark, d).where("action not in ('left', 'right', 'back')")
     return steps.groupBy("route", "action", "floor", "side").agg(F.count("*").alias("n"))
+
+
+@query("q_st22e_enters_deep", """with n as (select user_id, row_number() over (partition by user_id order by event_id) as n, event_id from events),
+    s0 as (select user_id, n as t, user_id % 4 * 10 + event_id % 5 * 0.4 as x, (n % 64 - 20) * 0.7 as y from n), s as (select *, y > 0 and y + x / 10 >= 15 as deep, user_id // 6 as building from s0),
+    doors as (select s_suppkey as door, s_suppkey // 4 as building, s_suppkey % 4 * 10 as gx, 0.5 as gy, case when s_suppkey % 4 = 3 then 1 else 0 end as inx, case when s_suppkey % 4 = 3 then 0 else 1 end as iny from supplier),
+    r as (select *, sum(case when deep and coalesce(before, false) then 0 else 1 end) over (partition by user_id order by t) as run from (select *, lag(deep) over (partition by user_id order by t) as before from s)),
+    k as (select *, row_number() over (partition by user_id, run order by t) as k from r),
+    e as (select user_id, t, building, x as px, y as py, coalesce(lag(t) over (partition by user_id order by t), 0) as last from k where deep and k = 3),
+    m as (select e.user_id, e.t, px, py, door, inx, iny, s.t as since, s.x, s.y, sqrt(power(s.x - gx, 2) + power(s.y - gy, 2)) as metres from e join s on s.user_id = e.user_id and s.t between e.t - 39 and e.t and s.t > e.last join doors d on d.building = e.building),
+    b as (select *, row_number() over (partition by user_id, t, door order by metres, since) as k from m where metres <= 12),
+    d as (select *, row_number() over (partition by user_id, t order by metres, door) as o from b
+        where k = 1 and sqrt(power(px - x, 2) + power(py - y, 2)) >= 1 and (px - x) * inx + (py - y) * iny >= sqrt(power(px - x, 2) + power(py - y, 2)) * cos(radians(45.0::double)))
+    select e.user_id, e.t, e.building, d.door, round(d.metres, 6) as metres, d.since from e left join d on d.user_id = e.user_id and d.t = e.t and d.o = 1""")
+def deep(spark, d):
+    """Each user walks in and begins again after 64 steps, by one of the four doors of a building of suppliers; every fourth door leads sideways."""
+    k, n, u = F.col("event_id"), F.col("n"), F.col("user_id")
+    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    s = e.select("user_id", n.alias("t"), (u % 4 * 10 + k % 5 * 0.4).alias("x"), ((n % 64 - 20) * 0.7).alias("y"), F.floor(u / 6).alias("_b"))
+    s = s.select("user_id", "t", "x", "y", F.when(F.col("y") > 0, F.col("_b")).alias("building"), (F.col("y") + F.col("x") / 10).alias("wall"))
+    k = F.col("s_suppkey")
+    # buildings lie apart, so that a cell of the grid holds the doors of few
+    doors = table(spark, d, "supplier").select(k.alias("door"), F.floor(k / 4).alias("building"), (k % 4 * 10 + F.floor(k / 4) * 1000.0).alias("x"), F.lit(0.5).alias("y"), F.when(k % 4 == 3, 1.0).otherwise(0.0).alias("inx"), F.when(k % 4 == 3, 0.0).otherwise(1.0).alias("iny"))
+    s = s.withColumn("x", F.col("x") + F.floor(u / 6) * 1000.0)
+    return entering.enters_deep(s, doors, "user_id").withColumn("metres", F.round("metres", 6))
