@@ -2,11 +2,13 @@
 
 import random
 import re
+from contextlib import nullcontext
 from itertools import combinations
 
 import pytest
 
 import corpus_pipeline
+from trailmark.llm import common
 from trailmark.llm import ngram_join as op
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,3 +169,25 @@ def test_stage_on_odd_rows(spark, name):
         assert text[5] == "two words here" and text[3] == rows[5][1] and text[4] == rows[6][1]
     elif name == "ngram_join":
         assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 1, 2, 3, 4, 5]
+
+
+def test_components_that_new_links_join(spark):
+    """Links that come later are added to known components: the same as all links at once, and no round where they join nothing."""
+    rng = random.Random(11)
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    old = [(i, i + 1) for i in range(100, 108)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    new = [(5, 104), (300, 301), (301, 7), (200, 201)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(8)]
+    known = op.components(frame(old))
+    got = {r.node: r.component for r in op.components(frame(new), known).collect()}
+    assert got == {r.node: r.component for r in op.components(frame(old + new)).collect()}
+    assert op.components(frame([(100, 108), (103, 105)]), known) is known
+    assert op.components(frame(new), known.where("false")).count() == op.components(frame(new)).count()
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    """The collector runs, and the JVM takes the command rather than refuse it unseen."""
+    monkeypatch.setattr(common.contextlib, "suppress", lambda *kinds: nullcontext())
+    of = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = of()
+    common.driver_gives_back(spark)
+    assert of() > before

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, running_start, save, with_hit
+from .common import bitmap_of, driver_gives_back, running_start, save, with_hit
 from .mixing import words
 
 #: Words that a repeated run of lines must have.
@@ -81,6 +81,7 @@ def repeated_runs(texts: DataFrame, *, min_words: int = MIN_WORDS, whole: bool =
     while 2 * depth <= longest:
         level = save(_double(levels[-1], depth, total), "line-ranks")
         depth *= 2
+        driver_gives_back(texts.sparkSession)
         levels.append(level.select(F.lit(len(levels)).alias("level"), "doc", "line", "rank"))
     ranks = levels[0]
     for level in levels[1:]:
