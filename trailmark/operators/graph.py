@@ -246,35 +246,45 @@ def straight_joints(edges: DataFrame, nodes: DataFrame, most: float = 0.01) -> D
     return three.select("id", "a", "b", area.alias("area")).where(F.col("area") <= most)
 
 
-def _by_cells(points: DataFrame, targets: DataFrame, keys: list[str], cell: float, distance: Column, value: list[str], most: float | None) -> DataFrame:
+def _by_cells(points: DataFrame, targets: DataFrame, keys: list[str], cell: float, distance: Column, value: list[str], most: float | None, touches: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """points with _b, the least struct of distance and value among targets(keys, box _x0 _y0 _x1 _y1, ...), by grids of cells.
 
     A point meets what touches the nine cells around it. What lies within a cell's size can't be elsewhere, so an answer within it is
-    the answer; for the other points the cells are doubled, round by round, and only they are joined again. Points without finite
-    coordinates or without a target under their keys get null. most: nothing farther counts.
+    the answer; for the other points the cells are doubled, round by round, and only they are joined again. The cells begin at cell, or
+    smaller where targets stand close. Points of one place are looked up once, and of targets alike but for value[0] only the least
+    is met. Points without finite coordinates or without a target under their keys get null. most: nothing farther counts.
+    touches: how far a target is from a point, for targets that fill little of their box.
     """
     finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < 1e300" for c in ("x", "y"))
-    asked = points.where(finite)
-    open_ = written(asked.join(targets.select(*keys).distinct(), keys, "left_semi") if keys else asked, "near-open")
-    found, size = [], cell
+    targets = written(targets.groupBy(*[c for c in targets.columns if c != value[0]]).agg(F.min(value[0]).alias(value[0])), "near-targets")
+    w, h = (F.max(f"_{c}1") - F.min(f"_{c}0") for c in "xy")
+    crowd = targets.groupBy(*keys).agg(F.count("*").alias("n"), w.alias("w"), h.alias("h"), F.avg(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))).alias("e"))
+    room = F.sqrt(F.greatest(F.col("w") * F.col("h") / F.col("n"), F.pow(F.greatest("w", "h") / F.col("n"), F.lit(2.0))))
+    closest = crowd.select(F.greatest(2 * room, F.col("e") / 8).alias("s")).where("s > 0 and s < 1e300").agg(F.min("s")).first()[0]
+    asked = points.where(finite).select(*keys, "x", "y").distinct()
+    asked = asked.join(targets.select(*keys).distinct(), keys, "left_semi") if keys else asked
+    places = written(asked.withColumn("_p", F.monotonically_increasing_id()), "near-open")
+    open_, found, size = places, [], min(cell, closest) if closest else cell
     while not open_.isEmpty():
         cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))  # noqa: E731, B023
         here = targets.withColumn("_cx", cells("_x0", "_x1")).withColumn("_cy", cells("_y0", "_y1"))
+        if touches is not None:  # a cell's corners are 0.7072 of its size off its middle
+            here = here.where(touches((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size) <= 0.7072 * size + 1e-6)
         around = open_.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
         around = around.withColumn("_cx", F.floor(F.col("x") / size) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("y") / size) + F.col("_o.j")).drop("_o")
         met = around.join(here, [*keys, "_cx", "_cy"]).withColumn("_d", F.round(distance, 9))
         met = met.where(F.col("_d") <= most) if most is not None else met
-        both = written(open_.join(met.groupBy("point").agg(F.min(F.struct("_d", *value)).alias("_b")), "point", "left"), "near-met")
+        both = written(open_.join(met.groupBy("_p").agg(F.min(F.struct("_d", *value)).alias("_b")), "_p", "left"), "near-met")
         sure = F.lit(True) if most is not None and size >= most else F.coalesce(F.col("_b._d") <= size, F.lit(False))
-        found.append(both.where(sure).select("point", "_b"))
+        found.append(both.where(sure))
         open_, size = both.where(~sure).drop("_b"), size * 2
     if not found:
-        empty = targets.where("false").select(F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), F.struct(F.lit(0.0).alias("_d"), *value).alias("_b"))
-        return points.join(empty, "point", "left")
+        empty = targets.where("false").select(*keys, *[F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in ("x", "y")], F.struct(F.lit(0.0).alias("_d"), *value).alias("_b"))
+        return points.join(empty, [*keys, "x", "y"], "left")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    return points.join(every, "point", "left")
+    return points.join(every.select(*keys, "x", "y", "_b"), [*keys, "x", "y"], "left")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, keys: list[str], cell: float, most: float | None = None) -> DataFrame:
@@ -359,12 +369,13 @@ def nearest_on_edges(points: DataFrame, segments: DataFrame, keys: list[str], ce
     A segment stands in every grid cell that its box touches, so a point meets nearby segments first; the search widens from cell.
     most: null where nothing is so near.
     """
-    from ..functions.geo import share_along
+    from ..functions.geo import segment_distance, share_along
 
     box = {f"_{c}{i}": f(F.col(f"a{c}"), F.col(f"b{c}")) for c in "xy" for i, f in ((0, F.least), (1, F.greatest))}
     t = share_along(*map(F.col, ("x", "y", "ax", "ay", "bx", "by")))
     off = F.hypot(F.col("x") - F.col("ax") - t * (F.col("bx") - F.col("ax")), F.col("y") - F.col("ay") - t * (F.col("by") - F.col("ay")))
-    best = _by_cells(points, segments.withColumns(box), keys, cell, off, ["edge", "ax", "ay", "bx", "by"], most)
+    ways = segments.select(*keys, "edge", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")]).withColumns(box)
+    best = _by_cells(points, ways, keys, cell, off, ["edge", "ax", "ay", "bx", "by"], most, lambda x, y: segment_distance(x, y, *map(F.col, ("ax", "ay", "bx", "by"))))
     t = share_along(F.col("x"), F.col("y"), *[F.col(f"_b.{c}") for c in ("ax", "ay", "bx", "by")])
     return best.select(*points.columns, F.col("_b.edge").alias("edge"), t.alias("share"), F.col("_b._d").alias("distance"))
 
