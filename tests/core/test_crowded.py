@@ -14,3 +14,30 @@ def test_nearest_of_many_at_one_place(spark):
     first = {(10.0 * (i % 3), float(i % 2)): i + 7 for i in range(5, -1, -1)}
     assert {(r.x, r.y): r["max(node)"] for r in got} == first and all(r["max(distance)"] == 0 for r in got) and sum(r["count(point)"] for r in got) == 40_000
     assert time.time() - began < 60  # 1.6 thousand million pairs otherwise
+
+
+def test_nearest_of_many_equal_segments(spark):
+    points = spark.range(20_000).selectExpr("id as point", "0 as floor", "cast(id % 4 as double) as x", "1.0D as y")
+    segments = spark.range(20_000).selectExpr("id + 3 as edge", "0 as floor", "0.0D as ax", "cast(id % 2 * 5 as double) as ay", "100.0D as bx", "cast(id % 2 * 5 as double) as `by`")
+    began = time.time()
+    got = graph.nearest_on_edges(points, segments, ["floor"], 15.0).groupBy("x").agg({"edge": "max", "distance": "max", "share": "max", "point": "count"}).collect()
+    assert sorted((r.x, r["max(edge)"], r["max(distance)"], round(r["max(share)"], 9), r["count(point)"]) for r in got) == [(float(x), 3, 1.0, x / 100, 5000) for x in range(4)]
+    assert time.time() - began < 60  # 400 million pairs, each in several cells, otherwise
+
+
+def test_slanting_segments_against_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    points = [(i, i % 2, rng.uniform(-50, 150), rng.uniform(-50, 90)) for i in range(150)]
+    segments = [(i, i % 2, *(rng.uniform(0, 100) for _ in range(4))) for i in range(120)]
+
+    def off(x, y, ax, ay, bx, by):
+        t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return round(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)), 9)
+
+    want = {i: min((off(x, y, *s[2:]), s[0]) for s in segments if s[1] == f) for i, f, x, y in points}
+    df = spark.createDataFrame(points, "point int, floor int, x double, y double")
+    got = graph.nearest_on_edges(df, spark.createDataFrame(segments, "edge int, floor int, ax double, ay double, bx double, by double"), ["floor"], 15.0)
+    assert {r.point: (round(r.distance, 9), r.edge) for r in got.collect()} == want
