@@ -6,9 +6,9 @@ from trailmark.operators import graph
 
 
 def test_nearest_of_many_at_one_place(spark):
-    at = "cast(id % 3 * 10 as double) as x, cast(id % 2 as double) as y"
-    points = spark.range(40_000).selectExpr("id as point", "0 as floor", at)
-    nodes = spark.range(40_000).selectExpr("id + 7 as id", "0 as floor", at)
+    at = ("cast(id % 3 * 10 as double) as x", "cast(id % 2 as double) as y")
+    points = spark.range(40_000).selectExpr("id as point", "0 as floor", *at)
+    nodes = spark.range(40_000).selectExpr("id + 7 as id", "0 as floor", *at)
     began = time.time()
     got = graph.nearest(points, nodes, ["floor"], 20.0).groupBy("x", "y").agg({"node": "max", "distance": "max", "point": "count"}).collect()
     first = {(10.0 * (i % 3), float(i % 2)): i + 7 for i in range(5, -1, -1)}
@@ -41,3 +41,12 @@ def test_slanting_segments_against_all_pairs(spark):
     df = spark.createDataFrame(points, "point int, floor int, x double, y double")
     got = graph.nearest_on_edges(df, spark.createDataFrame(segments, "edge int, floor int, ax double, ay double, bx double, by double"), ["floor"], 15.0)
     assert {r.point: (round(r.distance, 9), r.edge) for r in got.collect()} == want
+
+
+def test_rings_of_many_outlines(spark):
+    from trailmark.operators import building
+
+    ways = spark.range(60_000).selectExpr("id as outline", "explode(array(named_struct('way', 2, 'nodes', array(id + 2, id + 1)), named_struct('way', 1, 'nodes', array(id, id + 1)), named_struct('way', 3, 'nodes', array(id + 2, id)))) as w")
+    got = building.rings(ways.select("outline", "w.way", "w.nodes"), ["outline"])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a call of Python for each outline
+    assert got.where("ring = 0 and nodes = array(outline, outline + 1, outline + 2, outline)").count() == got.count() == 60_000

@@ -5,8 +5,11 @@ Networks are nodes(id, x, y) and edges(a, b), undirected, ids as text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,10 +105,10 @@ def rings(ways: DataFrame, keys: list[str]) -> DataFrame:
     own direction, and takes at each end the least way that goes on there; chains that don't close are left out.
     """
     kinds = dict(ways.dtypes)
+    of = F.array_sort(F.collect_list(F.struct("way", "nodes")))
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        left = [list(n) for _, n in sorted(zip(group["way"], group["nodes"], strict=True), key=lambda r: r[0])]
-        left, out = [n for n in left if len(n) > 1], []
+    def closed(left: list[list]) -> list[list]:
+        left, out = [n for n in left if n is not None and len(n) > 1], []
         while left:
             ring = left.pop(0)
             while ring[0] != ring[-1]:
@@ -113,12 +116,19 @@ def rings(ways: DataFrame, keys: list[str]) -> DataFrame:
                 if i is None:
                     break
                 nxt = left.pop(i)
-                ring += (nxt if nxt[0] == ring[-1] else nxt[::-1])[1:]
+                ring = ring + (nxt if nxt[0] == ring[-1] else nxt[::-1])[1:]
             if ring[0] == ring[-1] and len(ring) > 3:
                 out.append(ring)
-        return pd.DataFrame([(*(group[k].iloc[0] for k in keys), i, r) for i, r in enumerate(out)], columns=[*keys, "ring", "nodes"])
+        return out
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(row, i, ring) for row, left in enumerate(b.column("_ways").to_pylist()) for i, ring in enumerate(closed(left))]
+            whose = b.select(keys).take(pa.array([f[0] for f in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whose.columns, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], b.schema.field("_ways").type.value_type)], [*keys, "ring", "nodes"])
 
-    return ways.select(*keys, "way", "nodes").groupBy(*keys).applyInPandas(join, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["ring int", f"nodes {kinds['nodes']}"]))
+    whole = ways.groupBy(*keys).agg(of.alias("_w")).select(*keys, F.transform("_w", lambda w: w["nodes"]).alias("_ways"))
+    return whole.mapInArrow(join, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["ring int", f"nodes {kinds['nodes']}"]))
 
 
 def placed(points: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
