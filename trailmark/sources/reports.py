@@ -17,7 +17,7 @@ def line(t: Column, said: Column) -> Column:
 def write_reports(rows: DataFrame, path: str, checkpoint: str):
     """Starts a query that writes the four reports of a stream of rows(kind, session, t, said, x, y, miss, held, seconds), t in ns.
 
-    Each micro-batch is read once and written under its number to every report, over whatever an attempt that failed has left, so a
+    The text has the session before each line, as a file for each would be as many files as sessions. Each micro-batch is read once and written under its number to every report, over whatever an attempt that failed has left, so a
     restart neither loses nor repeats rows. Rows of another kind go nowhere.
     """
 
@@ -27,7 +27,7 @@ def write_reports(rows: DataFrame, path: str, checkpoint: str):
             for kind, columns in KINDS.items():
                 own = some.where(F.col("kind") == kind)
                 if kind == "events":
-                    own.select("session", line(F.col("t"), F.col("said")).alias("value")).write.mode("overwrite").partitionBy("session").text(f"{path}/{kind}/batch={number}")
+                    own.select(F.concat(F.coalesce(F.col("session").cast("string"), F.lit("")), F.lit("\t"), line(F.col("t"), F.col("said"))).alias("value")).write.mode("overwrite").text(f"{path}/{kind}/batch={number}")
                 else:
                     own.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}/{kind}/batch={number}")
         finally:
@@ -40,6 +40,8 @@ def read_report(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A report back, with its columns and the number of the batch that wrote each row."""
     kinds = {"session": "long", "t": "long", "held": "long", "said": "string"}
     if kind == "events":
-        return spark.read.schema("value string, batch long, session long").option("basePath", f"{path}/{kind}").text(f"{path}/{kind}")
+        lines = spark.read.schema("value string, batch long").option("basePath", f"{path}/{kind}").text(f"{path}/{kind}")
+        cut = F.instr("value", "\t")
+        return lines.select(F.substring(F.col("value"), cut + 1, F.length("value")).alias("value"), "batch", F.substring(F.col("value"), F.lit(1), cut - 1).try_cast("long").alias("session"))
     schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in KINDS[kind])
     return spark.read.schema(f"{schema}, batch long").option("header", True).option("basePath", f"{path}/{kind}").csv(f"{path}/{kind}")
