@@ -1,8 +1,9 @@
 """Rows in great numbers that stand alike: what once met pair by pair, or cost a call of Python a group, must not."""
 
+import math
 import time
 
-from trailmark.operators import graph
+from trailmark.operators import entering, graph
 
 
 def test_nearest_of_many_at_one_place(spark):
@@ -26,7 +27,6 @@ def test_nearest_of_many_equal_segments(spark):
 
 
 def test_slanting_segments_against_all_pairs(spark):
-    import math
     import random
 
     rng = random.Random(5)
@@ -50,3 +50,22 @@ def test_rings_of_many_outlines(spark):
     got = building.rings(ways.select("outline", "w.way", "w.nodes"), ["outline"])
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()  # a call of Python for each outline
     assert got.where("ring = 0 and nodes = array(outline, outline + 1, outline + 2, outline)").count() == got.count() == 60_000
+
+
+WALK = [(i, 0.5 * i - 12, 0.1, 0.5, 0.0) for i in range(45)]
+DIRECTIONS = [math.radians((i * 7 + 100) % 360) for i in range(360)]
+
+
+def crowd(spark, sessions, doors):
+    steps = spark.createDataFrame(WALK, "t int, x double, y double, dx double, dy double").crossJoin(spark.range(sessions).withColumnRenamed("id", "who"))
+    turned = "radians(cast((id * 7 + 100) % 360 as double))"
+    return steps, spark.range(doors).selectExpr("id as door", "0.0D as x", "0.0D as y", f"cos({turned}) as inx", f"sin({turned}) as iny")
+
+
+def test_doors_by_direction_at_one_place(spark):
+    steps, doors = crowd(spark, 200, 200_000)
+    began = time.time()
+    got = entering.enters_by_direction(steps, doors, "who").groupBy("t", "door").count().collect()
+    first = min(i for i, a in enumerate(DIRECTIONS) if math.cos(a) >= math.cos(math.radians(50)))
+    assert {(r.t, r.door, r["count"]) for r in got} == {(t, first, 200) for t, x, *_ in WALK if t >= 2 and math.hypot(x, 0.1) <= 4}
+    assert time.time() - began < 90  # 600 million pairs otherwise

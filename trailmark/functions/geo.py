@@ -14,6 +14,11 @@ def wrapped(angle: Column) -> Column:
     return (angle % 360 + 540) % 360 - 180
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """The length of a vector, by squares and root as SQL says it: F.hypot() may differ in the last bit, which counts at a limit."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def azimuth(dx: Column, dy: Column) -> Column:
     """Degrees from north (up), clockwise."""
     return F.pmod(F.degrees(F.atan2(dx, -dy)) + 360, F.lit(360.0))

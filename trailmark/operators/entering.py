@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import wrapped
+from ..functions.geo import length, wrapped
 from . import graph
 
 # Metres from a door within which steps enter it, degrees off its direction (less for the door that was left last), and how many steps must agree.
 DOOR_NEAR, DOOR_ANGLE, LEFT_DOOR_ANGLE, AGREEING = 4.0, 50.0, 30.0, 3
+#: Degrees of a sector by which doors of a place are kept apart.
+SECTOR = 10.0
 # Steps of a dead-reckoned trail, metres it must end behind the door, and metres the place may be from the door then.
 TRAIL, DEPTH, PLACE_NEAR = 15, 1.5, 9.0
 # Metres to a gate that a fix leaves by, from the walls, of accuracy, and walked inside before a fix may end a stay.
@@ -29,10 +31,15 @@ FLIGHT, FLOOR_TURN = 6, 135.0
 def _near_doors(rows: DataFrame, doors: DataFrame, metres: float) -> DataFrame:
     """rows(x, y, ...) with each door within so many metres: a row meets the doors of its grid cell, in whose nine cells a door stands."""
     about = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    d = doors.select("door", F.col("x").alias("_x"), F.col("y").alias("_y"), "inx", "iny").withColumn("_o", about)
+    d = doors.select(F.col("x").alias("_x"), F.col("y").alias("_y"), *[c for c in doors.columns if c not in ("x", "y")]).withColumn("_o", about)
     d = d.withColumn("_cx", F.floor(F.col("_x") / metres) + F.col("_o.i")).withColumn("_cy", F.floor(F.col("_y") / metres) + F.col("_o.j")).drop("_o")
-    on = rows.withColumn("_cx", F.floor(F.col("x") / metres)).withColumn("_cy", F.floor(F.col("y") / metres)).join(d, ["_cx", "_cy"])
-    return on.withColumn("metres", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).where(F.col("metres") <= metres)
+    on = rows.withColumn("_cx", F.floor(F.col("x") / metres)).withColumn("_cy", F.floor(F.col("y") / metres)).join(d, ["_cx", "_cy", *[c for c in rows.columns if c in doors.columns and c not in ("x", "y")]])
+    return on.withColumn("metres", length(F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))).where(F.col("metres") <= metres)
+
+
+def _alike(doors: DataFrame, *columns: str) -> DataFrame:
+    """Of doors that agree in x, y and columns the least alone, which wins over the others wherever one of them counts."""
+    return doors.groupBy("x", "y", *columns).agg(F.min("door").alias("door"))
 
 
 def enters_by_direction(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
@@ -42,10 +49,22 @@ def enters_by_direction(steps: DataFrame, doors: DataFrame, key: str) -> DataFra
     """
     w = Window.partitionBy(key).orderBy("t").rowsBetween(1 - AGREEING, 0)
     last = steps.withColumn("_u", F.collect_list(F.struct("dx", "dy")).over(w)).where(F.size("_u") == AGREEING)
-    met = _near_doors(last, doors, DOOR_NEAR)
-    cos = lambda s: (s["dx"] * F.col("inx") + s["dy"] * F.col("iny")) / F.hypot(s["dx"], s["dy"])
+    # doors stand by their direction in sectors: a row meets those between the steps' directions less the angle, and none where these lie too far apart
+    ahead = lambda a, b: F.floor((F.degrees(F.atan2(b, a)) + 360) / SECTOR)
+    first = F.get("_u", F.lit(0))
+    turn = F.transform("_u", lambda s: F.degrees(F.atan2(first["dx"] * s["dy"] - first["dy"] * s["dx"], first["dx"] * s["dx"] + first["dy"] * s["dy"])))
+    at, slack = F.degrees(F.atan2(first["dy"], first["dx"])) + 360, DOOR_ANGLE + 1e-6
+    last = last.where(F.forall("_u", lambda s: length(s["dx"], s["dy"]) > 0)).withColumn("_from", at + F.array_max(turn) - slack).withColumn("_upto", at + F.array_min(turn) + slack).where("_from <= _upto")
+    last = last.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_from") / SECTOR), F.floor(F.col("_upto") / SECTOR)))).withColumn("_s", F.pmod("_s", F.lit(int(360 / SECTOR)))).drop("_from", "_upto")
+    alike = _alike(doors, "inx", "iny") if "left_door" not in steps.columns else doors
+    places = alike.groupBy("x", "y", F.pmod(ahead(F.col("inx"), F.col("iny")), F.lit(int(360 / SECTOR))).alias("_s")).agg(F.collect_list(F.struct("door", "inx", "iny")).alias("_doors"))
+    met = _near_doors(last, places, DOOR_NEAR).select("*", F.inline("_doors")).drop("_doors")
+    cos = lambda s: (s["dx"] * F.col("inx") + s["dy"] * F.col("iny")) / length(s["dx"], s["dy"])
     least = F.cos(F.radians(F.when(F.col("left_door") == F.col("door"), LEFT_DOOR_ANGLE).otherwise(DOOR_ANGLE))) if "left_door" in steps.columns else F.cos(F.radians(F.lit(DOOR_ANGLE)))
-    best = met.where(F.forall("_u", lambda s: F.coalesce(F.when(F.hypot(s["dx"], s["dy"]) > 0, cos(s)) >= least, F.lit(False)))).groupBy(key, "t").agg(F.min(F.struct("metres", "door")).alias("_b"))
+    agree = [F.coalesce(cos(F.get("_u", F.lit(i))) >= least, F.lit(False)) for i in range(AGREEING)]
+    for one in agree:
+        met = met.where(one)
+    best = met.groupBy(key, "t").agg(F.min(F.struct("metres", "door")).alias("_b"))
     return best.select(key, "t", F.col("_b.door").alias("door"), F.col("_b.metres").alias("metres"))
 
 
@@ -57,12 +76,16 @@ def enters_by_trail(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy("t")
     w = order.rowsBetween(1 - TRAIL, 0)
     rows = steps.withColumn("_s", F.collect_list(F.struct("dx", "dy")).over(w)).withColumn("_x0", F.lag("x", TRAIL).over(order)).withColumn("_y0", F.lag("y", TRAIL).over(order)).where("_x0 is not null")
-    met = _near_doors(rows, doors, PLACE_NEAR)
+    places = _alike(doors, "inx", "iny").groupBy("x", "y").agg(F.collect_list(F.struct("door", "inx", "iny")).alias("_doors"))
+    reach = F.aggregate("_s", F.lit(0.0), lambda a, s: a + length(s["dx"], s["dy"]))
+    met = _near_doors(rows.withColumn("_reach", reach + DOOR_NEAR + 1e-6), places, PLACE_NEAR)
+    # the walk is folded once for the doors of a place, and only where it can come near
+    met = met.where(length(F.col("_x0") - F.col("_x"), F.col("_y0") - F.col("_y")) <= F.col("_reach"))
     start = F.struct(F.col("_x0").alias("x"), F.col("_y0").alias("y"), F.lit(float("inf")).alias("near"))
-    walk = F.aggregate("_s", start, lambda a, s: F.struct((a["x"] + s["dx"]).alias("x"), (a["y"] + s["dy"]).alias("y"), F.least(a["near"], F.hypot(a["x"] + s["dx"] - F.col("_x"), a["y"] + s["dy"] - F.col("_y"))).alias("near")))
-    met = met.withColumn("_w", walk).withColumn("depth", (F.col("_w.x") - F.col("_x")) * F.col("inx") + (F.col("_w.y") - F.col("_y")) * F.col("iny"))
+    walk = F.aggregate("_s", start, lambda a, s: F.struct((a["x"] + s["dx"]).alias("x"), (a["y"] + s["dy"]).alias("y"), F.least(a["near"], length(a["x"] + s["dx"] - F.col("_x"), a["y"] + s["dy"] - F.col("_y"))).alias("near")))
+    met = met.withColumn("_w", walk).where(F.col("_w.near") <= DOOR_NEAR).select(key, "t", "metres", "_x0", "_y0", "_x", "_y", "_w", F.inline("_doors")).withColumn("depth", (F.col("_w.x") - F.col("_x")) * F.col("inx") + (F.col("_w.y") - F.col("_y")) * F.col("iny"))
     began = (F.col("_x0") - F.col("_x")) * F.col("inx") + (F.col("_y0") - F.col("_y")) * F.col("iny")
-    through = met.where((F.col("_w.near") <= DOOR_NEAR) & (F.col("depth") >= DEPTH) & (began < 0))
+    through = met.where((F.col("depth") >= DEPTH) & (began < 0))
     best = through.groupBy(key, "t").agg(F.min(F.struct("metres", "door", "depth")).alias("_b"))
     return best.select(key, "t", F.col("_b.door").alias("door"), F.col("_b.depth").alias("depth"))
 
@@ -173,16 +196,16 @@ def leaves_by_gate(steps: DataFrame, gates: DataFrame, key: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("t")
     rows = steps.withColumn("_h", F.collect_list("heading").over(order.rowsBetween(1 - OUTER_STEPS, 0))).withColumnsRenamed({"x": "_fx", "y": "_fy", "on_x": "x", "on_y": "y"})
-    ways = gates.select(F.col("gate").alias("door"), "x", "y", F.col("inner_x").alias("inx"), F.col("inner_y").alias("iny"))
-    met = _near_doors(rows, ways, OUTER_NEAR).join(gates.select(F.col("gate").alias("door"), "outer"), "door")
+    ways = gates.select(F.col("gate").alias("door"), "x", "y", F.col("inner_x").alias("inx"), F.col("inner_y").alias("iny"), "outer")
+    met = _near_doors(rows, _alike(ways, "inx", "iny", "outer"), OUTER_NEAR)
     dx, dy = F.col("_x") - F.col("inx"), F.col("_y") - F.col("iny")
-    past = lambda a, b: ((F.col("_fx") - F.col("_x")) * a + (F.col("_fy") - F.col("_y")) * b) / F.hypot(a, b)
+    past = lambda a, b: ((F.col("_fx") - F.col("_x")) * a + (F.col("_fy") - F.col("_y")) * b) / length(a, b)
     flat = F.abs(dx) >= F.abs(dy)
     ax, ay = F.when(flat, dx).otherwise(0.0), F.when(flat, 0.0).otherwise(dy)
     met = met.withColumns({"_along": past(dx, dy), "_square": past(ax, ay), "_out": F.degrees(F.atan2(ax, ay))})
     leads = F.exists("_h", lambda h: F.abs(wrapped(h - F.col("_out"))) <= OUTER_ANGLE)
     by_gate = (F.col("metres") <= AT_GATE) & (F.greatest("_along", "_square") >= BEYOND)
-    by_door = F.col("outer") & (F.hypot(F.col("_fx") - F.col("_x"), F.col("_fy") - F.col("_y")) <= OUTER_NEAR) & (F.col("_square") >= OUTER_BEYOND) & leads
+    by_door = F.col("outer") & (length(F.col("_fx") - F.col("_x"), F.col("_fy") - F.col("_y")) <= OUTER_NEAR) & (F.col("_square") >= OUTER_BEYOND) & leads
     left = met.where((dx != 0) | (dy != 0)).where(by_gate | by_door).withColumn("beyond", F.when(by_gate, F.greatest("_along", "_square")).otherwise(F.greatest(F.col("_square"), F.lit(BEYOND))))
     best = left.groupBy(key, "t").agg(F.min(F.struct((-F.round("beyond", 9)).alias("b"), "door")).alias("_b"))
     return best.select(key, "t", F.col("_b.door").alias("gate"), (-F.col("_b.b")).alias("beyond"))
@@ -247,7 +270,7 @@ def enters_deep(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
     entry = F.when(F.col("_deep") & (F.col("_k") == DEEP_STEPS), F.struct("t", "building", F.col("x").alias("px"), F.col("y").alias("py")))
     s = s.withColumn("_e", F.first(entry, ignorenulls=True).over(order.rowsBetween(0, DEEP_TRAIL - 1))).where("_e is not null")
     s = graph.written(s.select(key, F.col("t").alias("since"), "x", "y", "_e"), "deep-trails")
-    met = _near_doors(s, doors, DEEP_NEAR).join(doors.select("door", F.col("building").alias("_building")), "door").where(F.col("_building") == F.col("_e.building"))
+    met = _near_doors(s, doors.select("door", "x", "y", "inx", "iny"), DEEP_NEAR).join(doors.select("door", F.col("building").alias("_building")), "door").where(F.col("_building") == F.col("_e.building"))
     best = met.groupBy(key, "_e", "door", "inx", "iny").agg(F.min(F.struct("metres", "since", "x", "y")).alias("_b"))
     dx, dy = F.col("_e.px") - F.col("_b.x"), F.col("_e.py") - F.col("_b.y")
     inwards = (F.hypot(dx, dy) >= 1.0) & (dx * F.col("inx") + dy * F.col("iny") >= F.hypot(dx, dy) * F.cos(F.radians(F.lit(DEEP_ANGLE))))
