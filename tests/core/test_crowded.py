@@ -69,3 +69,17 @@ def test_doors_by_direction_at_one_place(spark):
     first = min(i for i, a in enumerate(DIRECTIONS) if math.cos(a) >= math.cos(math.radians(50)))
     assert {(r.t, r.door, r["count"]) for r in got} == {(t, first, 200) for t, x, *_ in WALK if t >= 2 and math.hypot(x, 0.1) <= 4}
     assert time.time() - began < 90  # 600 million pairs otherwise
+
+
+def test_doors_by_trail_at_one_place(spark):
+    steps, doors = crowd(spark, 200, 200_000)
+    began = time.time()
+    got = entering.enters_by_trail(steps, doors, "who").groupBy("t", "door").count().collect()
+    want = set()
+    for t, x, *_ in WALK[15:]:
+        trail = [(WALK[t - 15][1] + 0.5 * k, 0.1) for k in range(16)]
+        if math.hypot(x, 0.1) <= 9 and min(math.hypot(*p) for p in trail[1:]) <= 4:
+            through = [i for i, a in enumerate(DIRECTIONS) if trail[-1][0] * math.cos(a) + 0.1 * math.sin(a) >= 1.5 and trail[0][0] * math.cos(a) + 0.1 * math.sin(a) < 0]
+            want |= {(t, min(through), 200)} if through else set()
+    assert {(r.t, r.door, r["count"]) for r in got} == want != set()
+    assert time.time() - began < 90  # a walk folded a thousand million times otherwise
