@@ -81,7 +81,7 @@ def refresh(spark, d):
 
 @query("q_a06_route_minutes", "select l_orderkey, l_linenumber, cast(greatest(1, ceil(sum(l_extendedprice / 100) / 60)) as int) as minutes from lineitem group by 1, 2")
 def minutes(spark, d):
-    s = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_extendedprice") / 100).alias("s"))
+    s = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum((F.col("l_extendedprice") / 100).cast("decimal(28,8)")).alias("s"))  # exact, whatever the order: a whole minute stays one
     return s.select("l_orderkey", "l_linenumber", op.route_minutes(F.col("s")).alias("minutes"))
 
 
