@@ -37,7 +37,7 @@ def step_detector(fast: float = 0.25, slow: float = 0.02, threshold: float = 0.6
     def step(s: dict[str, Any], r: Any) -> Iterator[tuple]:
         if s["quick"] is None:
             s["quick"] = s["base"] = 9.81
-        s["quick"], s["base"] = (1 - fast) * s["quick"] + fast * r.value, (1 - slow) * s["base"] + slow * r.value
+        s["quick"], s["base"] = s["quick"] + fast * (r.value - s["quick"]), s["base"] + slow * (r.value - s["base"])
         swing, since = s["quick"] - s["base"], math.inf if s["last"] is None else r.t - s["last"]
         if s["peak"] is not None:
             s["peak"] = max(s["peak"], swing)
