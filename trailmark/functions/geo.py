@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ def length(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def of_degrees(f: Callable[[float], float], degrees: Column) -> Column:
+    """math.sin or math.cos of whole degrees from 0 to 359, by a table: the JVM's sine differs in the last bit for some of them."""
+    return F.get(F.array(*[F.lit(f(math.radians(i))) for i in range(360)]), degrees.cast("int"))
+
+
 def azimuth(dx: Column, dy: Column) -> Column:
     """Degrees from north (up), clockwise."""
     return F.pmod(F.degrees(F.atan2(dx, -dy)) + 360, F.lit(360.0))
