@@ -148,12 +148,16 @@ def learnt(rows: DataFrame, keys: list[str], order: list[str], value: str, last:
 
 
 def stair_scores(rows: DataFrame, keys: list[str], order: list[str], spread: str, ratio: str, weight: float = 1.0, flat: int = 60, least: int = 10) -> DataFrame:
-    """Adds score: how unlike a person's steps on the level a step is, from logarithms of two features over their medians of the flat steps before."""
+    """Adds score: how unlike a person's steps on the level a step is, from logarithms of two features over their medians of the flat steps before.
+
+    A feature of zero makes it infinite, as the logarithm of zero is.
+    """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-flat, -1)
     held = rows.withColumn("_vs", F.collect_list(spread).over(w)).withColumn("_vr", F.collect_list(ratio).over(w))
     based = held.withColumn("_n", F.size("_vs")).withColumn("_s", middle(F.col("_vs"))).withColumn("_r", middle(F.col("_vr"))).drop("_vs", "_vr")
-    good = (F.col("_n") >= least) & (F.col("_s") > 0) & (F.col("_r") > 0) & (F.col(spread) > 0) & (F.col(ratio) > 0)
-    return based.withColumn("score", F.when(good, weight * F.ln(F.col(spread) / F.nullif("_s", F.lit(0.0))) - F.ln(F.col(ratio) / F.nullif("_r", F.lit(0.0))))).drop("_n", "_s", "_r")
+    good = (F.col("_n") >= least) & (F.col("_s") > 0) & (F.col("_r") > 0) & (F.col(spread) >= 0) & (F.col(ratio) >= 0)
+    ln = lambda c, base: F.when(F.col(c) == 0, F.lit(float("-inf"))).otherwise(F.ln(F.col(c) / F.nullif(base, F.lit(0.0))))
+    return based.withColumn("score", F.when(good, weight * ln(spread, "_s") - ln(ratio, "_r"))).drop("_n", "_s", "_r")
 
 
 def latest_revision(rows: DataFrame, keys: list[str], revision: str = "revision") -> DataFrame:
