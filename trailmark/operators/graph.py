@@ -6,10 +6,15 @@ between rounds of an iteration, so no lineage grows.
 
 from __future__ import annotations
 
+import heapq
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +142,100 @@ def shortest_times(arcs: DataFrame, starts: DataFrame) -> DataFrame:
     return relax(starts.select("request", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), step, ["request", "node"], "cost", _most_rounds(arcs), "paths")
 
 
+#: Arcs up to which each task that searches routes holds all of them, 50 bytes an arc.
+HELD_ARCS = 2_000_000
+
+
+def _held_routes(arcs: DataFrame, requests: DataFrame, penalty: float, uncommon_penalty: float) -> DataFrame:
+    """routes() by searches back from each target, which all its requests share: a state is a place, the vertical that the way takes next (and whether it is
+    uncommon where it begins), and on a passage the building it goes on to. A search ends once no request of its target can get cheaper."""
+    kinds, asked, spark = dict(arcs.dtypes) | {"request": dict(requests.dtypes)["request"]}, set(requests.columns), arcs.sparkSession
+    held = arcs.toPandas()
+    codes, ids = pd.factorize(pd.concat([held["a"], held["b"]]))
+    order = np.argsort(codes[len(held) :], kind="stable")
+    held, a, b = held.iloc[order], codes[: len(held)][order], codes[len(held) :][order]
+    verticals = pd.factorize(held["vertical"])[0] + 1  # 0: none
+    places = pd.factorize(pd.concat([held["building_a"], held["building_b"], held["transit"]]))
+    building_a, building_b, transit = (places[0] + 1).reshape(3, len(held))
+    flags = lambda c: (held[c] == True).to_numpy(bool)  # noqa: E712, E731
+    came = np.where(flags("passage_b") & (building_a > 0) & (building_b > 0) & (building_a != building_b), building_a, 0)
+    is_passage = np.zeros(len(ids), bool)
+    is_passage[b[flags("passage_b")]] = True
+    goes = np.where(is_passage[a], building_b, 0)
+    graph = (ids, np.searchsorted(b, np.arange(len(ids) + 1)), [a, held["cost"].to_numpy(float), verticals, flags("room_b"), came, goes, flags("uncommon"), transit], list(places[1]), int(verticals.max(initial=0)) + 1, len(places[1]) + 1)
+    given = spark.sparkContext.broadcast(graph)
+
+    def ways(target: int, own: set[int], wanted: set[int]) -> dict[int, tuple]:
+        """price, seconds and path of each wanted place that has a way to the target; own: buildings in which transit costs nothing."""
+        _, ptr, columns, _, n_verticals, n_places = given.value
+        heap, settled, final, limit = [(0.0, 0, target * 2 * n_verticals * n_places, None, 0.0)], {}, {}, math.inf
+        while heap:
+            price, hops, state, after, cost = heapq.heappop(heap)
+            if price > limit:
+                break
+            if state in settled:
+                continue
+            settled[state] = (after, cost)
+            rest, on = divmod(state, n_places)
+            rest, uncommon = divmod(rest, 2)
+            node, vertical = divmod(rest, n_verticals)
+            if node in wanted:
+                whole = (price + (uncommon_penalty if uncommon else 0.0), hops, state)
+                if node not in final or whole < final[node]:
+                    final[node] = whole
+                    if len(final) == len(wanted):
+                        limit = max(f[0] for f in final.values())
+            lo, hi = ptr[node], ptr[node + 1]
+            for a, c, v, room, came, goes, odd, transit in zip(*(x[lo:hi].tolist() for x in columns), strict=True):
+                if (room and node != target) or a == target or (came and came == on):
+                    continue
+                extra, flag = 0.0, uncommon
+                if v:
+                    if vertical and v != vertical:
+                        extra = penalty + (uncommon_penalty if uncommon else 0.0)
+                    flag = int(odd or (transit > 0 and transit not in own))
+                state_a = ((a * n_verticals + (v or vertical)) * 2 + flag) * n_places + goes
+                if state_a not in settled:
+                    heapq.heappush(heap, (price + c + extra, hops + 1, state_a, state, c))
+        found = {}
+        for source, (_, _, state) in final.items():
+            # added up again from the start
+            price = seconds = 0.0
+            last, path = 0, []
+            while state is not None:
+                rest, uncommon = divmod(state // n_places, 2)
+                node, vertical = divmod(rest, n_verticals)
+                path.append(node)
+                state, cost = settled[state]
+                if vertical and vertical != last and state is not None:
+                    price += (penalty if last else 0.0) + (uncommon_penalty if uncommon else 0.0)
+                    last = vertical
+                price, seconds = price + cost, seconds + cost
+            found[source] = (seconds, price, path)
+        return found
+
+    def search(batches):
+        ids, places = given.value[0], {p: i + 1 for i, p in enumerate(given.value[3])}
+        code = {x: i for i, x in enumerate(ids.tolist())}
+        for batch in batches:
+            rows, groups = [], {}
+            for i, (source, target, *own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source", "target", "source_building", "target_building")), strict=True)):
+                if source is not None and source == target:
+                    rows.append((i, 0.0, 0.0, [source]))
+                elif source in code and target in code:
+                    groups.setdefault((target, *own), []).append((i, code[source]))
+            for (target, *own), members in groups.items():
+                found = ways(code[target], {places.get(o, -1) for o in own}, {source for _, source in members})
+                rows += [(i, *found[source][:2], ids[found[source][2]].tolist()) for i, source in members if source in found]
+            whose = batch.select(["request"]).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whose.columns, *[pa.array([r[j] for r in rows], t) for j, t in ((1, pa.float64()), (2, pa.float64()), (3, pa.list_(batch.schema.field("target").type)))]], ["request", "seconds", "price", "path"])
+
+    of = lambda c: (F.col(c) if c in asked else F.lit(None)).cast("string").alias(c)
+    ends = requests.select("request", *[F.col(c).cast(kinds["a"]).alias(c) for c in ("source", "target")], of("source_building"), of("target_building")).distinct()
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return written(ends.repartition(spread, "target").mapInArrow(search, f"request {kinds['request']}, seconds double, price double, path array<{kinds['a']}>"), "routes")
+
+
 def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, uncommon_penalty: float = UNCOMMON) -> DataFrame:
     """The cheapest route of each requests(request, source, target): its seconds, path and price (seconds and penalties). No row where there is none or an end is unknown.
 
@@ -146,10 +245,16 @@ def routes(arcs: DataFrame, requests: DataFrame, penalty: float = CHANGE, uncomm
     that neither begin nor end there (source_building and target_building of requests). Changing to another vertical costs
     a penalty, and so does taking an uncommon one; both choose but aren't reported. A state is a node, the last vertical and, on a
     passage, the building before it; it points to the state before it, and paths are read back from the ends.
+
+    Up to HELD_ARCS arcs without negative costs every task holds the arcs and searches back from its targets, no farther than the
+    requests need; more arcs, or negative costs, are relaxed in rounds of joins.
     """
     has, asked = set(arcs.columns), set(requests.columns)
     some = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind).alias(c)
     arcs = written(arcs.select("a", "b", "cost", "vertical", "room_b", some("passage_b", "boolean"), some("building_a", "string"), some("building_b", "string"), some("uncommon", "boolean"), some("transit", "string")), "arcs")
+    number, plain = arcs.agg(F.count("*"), F.count_if((F.col("cost") >= 0) & (F.col("cost") < float("inf")))).first()
+    if number == plain and number <= HELD_ARCS:
+        return _held_routes(arcs, requests, penalty, uncommon_penalty)
     most = _most_rounds(arcs, (arcs.select("vertical").distinct().count() + 1) * (arcs.select("building_a").distinct().count() + 1))
     of = lambda c: (F.col(c) if c in asked else F.lit(None)).cast("string").alias(c)
     keys, node = ["request", "node", "last", "came"], F.lit(None).cast(dict(arcs.dtypes)["a"])
