@@ -83,3 +83,11 @@ def test_doors_by_trail_at_one_place(spark):
             want |= {(t, min(through), 200)} if through else set()
     assert {(r.t, r.door, r["count"]) for r in got} == want != set()
     assert time.time() - began < 90  # a walk folded a thousand million times otherwise
+
+
+def test_gates_alike_and_at_the_limit(spark):
+    gates = spark.range(100_000).selectExpr("id as gate", "50.0D as x", "10.0D as y", "49.0D as inner_x", "10.0D as inner_y", "true as outer")
+    steps = spark.range(2000).selectExpr("id as who", "1 as t", "50.0D as on_x", "10.0D as on_y", "51.0D as x", "10.0D as y", "90.0D as heading")
+    began = time.time()
+    got = entering.leaves_by_gate(steps, gates, "who").groupBy("gate", "beyond").count().collect()
+    assert [tuple(r) for r in got] == [(0, 1.0, 2000)] and time.time() - began < 60  # 200 million pairs otherwise
