@@ -6,8 +6,13 @@ order t, the place x, y after the step and the step dx, dy in metres.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geo import length, wrapped
 from . import graph
@@ -163,22 +168,91 @@ INSIDE, WAITS, SLACK, CANCEL = 1.5, 6.0, 1.0, 12.0
 AT_GATE, BEYOND, OUTER_NEAR, OUTER_BEYOND, OUTER_ANGLE, OUTER_STEPS = 0.3, 1.0, 5.0, 0.3, 30.0, 3
 
 
+#: Different doors up to which each task that walks through sessions holds all of them, 100 bytes a door.
+HELD_DOORS = 1_000_000
+
+
+def _held_outline(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
+    """enters_by_outline() with the doors in memory: no pair of step and door is written."""
+    held = doors.where("x is not null and y is not null").toPandas().sort_values("door", kind="stable")
+    given = steps.sparkSession.sparkContext.broadcast((held["door"].tolist(), *(held[c].to_numpy(float) for c in ("x", "y", "inx", "iny"))))
+    kinds = dict(steps.dtypes) | {"door": dict(doors.dtypes)["door"]}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, gx, gy, inx, iny = given.value
+        cells: dict[tuple, list[int]] = {}
+        for i, cell in enumerate(zip((gx // CANCEL).tolist(), (gy // CANCEL).tolist(), strict=True)):
+            cells.setdefault(cell, []).append(i)
+        around: dict[tuple, np.ndarray] = {}
+        # of each door: the last step near it, whether the stay has an entry that waits (and its metres), the way since, and whether it was made
+        seen, waits, need, walked, done = np.full(len(ids), -1), np.zeros(len(ids), bool), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)
+        n, who, any_yet = 0, None, False
+        for batch in batches:
+            keys = batch.column(key).to_pylist()
+            x, y, dx, dy, depth = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "dx", "dy", "depth"))
+            size = np.nan_to_num(np.sqrt(dx * dx + dy * dy)).tolist()
+            cx, cy = (x // CANCEL).tolist(), (y // CANCEL).tolist()
+            rows, told = [], []
+            for r, k in enumerate(keys):
+                n += 1
+                if not any_yet or k != who:  # no step before it was near a door
+                    n, who, any_yet = n + 1, k, True
+                cell = (cx[r], cy[r])
+                if cell not in around:
+                    around[cell] = np.sort(np.array([i for a in (-1, 0, 1) for b in (-1, 0, 1) for i in cells.get((cell[0] + a, cell[1] + b), ())], int))
+                i = around[cell]
+                if not len(i):
+                    continue
+                ux, uy = x[r] - gx[i], y[r] - gy[i]
+                metres = np.sqrt(ux * ux + uy * uy)
+                near = metres <= CANCEL
+                i, metres = i[near], metres[near]
+                new = i[seen[i] != n - 1]
+                waits[new] = done[new] = False
+                seen[i] = n
+                going = waits[i]
+                walked[i] += size[r]
+                able = going & ~done[i]
+                able[able] = dx[r] * inx[i[able]] + dy[r] * iny[i[able]] >= 0
+                if depth[r] >= INSIDE:
+                    first = ~going & (metres <= WAITS)
+                    j = i[first]
+                    waits[j], need[j], walked[j] = True, metres[first] - SLACK, 0.0
+                    able |= first
+                made = able & (walked[i] >= need[i])
+                if made.any():
+                    i, metres = i[made], metres[made]
+                    done[i] = True
+                    rows.append(r)
+                    told.append(ids[i[int(np.argmin(metres))]])
+            whose = batch.select([key, "t"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*whose.columns, pa.array(told, door_type)], [key, "t", "door"])
+
+    door_type = to_arrow_type(doors.schema["door"].dataType)
+    rows = steps.select(key, "t", "x", "y", "dx", "dy", "depth").repartition(key).sortWithinPartitions(key, "t")
+    return rows.mapInArrow(walk, f"{key} {kinds[key]}, t {kinds['t']}, door {kinds['door']}")
+
+
 def enters_by_outline(steps: DataFrame, doors: DataFrame, key: str) -> DataFrame:
     """key, t, door: steps with which an entry that waited is made: steps(key, t, x, y, dx, dy, depth), depth in metres inside the outline.
 
     An entry begins 1.5 metres inside, where a door is within six metres, and is made when the way to the door is walked, but for a metre,
     with a step that doesn't lead out again. More than twelve metres from the door it is cancelled. Doors are looked at apart, each
-    stay near one on its own; of several entries of a step the nearest door counts, then the least.
+    stay near one on its own; of several entries of a step the nearest door counts, then the least. Up to HELD_DOORS different doors are held by each
+    task, which walks through its sessions step by step; more meet the steps by windows.
     """
+    alike = graph.written(_alike(doors, "inx", "iny"), "doors")
+    if alike.count() <= HELD_DOORS:
+        return _held_outline(steps, alike, key)
     order = Window.partitionBy(key).orderBy("t")
-    met = _near_doors(steps.withColumn("_n", F.row_number().over(order)), doors, CANCEL)
+    met = _near_doors(steps.withColumn("_n", F.row_number().over(order)), alike, CANCEL)
     w = Window.partitionBy(key, "door").orderBy("_n")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     met = met.withColumn("_stay", F.sum(F.when(F.col("_n") - F.lag("_n").over(w) == 1, 0).otherwise(1)).over(upto))
     stay = Window.partitionBy(key, "door", "_stay").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     begins = (F.col("depth") >= INSIDE) & (F.col("metres") <= WAITS)
     met = met.withColumn("_from", F.first(F.when(begins, F.struct("_n", "metres")), ignorenulls=True).over(stay)).where("_from is not null")
-    met = met.withColumn("_walked", F.sum(F.when(F.col("_n") > F.col("_from._n"), F.hypot("dx", "dy")).otherwise(0.0)).over(stay))
+    met = met.withColumn("_walked", F.sum(F.when(F.col("_n") > F.col("_from._n"), length(F.col("dx"), F.col("dy"))).otherwise(0.0)).over(stay))
     outwards = (F.col("_n") > F.col("_from._n")) & (F.col("dx") * F.col("inx") + F.col("dy") * F.col("iny") < 0)
     made = met.where((F.col("_walked") >= F.col("_from.metres") - SLACK) & ~outwards)
     first = made.groupBy(key, "door", "_stay").agg(F.min(F.struct("t", "metres")).alias("_m"))
