@@ -91,3 +91,16 @@ def test_gates_alike_and_at_the_limit(spark):
     began = time.time()
     got = entering.leaves_by_gate(steps, gates, "who").groupBy("gate", "beyond").count().collect()
     assert [tuple(r) for r in got] == [(0, 1.0, 2000)] and time.time() - began < 60  # 200 million pairs otherwise
+
+
+def test_outline_of_many_doors_and_as_by_windows(spark, monkeypatch):
+    # steps 6 and 12 metres off to the last bit, sessions that come back, and doors alike
+    steps = spark.range(600).selectExpr("id div 60 as who", "id % 60 as t", "cast(id * 37 % 211 as double) / 10 as x", "cast(id * 53 % 127 as double) / 10 as y", "id % 3 - 0.7D as dx", "id % 2 - 0.4D as dy", "cast(id % 6 - 1 as double) as depth")
+    doors = spark.range(30_000).selectExpr("id as door", "cast(id % 30 as double) as x", "cast(id % 11 as double) as y", "cos(radians(id % 9 * 40)) as inx", "sin(radians(id % 9 * 40)) as iny")
+    began = time.time()
+    held = entering.enters_by_outline(steps, doors, "who")
+    assert held.columns == ["who", "t", "door"]
+    rows = sorted(map(tuple, held.collect()))
+    assert len(rows) > 50 and time.time() - began < 60  # a row for each step and door, 18 million, in windows otherwise
+    monkeypatch.setattr(entering, "HELD_DOORS", 0)
+    assert sorted(map(tuple, entering.enters_by_outline(steps, doors, "who").collect())) == rows
